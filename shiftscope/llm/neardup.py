@@ -8,10 +8,12 @@ Prefix: tokens are ordered by how many classes hold them, rare ones first. Two c
 share one among the first K - MATCHES + 1 of each, so only those are merged. Tokens of one class fill the prefix
 of texts without relatives, so most texts, and the frequent tokens of passages that many documents share, drop out.
 
-Skip: lists whose classes are in one component already are skipped. While much is left, a list is not paired with
-itself: its classes meet one leader of the list, drawn anew in each round. Once the pairs that still cross
-components are few, or leaders join nothing more, all of them are compared. Every retained pair that is linked is
-confirmed on the full sets, so components are those of the links, and no group is expanded into all its pairs.
+Skip: lists whose classes are in one component already are skipped. First the classes of a list meet its leader, the
+class whose tokens most others hold, which joins most of a group in pairs that grow with its size. What still crosses
+components in lists of more than SMALL_LIST classes is compared inside tasks that hold two blocks of a list at most and
+return links only. A class goes through its WIDE largest lists that way, and a pair counts in the first list that both
+have. Pairs that share none of these lists are joined as rows. All retained pairs
+are confirmed on the full sets, so components are those of the links; pairs inside a component are not needed.
 
 Cases: a null or empty text, or one without words, has no shingles, is linked with nothing and stays. A text of fewer
 than five words is one shingle. Repeated rows are members of the same class; rows with the smallest id of a
@@ -19,6 +21,7 @@ component are the kept ones. Rows without an id take part, and are kept where no
 No rows: no rows. Other columns pass unchanged; helper columns are named __dup_*.
 """
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import small_side, written
+from shiftscope.llm._cluster import ship, small_side, written
 from shiftscope.llm._text import SPACED, chunks, mix, ngrams, words
 
 SHINGLE = 5
@@ -35,8 +38,10 @@ K = 64
 MATCHES = 31
 #: Ids (8 bytes each) of candidates are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 4_000_000
-#: Leaders stop when the pairs left are at most this many for each class in a list.
-PAIRS_PER_CLASS = 4
+#: Lists of more classes are compared in blocks of BLOCK.
+SMALL_LIST = 32
+BLOCK = 512
+WIDE = 8
 
 _FACTORS = np.random.default_rng(64).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORDINATES = mix(np.arange(1, K + 1, dtype=np.uint64))
@@ -150,51 +155,131 @@ def _labelled(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
     return postings.join(parts, "set", "left").withColumn("component", F.coalesce("component", "set"))
 
 
+def _open(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(token, members, set, n, component) of the lists that hold more than one component."""
+    now = _labelled(postings, parts)
+    lists = now.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return written(now.join(lists.filter("least != most").drop("least", "most"), "token"), "dup-open")
+
+
+def _sized(n_a: str, n_b: str) -> Column:
+    return 100 * F.least(n_a, n_b) >= SIMILARITY * F.greatest(n_a, n_b)
+
+
+def leader_pairs(here: DataFrame) -> DataFrame:
+    """(a, b): each class with the leader that it meets in most lists."""
+    weights = here.groupBy("set").agg(F.sum("members").alias("weight"))
+    rank = F.struct((-F.col("weight")).alias("rank"), F.col("set").alias("leader"), F.col("component").alias("leads"), F.col("n").alias("n_l"))
+    leaders = here.join(weights, "set").groupBy("token").agg(F.min(rank).alias("first")).select("token", "first.leader", "first.leads", "first.n_l")
+    met = here.join(leaders, "token").filter((F.col("component") != F.col("leads")) & _sized("n", "n_l"))
+    collisions = met.groupBy("set", "leader").agg(F.count(F.lit(1)).alias("collisions"))
+    best = collisions.groupBy("set").agg(F.max(F.struct("collisions", "leader")).alias("best")).select("set", "best.leader")
+    return best.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+
+
+def wide_lists(here: DataFrame) -> DataFrame:
+    """(set, wide): the WIDE largest of the long lists that a class is in, as an array of tokens, largest first."""
+    place = Window.partitionBy("set").orderBy(F.desc("members"), "token")
+    ranked = here.filter(F.col("members") > SMALL_LIST).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= WIDE)
+    gathered = ranked.groupBy("set").agg(F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("m"), "token"))).alias("wide"))
+    return gathered.select("set", F.col("wide.token").alias("wide"), F.col("wide.m").alias("minus"))
+
+
+def _block_links(key: tuple, table: pa.Table) -> pa.Table:
+    """The links across components among the classes of two blocks of a list (or of one), as far as they join anything."""
+    table = table.combine_chunks()
+    token = key[0].as_py()
+    names, part = table["set"].to_pylist(), table["component"].to_pylist()
+    side = table["side"].to_numpy()
+    n = table["n"].to_numpy()
+    tokens = np.stack(table["tokens"].to_numpy())
+    shingles = table["shingles"].to_numpy()
+    # the tokens of wide lists that come before this one, as small numbers, -1 beyond them
+    earlier = np.full((len(names), WIDE), -1, dtype=np.int64)
+    number: dict[int, int] = {}
+    for i, wide in enumerate(table["wide"].to_pylist()):
+        for j, t in enumerate(wide[: wide.index(token)]):
+            earlier[i, j] = number.setdefault(t, len(number))
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    found_a, found_b = [], []
+    two = bool((side == 0).any() and (side == 1).any())
+    parts = np.unique(np.array([int.from_bytes(p, "little") for p in part], dtype=object), return_inverse=True)[1]
+    left = np.flatnonzero(side == 0) if two else np.arange(len(names))
+    right = np.flatnonzero(side == 1) if two else left
+    best: list[tuple[int, int, int]] = []
+    for i in left:
+        others = right if two else right[right > i]
+        others = others[(parts[others] != parts[i]) & (100 * np.minimum(n[others], n[i]) >= SIMILARITY * np.maximum(n[others], n[i]))]
+        for t in earlier[i][earlier[i] >= 0]:
+            others = others[~(earlier[others] == t).any(axis=1)]
+        agree = (tokens[others] == tokens[i]).sum(axis=1)
+        best += [(-int(m), int(i), int(j)) for m, j in zip(agree, others, strict=True) if m >= MATCHES]
+    for _, i, j in sorted(best):
+        p, q = find(part[i]), find(part[j])
+        if p == q:
+            continue
+        common = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+        if 100 * common >= SIMILARITY * (n[i] + n[j] - common):
+            root[max(p, q)] = min(p, q)
+            found_a.append(min(names[i], names[j]))
+            found_b.append(max(names[i], names[j]))
+    return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+
+
+def block_links(here: DataFrame, wide: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across components within long lists, found in pairs of blocks."""
+    posted = wide.select("set", "wide", F.explode(F.arrays_zip("wide", "minus")).alias("at"))
+    posted = posted.select("set", "wide", F.col("at.wide").alias("token"), F.ceil(-F.col("at.minus") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    dealt = posted.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "set", "wide", "token", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).cast("int").alias("side")
+    )
+    of = here.select("set", "component").distinct()
+    full = classes.select("set", "n", "tokens").join(of, "set").join(sets, "set").join(dealt, "set")
+    return full.groupBy("token", "first", "second").applyInArrow(_block_links, "a binary, b binary")
+
+
+def crossing_pairs(here: DataFrame, wide: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of different components that share a list, none of their wide lists, and MATCHES tokens."""
+    known = here.join(wide.select("set", "wide"), "set", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<long>")))
+    known = known.join(classes.select("set", "tokens"), "set")
+    other = known.select("token", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"), F.col("wide").alias("wide_b"), F.col("tokens").alias("tokens_b"))
+    crossing = (F.col("set") < F.col("b")) & (F.col("component") != F.col("other")) & _sized("n", "n_b") & ~F.arrays_overlap("wide", "wide_b")
+    retained = F.size(F.array_intersect("tokens", "tokens_b")) >= MATCHES
+    return known.join(other, (known["token"] == other["token"]) & crossing & retained).select(F.col("set").alias("a"), "b").distinct()
+
+
 def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(set, component) of the linked classes, None if there are none."""
-    links = parts = tested = None
-    n_classes = postings.select("set").distinct().count()
-    limit, before, turn, last = PAIRS_PER_CLASS * n_classes, None, 0, False
-    while n_classes and not last:
-        now = _labelled(postings, parts)
-        # pairs that cross components, by list: all less those within
-        within = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
-        lists = within.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own")).filter("all * all > own")
-        open_lists = written(lists.select("token", ((F.col("all") * F.col("all") - F.col("own")) / 2).cast("long").alias("crossing")), "dup-lists")
-        left = open_lists.agg(F.sum("crossing")).first()[0]
-        if not left:
-            break
-        last = left <= limit or (before is not None and left > 0.9 * before)
-        before, turn = left, turn + 1
-        here = written(now.join(open_lists.select("token"), "token"), "dup-open")
-        if last:
-            other = here.select("token", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-            crossing = (F.col("set") < F.col("b")) & (F.col("component") != F.col("other"))
-            sized = (100 * F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b"))
-            pairs = here.join(other, "token").filter(crossing & sized).select(F.col("set").alias("a"), "b").distinct()
-        else:
-            draw = F.struct(F.xxhash64(F.lit(turn), "set").alias("draw"), F.col("set").alias("leader"), F.col("component").alias("leads"), F.col("n").alias("n_l"))
-            leaders = here.groupBy("token").agg(F.min(draw).alias("first")).select("token", "first.leader", "first.leads", "first.n_l")
-            sized = (100 * F.least("n", "n_l") >= SIMILARITY * F.greatest("n", "n_l"))
-            met = here.join(leaders, "token").filter((F.col("component") != F.col("leads")) & sized)
-            # collisions with each leader are counted, and a class meets the one with the most
-            met = met.groupBy("set", "leader").agg(F.count(F.lit(1)).alias("collisions"))
-            met = met.groupBy("set").agg(F.max(F.struct("collisions", "leader")).alias("best")).select("set", "best.leader")
-            pairs = met.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dup-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = written(confirmed(pairs, classes, sets), "dup-links")
-        if not found.limit(1).count():
-            continue
-        links = found if links is None else links.union(found)
-        parts = components(links)
+    links: list[DataFrame] = []
+    parts: DataFrame | None = None
+
+    def join_up(found: DataFrame) -> None:
+        nonlocal parts
+        if found.limit(1).count():
+            links.append(found)
+            parts = components(functools.reduce(DataFrame.union, links))
+
+    here = _open(postings, parts)
+    join_up(written(confirmed(written(leader_pairs(here), "dup-pairs"), classes, sets), "dup-links"))
+    here = _open(postings, parts)
+    wide = written(wide_lists(here), "dup-wide")
+    join_up(written(block_links(here, wide, classes, sets), "dup-links"))
+    here = _open(postings, parts)
+    join_up(written(confirmed(written(crossing_pairs(here, wide, classes), "dup-pairs"), classes, sets), "dup-links"))
     return parts
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of docs with an id and one for each without."""
+    ship(docs.sparkSession)
     members = written(signatures(docs, id_col, text_col), "dup-members")
     worded = members.filter("__dup_n > 0")
     first = F.min(F.struct(F.col("__dup_id").isNull().alias("none"), F.col("__dup_id").alias("id"), F.col("__dup_tokens").alias("tokens"))).alias("first")
