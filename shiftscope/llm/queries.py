@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm import mixing, neardup, sharding
+from shiftscope.llm import decontam, langid, mixing, neardup, quality, sharding
+from shiftscope.llm._fit import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,55 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    named = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return named.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    score = F.col("__quality_score")
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    hits = decontam.hits()
+    return found.select(
+        "doc_id",
+        hits["n_words"].alias("n_words"),
+        hits["n_hit"].alias("n_hit"),
+        F.size("__fm_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__fm_items", ","), 256).alias("items_sha256"),
+        hits["contaminated"].alias("contaminated"),
+    )
+
+
+OP4_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS p
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), found AS (
+  SELECT doc_id, i, size, item_id FROM (SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS p FROM places, (SELECT DISTINCT size FROM phrases) WHERE i + size - 1 <= len(w)) JOIN phrases USING (size, p)
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM split LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.mix_plan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select(
@@ -82,8 +132,8 @@ FROM documents d JOIN ends USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op6_mixing": op6_mixing, "op8_neardup": op8_neardup}
+    return {"op1_sharding": op1_sharding, "op2_langid": op2_langid, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_neardup": op8_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL}
+    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL}
