@@ -88,10 +88,18 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
         starts &= ~before
         ends &= ~after
     first, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    run = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[low] * _powers(_P, n), out=run[1:])
-    hashes = mix((run[end] - run[first]) * _powers(_P_INVERSE, n + 1)[first])
-    return hashes, first, end, np.searchsorted(first, offsets)
+    return span_hashes(running(data), first, end), first, end, np.searchsorted(first, offsets)
+
+
+def running(data: np.ndarray) -> np.ndarray:
+    """Sums from which span_hashes() takes the hash of any span of data, A-Z lower-cased."""
+    run = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[LOWER[data]] * _powers(_P, len(data)), out=run[1:])
+    return run
+
+
+def span_hashes(run: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((run[end] - run[first]) * _powers(_P_INVERSE, len(run))[first])
 
 
 def ngrams(hashes: np.ndarray, row_offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm import decontam, langid, mixing, neardup, quality, sharding
+from shiftscope.llm import decontam, langid, mixing, neardup, quality, sharding, toxicity
 from shiftscope.llm._fit import remainder
 
 
@@ -131,8 +131,15 @@ FROM documents d JOIN ends USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagged = toxicity.tagged(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    score = F.col("__tox_score")
+    return tagged.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_langid": op2_langid, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_neardup": op8_neardup}
+    return {"op1_sharding": op1_sharding, "op2_langid": op2_langid, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_neardup": op8_neardup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
