@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm import decontam, langid, mixing, neardup, quality, sharding, toxicity
+import corpus_pipeline
+from shiftscope.llm import ann, chat, decontam, langid, mixing, neardup, quality, secrets, sharding, toxicity
 from shiftscope.llm._fit import remainder
 
 
@@ -36,6 +37,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(secrets.of_kinds(kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(secrets.of_kinds("assign", "access", "hex"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("__secret_spans")).alias("spans"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     hits = decontam.hits()
@@ -105,6 +113,17 @@ SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate
 """
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.segments(turns.unionAll(probe)))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -139,7 +158,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_langid": op2_langid, "op4_decontam": op4_decontam, "op5_quality": op5_quality, "op6_mixing": op6_mixing, "op8_neardup": op8_neardup, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_langid": op2_langid,
+        "op3_secrets": op3_secrets,
+        "op4_decontam": op4_decontam,
+        "op5_quality": op5_quality,
+        "op6_mixing": op6_mixing,
+        "op7_chat": op7_chat,
+        "op8_neardup": op8_neardup,
+        "op9_ann": op9_ann,
+        "op10_toxicity": op10_toxicity,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
