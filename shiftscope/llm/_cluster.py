@@ -2,12 +2,12 @@
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftscope.session import ship  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. A folder of our own is set only where none is named."""
@@ -31,16 +31,3 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint for a written table of at most max_rows rows; larger ones are joined by shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once a session; they need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_shiftscope_shipped", False):
-        return
-    package = Path(__file__).parents[1]
-    path = Path(tempfile.mkdtemp()) / "shiftscope-modules.zip"
-    with zipfile.ZipFile(path, "w") as archive:
-        for module in sorted(package.rglob("*.py")):
-            archive.write(module, module.relative_to(package.parent))
-    context.addPyFile(str(path))
-    context._shiftscope_shipped = True
