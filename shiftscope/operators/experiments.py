@@ -18,13 +18,12 @@ PARAMETERS = ("window_generator_type", "window_size", "threshold", "max_distance
 
 
 def config_grid(spark: SparkSession, *lists: Sequence) -> DataFrame:
-    """All combinations of the seven lists, one row each: a cross join of lists that the caller writes out."""
+    """All combinations of the seven lists, one row each; the lists are the caller's own."""
     kinds = ("string", "int", "double", "int", "int", "double", "double")
-    frames = [spark.createDataFrame([(x,) for x in values], f"{name} {kind}") for name, kind, values in zip(PARAMETERS, kinds, lists, strict=True)]
-    grid = frames[0]
-    for frame in frames[1:]:
-        grid = grid.crossJoin(frame)
-    return grid
+    grid = spark.range(1, numPartitions=1)
+    for name, kind, values in zip(PARAMETERS, kinds, lists, strict=True):
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(x).cast(kind) for x in values]).cast(f"array<{kind}>")))
+    return grid.drop("id")
 
 
 def explain_config(values: DataFrame, n_traces: int, primary: DataFrame, config: dict) -> DataFrame:

@@ -10,7 +10,7 @@ def time_grid(events: DataFrame, size: str, slide: str | None = None) -> DataFra
     step = f"INTERVAL {slide or size}"
     starts = span.select("hi", F.explode(F.sequence("lo", "hi", F.expr(step))).alias("t_start"))
     whole = starts.withColumn("t_end", F.col("t_start") + F.expr(f"INTERVAL {size}")).filter("t_end <= hi")
-    return whole.select(F.unix_micros("t_start").alias("w"), "t_start", "t_end")
+    return whole.select(F.unix_micros(F.col("t_start").cast("timestamp")).alias("w"), "t_start", "t_end")
 
 
 def members(events: DataFrame, windows: DataFrame, criterion: str = "all_events") -> DataFrame:

@@ -349,7 +349,7 @@ def _scored(term: str) -> str:
   FROM m GROUP BY detector, k, x_end
 ), series AS (
   SELECT detector, k, x_end, statistic, dof, CASE WHEN statistic IS NULL THEN NULL WHEN dof = 0 OR statistic <= 1e-12 THEN 1.0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 400),
-    i -> exp((dof / 2.0 + i) * ln(statistic / 2) - statistic / 2 - lgamma(dof / 2.0 + i + 1))))) END AS value FROM s)"""
+    lambda i: exp((dof / 2.0 + i) * ln(statistic / 2) - statistic / 2 - lgamma(dof / 2.0 + i + 1))))) END AS value FROM s)"""
 
 
 _POINTS = """below AS (SELECT *, k - lag(k) OVER (PARTITION BY detector ORDER BY k) - 1 AS gap FROM series WHERE value <= 0.05),
@@ -378,7 +378,7 @@ _RATIOS = """round(correct / nullif(detections, 0), 6) AS precision, round(corre
 
 _USERS = """c AS (SELECT user_id, CAST(row_number() OVER (ORDER BY min(ts), user_id) - 1 AS BIGINT) AS trace_idx FROM events GROUP BY user_id),
 ev AS (SELECT trace_idx, row_number() OVER (PARTITION BY trace_idx ORDER BY ts) - 1 AS event_idx, event_type AS activity, ts FROM events JOIN c USING (user_id))"""
-_DAYS = """c AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(row_number() OVER (ORDER BY min(ts), user_id, CAST(ts AS DATE)) - 1 AS BIGINT) AS trace_idx FROM events GROUP BY ALL),
+_DAYS = """c AS (SELECT user_id, day, CAST(row_number() OVER (ORDER BY min(ts), user_id, day) - 1 AS BIGINT) AS trace_idx FROM (SELECT user_id, CAST(ts AS DATE) AS day, ts FROM events) GROUP BY user_id, day),
 ev AS (SELECT trace_idx, row_number() OVER (PARTITION BY trace_idx ORDER BY ts) - 1 AS event_idx, event_type AS activity, ts FROM events JOIN c ON events.user_id = c.user_id AND CAST(ts AS DATE) = c.day)"""
 _CELLS = """long AS (SELECT *, max(event_idx) OVER (PARTITION BY trace_idx) AS last FROM ev),
 early AS (SELECT DISTINCT activity AS a FROM long WHERE event_idx < last), every AS (SELECT DISTINCT activity AS b FROM long WHERE last > 0),
@@ -412,7 +412,7 @@ h AS (SELECT x_end, value, count(*) FILTER (trace_idx < a0 + {SIZE}) AS o1, coun
 d AS (SELECT x_end, max(abs(c1 / {SIZE}.0 - c2 / {SIZE}.0)) AS statistic FROM (SELECT x_end, sum(o1) OVER w AS c1, sum(o2) OVER w AS c2 FROM h WINDOW w AS (PARTITION BY x_end ORDER BY value)) GROUP BY x_end),
 f AS (SELECT *, CAST(round(statistic * {SIZE}) AS BIGINT) AS j FROM d)
 SELECT x_end, round(statistic, 6) AS statistic, CASE WHEN j = 0 THEN 1.0 ELSE round(least(1, greatest(0, 2 * list_sum(list_transform(range(1, {SIZE} // greatest(j, 1) + 1),
-  i -> (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(2 * lgamma({SIZE} + 1) - lgamma({SIZE} - i * j + 1) - lgamma({SIZE} + i * j + 1)))))), 6) END AS value FROM f""",
+  lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(2 * lgamma({SIZE} + 1) - lgamma({SIZE} - i * j + 1) - lgamma({SIZE} + i * j + 1)))))), 6) END AS value FROM f""",
     "phi_change_points": f"WITH {_FOUND} SELECT detector, change_point FROM points",
     "region_change_series": f"WITH {_T}, {_TENTHS}, {_REGION}, {_DRIFT}, {_COUNTS}, {_MOVED}, {_scored(_G)} SELECT detector, k AS pos, x_end, round(value, 6) AS value FROM series",
     "explanations_table": f"WITH {_FOUND}, {_TENTHS}, {_EXPLAINED} SELECT * FROM explained",
@@ -430,7 +430,7 @@ SELECT 'tolerance' AS experiment, correct AS number_of_correct_detections, trues
     "bidirectional_relation_counts": f"""WITH {_DAYS}, {_CELLS}, f AS ({_typed('followed')}), p AS ({_typed('preceded')})
 SELECT activity, f.always AS followed_by_always, f.sometimes AS followed_by_sometimes, f.never AS followed_by_never, p.always AS preceded_by_always, p.sometimes AS preceded_by_sometimes, p.never AS preceded_by_never FROM f FULL JOIN p USING (activity)""",
     "relational_entropy": f"""WITH {_DAYS}, {_CELLS}, f AS ({_typed('followed')}), g AS (SELECT *, count(*) OVER () AS c FROM f)
-SELECT activity, round(list_sum(list_transform([always, sometimes, never], x -> CASE WHEN x > 0 THEN -(x / c) * log2(x / c) ELSE 0 END)), 6) AS entropy FROM g""",
+SELECT activity, round(list_sum(list_transform([always, sometimes, never], lambda x: CASE WHEN x > 0 THEN -(x / c) * log2(x / c) ELSE 0 END)), 6) AS entropy FROM g""",
     "directly_follows": f"WITH {_DAYS}, {_DF} SELECT a1, a2 FROM df",
     "concurrency": f"WITH {_DAYS}, {_DF} SELECT a1, a2 FROM conc",
     "runs_by_trace": f"""WITH {_DAYS}, {_DF}, edges AS (SELECT DISTINCT trace_idx, x, y FROM near WHERE y IS NOT NULL AND x <> y),

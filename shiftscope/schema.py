@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftscope.session import written
+
 
 @dataclass(frozen=True)
 class Attribute:
@@ -34,12 +36,15 @@ def dense_index(rows: DataFrame, order: list, name: str = "trace_idx") -> DataFr
     """rows with their 0-based position in the given total order.
 
     Rows are sorted by range partitions; a partition's first position is the number of rows before it, so no task
-    sees more than its own range. The number of partitions is fixed, so that both uses see the same ones.
+    sees more than its own range. Range bounds come from a sample that differs between runs of a plan, so the ranged
+    rows are written once and both uses read the same partitions.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "dense-index")
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    return local.join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
+    # one row a partition: its number is that of the partitions
+    placed = local.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__local"))
+    return placed.drop("__part", "__local", "__before")

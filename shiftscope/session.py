@@ -1,10 +1,11 @@
-"""Sending this package to the executors."""
+"""Sending this package to the executors, and tables in the folder that they share."""
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -19,3 +20,19 @@ def ship(spark: SparkSession) -> None:
             archive.write(module, module.relative_to(package.parent))
     context.addPyFile(str(path))
     context._shiftscope_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; one of our own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/shiftscope-checkpoints")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
