@@ -18,6 +18,7 @@ are confirmed on the full sets, so components are those of the links; pairs insi
 Cases: a null or empty text, or one without words, has no shingles, is linked with nothing and stays. A text of fewer
 than five words is one shingle. Repeated rows are members of the same class; rows with the smallest id of a
 component are the kept ones. Rows without an id take part, and are kept where no row of the component has one.
+Each row is decided by its own text: rows that share an id, or have none, stay or go one by one.
 No rows: no rows. Other columns pass unchanged; helper columns are named __dup_*.
 """
 
@@ -38,6 +39,8 @@ K = 64
 MATCHES = 31
 #: Ids (8 bytes each) of candidates are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 4_000_000
+#: Dropped rows (an id and the 16 bytes of a text's digest each) are broadcast up to this many.
+BROADCAST_ROWS = 2_000_000
 #: Lists of more classes are compared in blocks of BLOCK.
 SMALL_LIST = 32
 BLOCK = 512
@@ -83,8 +86,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(counts, pa.int64()),
                     pa.array(_set_ids(grams, bounds), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.ravel().view(np.int64))),
+                    *[column.slice(first, len(counts)) for column in batch.columns[2:]],
                 ],
-                ["__dup_id", "__dup_n", "__dup_set", "__dup_tokens"],
+                ["__dup_id", "__dup_n", "__dup_set", "__dup_tokens", *batch.schema.names[2:]],
             )
 
 
@@ -97,10 +101,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__dup_id, __dup_n, __dup_set, __dup_tokens), a row for each row of docs."""
+def _digest(text: Column) -> Column:
+    """16 bytes that name a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(__dup_id, __dup_n, __dup_set, __dup_tokens), a row for each row of docs; with digests also __dup_text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_signatures, f"__dup_id {kind}, __dup_n long, __dup_set binary, __dup_tokens array<long>")
+    also = [_digest(F.col(text_col)).alias("__dup_text")] if digests else []
+    columns = f"__dup_id {kind}, __dup_n long, __dup_set binary, __dup_tokens array<long>" + ", __dup_text binary" * digests
+    return docs.select(id_col, text_col, *also).mapInArrow(_signatures, columns)
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
@@ -277,10 +288,10 @@ def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) ->
     return parts
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept), a row for each row of docs with an id and one for each without."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    """(id, n_shingles, component_id, kept), a row for each row of docs; with digests also __dup_text."""
     ship(docs.sparkSession)
-    members = written(signatures(docs, id_col, text_col), "dup-members")
+    members = written(signatures(docs, id_col, text_col, digests), "dup-members")
     worded = members.filter("__dup_n > 0")
     first = F.min(F.struct(F.col("__dup_id").isNull().alias("none"), F.col("__dup_id").alias("id"), F.col("__dup_tokens").alias("tokens"))).alias("first")
     classes = written(
@@ -303,18 +314,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
         ends = joined.join(least, "component").select("set", "component_id")
     ends = written(ends, "dup-ends")
-    out = members.select("__dup_id", "__dup_n", "__dup_set").join(ends, F.col("__dup_set") == ends["set"], "left")
+    also = ["__dup_text"] if digests else []
+    out = members.select("__dup_id", "__dup_n", "__dup_set", *also).join(ends, F.col("__dup_set") == ends["set"], "left")
     own = F.when(F.col("__dup_n") == 0, F.col("__dup_id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("__dup_id").alias(id_col),
         F.col("__dup_n").alias("n_shingles"),
         own.alias("component_id"),
         F.col("__dup_id").eqNullSafe(own).alias("kept"),
+        *also,
     )
 
 
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept), a row for each row of docs with an id and one for each without."""
+    return _decided(docs, id_col, text_col, False)
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near duplicates of another: of each component the rows with its smallest id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__dup_gone")).distinct()
-    gone = small_side(written(gone, "dup-gone"), BROADCAST_IDS)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__dup_gone"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = _decided(docs, id_col, text_col, True).filter(~F.col("kept")).select(F.col(id_col).alias("__dup_gone"), "__dup_text").distinct()
+    gone = small_side(written(gone, "dup-gone"), BROADCAST_ROWS)
+    # rows of one id and one text have one set, so they share their decision
+    same = docs[id_col].eqNullSafe(gone["__dup_gone"]) & (_digest(docs[text_col]) == gone["__dup_text"])
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -60,6 +60,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_deduplication_decides_by_row(spark):
+    rng = random.Random(41)
+    one, two, three, four, five = (prose(rng, 40) for _ in range(5))
+    rows = [(1, one), (None, one), (None, two), (None, None), (2, three), (5, three), (5, four), (None, five), (None, five), (7, ""), (7, one)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, one), (None, two), (None, None), (2, three), (5, four), (None, five), (None, five), (7, "")]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted((tuple(r) for r in neardup.deduplicate(frame).collect()), key=key) == sorted(want, key=key)
+
+
 def test_decontamination_against_windows(spark):
     rng = random.Random(5)
     items = [prose(rng, n) for n in (40, 13, 25, 4)] + ["", None]
