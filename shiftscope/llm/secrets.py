@@ -43,6 +43,25 @@ def strong_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the disjoint intervals that the spans cover."""
+    if not spans:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, ends = np.array(sorted(spans), dtype=np.int64).T
+    reached = np.maximum.accumulate(ends)
+    first = np.concatenate(([True], starts[1:] >= reached[:-1]))
+    return starts[first], reached[np.append(first[1:], True)]
+
+
+def _overlaps(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each span overlaps one of the disjoint intervals."""
+    if not len(starts) or not spans:
+        return np.zeros(len(spans), bool)
+    low, high = np.array(spans, dtype=np.int64).T
+    at = np.searchsorted(ends, low, side="right")
+    return (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] < high)
+
+
 def _near(starts: np.ndarray, scopes: np.ndarray, of_start: np.ndarray, of_scope: np.ndarray) -> np.ndarray:
     """Whether a part of `of` (ordered by start) is within REACH in the same scope, for each start."""
     if not len(of_start):
@@ -62,11 +81,9 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[st
     access = [(a, b) for k, a, b in strong if k == "access"]
     if not (parts["identifier"] or parts["endpoint"] or access):
         return []
-    taken = sorted((a, b) for k, a, b in strong)
-    for m in _OPAQUE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for a, b in taken[:64]):
-            parts["opaque"].append(m.span())
+    opaque = [m.span() for m in _OPAQUE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+    taken = _overlaps(opaque, *_merged([(a, b) for _, a, b in strong]))
+    parts["opaque"] = [s for s, known in zip(opaque, taken, strict=True) if not known]
     breaks = np.array([m.start() for m in _BLANK.finditer(text)] or [len(text)])
 
     def places(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -113,6 +113,16 @@ def test_secrets(spark):
     assert [k for k, _, _ in spans[6]] == ["identifier", "endpoint", "opaque"]
 
 
+def test_secrets_after_many_strong_spans():
+    filler = "".join(f"{i:024x}\n" for i in range(70))
+    for tail in ("login: jane AKIA" + "B7" * 8, "login: jane " + "0a" * 16):
+        strong = secrets.strong_spans(filler + "\n" + tail)
+        found = secrets.linked_spans(filler + "\n" + tail, strong)
+        alone = secrets.linked_spans(tail, secrets.strong_spans(tail))
+        assert len(strong) == 71 and [(k, a - len(filler) - 1, b - len(filler) - 1) for k, a, b in found] == alone
+        assert "opaque" not in [k for k, _, _ in found]
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "", None, "\\", "\\</s>", "a\\", " x ", "<<", "plain", "\\\\[INST]", "é\n</s"]
     rows = [(c, t, r, x) for c, r in enumerate(("user", "assistant", "system", "<<odd>> ", "")) for t, x in enumerate(said)]
