@@ -5,7 +5,7 @@ parts say nothing alone: account identifiers, endpoints, and opaque values. They
 weak part is reported if a complementary part stands within REACH code points of it in the same scope, scopes being
 the stretches between blank lines. Complements are: of an opaque value, an identifier, access key or endpoint; of an
 identifier, a secret (assignment, hexadecimal run or opaque value); of an endpoint, both an identifier or access key
-and a secret. The join runs over sorted starts within a text, so a text with many parts is not paired with itself.
+and a secret. An opaque value may stand right behind `=`, unless it is the value of an identifier. The join runs over sorted starts within a text, so a text with many parts is not paired with itself.
 
 Cases: null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows get equal spans. No
 rows: no rows. Texts are taken whole. Other columns pass unchanged; the helper column is named __secret_spans.
@@ -30,7 +30,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENTIFIER = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9._@-]{2,})""", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"""https?://[^\s"'<>|]{4,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""", re.IGNORECASE | re.ASCII)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -82,6 +82,8 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[st
     if not (parts["identifier"] or parts["endpoint"] or access):
         return []
     opaque = [m.span() for m in _OPAQUE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+    named = {b for _, b in parts["identifier"]}
+    opaque = [(a, b) for a, b in opaque if not (b in named and text[a - 1 : a] == "=")]
     taken = _overlaps(opaque, *_merged([(a, b) for _, a, b in strong]))
     parts["opaque"] = [s for s, known in zip(opaque, taken, strict=True) if not known]
     breaks = np.array([m.start() for m in _BLANK.finditer(text)] or [len(text)])

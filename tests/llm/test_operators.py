@@ -123,6 +123,17 @@ def test_secrets_after_many_strong_spans():
         assert "opaque" not in [k for k, _, _ in found]
 
 
+def test_secrets_behind_equals_signs():
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLE1K"
+    access = "AWS_ACCESS_KEY_ID=AKIA" + "B7" * 8
+    for text in (f"{access}\nAWS_SECRET_ACCESS_KEY={value}\n", f"SECRET_KEY={value}\nhost=db.example.org", f"https://x.example.org;AccountKey={value}==;Pool=5"):
+        found = secrets.linked_spans(text, secrets.strong_spans(text))
+        own = [text[a:b].rstrip("=") for k, a, b in found if k == "opaque"]
+        assert own == [value], text
+    text = "login=Zx81Qm40Lp77Vb92Nc15Kd"
+    assert secrets.linked_spans(text, secrets.strong_spans(text)) == []
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "", None, "\\", "\\</s>", "a\\", " x ", "<<", "plain", "\\\\[INST]", "é\n</s"]
     rows = [(c, t, r, x) for c, r in enumerate(("user", "assistant", "system", "<<odd>> ", "")) for t, x in enumerate(said)]
