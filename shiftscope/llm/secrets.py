@@ -2,10 +2,12 @@
 
 Strong spans are reported wherever they stand: assignments to secret names, access keys, long hexadecimal runs. Weak
 parts say nothing alone: account identifiers, endpoints, and opaque values. They are linked by an interval join: a
-weak part is reported if a complementary part stands within REACH code points of it in the same scope, scopes being
-the stretches between blank lines. Complements are: of an opaque value, an identifier, access key or endpoint; of an
-identifier, a secret (assignment, hexadecimal run or opaque value); of an endpoint, both an identifier or access key
-and a secret. An opaque value may stand right behind `=`, unless it is the value of an identifier. The join runs over sorted starts within a text, so a text with many parts is not paired with itself.
+weak part is reported if a complementary part stands within REACH code points of it in the same scope, from the end of
+one to the start of the other, scopes being the stretches between blank lines. Complements are: of an opaque value, an
+identifier, access key or endpoint; of an identifier, a secret (assignment, hexadecimal run or opaque value); of an
+endpoint, both an identifier or access key and a secret. An opaque value may stand right behind `=`, unless it is the
+value of an identifier. The join runs over sorted starts and running ends within a text, so a text with many parts is
+not paired with itself.
 
 Cases: null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows get equal spans. No
 rows: no rows. Texts are taken whole. Other columns pass unchanged; the helper column is named __secret_spans.
@@ -62,14 +64,17 @@ def _overlaps(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray
     return (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] < high)
 
 
-def _near(starts: np.ndarray, scopes: np.ndarray, of_start: np.ndarray, of_scope: np.ndarray) -> np.ndarray:
-    """Whether a part of `of` (ordered by start) is within REACH in the same scope, for each start."""
-    if not len(of_start):
+def _near(places: tuple[np.ndarray, np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether REACH code points at most lie between each place and a part of `of` in the same scope; both by start."""
+    (starts, ends, scopes), (of_start, of_end, of_scope) = places, of
+    if not len(of_start) or not len(starts):
         return np.zeros(len(starts), bool)
-    low, high = np.searchsorted(of_start, starts - REACH), np.searchsorted(of_start, starts + REACH, side="right")
-    # scopes follow one another, so the parts of one scope within reach are a run
-    inside_low = np.maximum(low, np.searchsorted(of_scope, scopes))
-    return np.minimum(high, np.searchsorted(of_scope, scopes, side="right")) > inside_low
+    # scopes follow one another; each is moved beyond the ends and the reach of those before it
+    width = max(int(of_end.max()), int(ends.max())) + REACH + 1
+    reached = np.maximum.accumulate(of_end + of_scope * width)
+    # of the parts that start early enough, one must end late enough
+    last = np.minimum(np.searchsorted(of_start, ends + REACH, side="right"), np.searchsorted(of_scope, scopes, side="right")) - 1
+    return (last >= 0) & (reached[np.maximum(last, 0)] >= starts - REACH + scopes * width)
 
 
 def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -88,9 +93,9 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[st
     parts["opaque"] = [s for s, known in zip(opaque, taken, strict=True) if not known]
     breaks = np.array([m.start() for m in _BLANK.finditer(text)] or [len(text)])
 
-    def places(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.array(sorted(a for a, _ in spans), dtype=np.int64)
-        return starts, np.searchsorted(breaks, starts)
+    def places(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends = np.array(sorted(spans), dtype=np.int64).reshape(-1, 2).T
+        return starts, ends, np.searchsorted(breaks, starts)
 
     names = places(parts["identifier"] + access)
     ends = places(parts["endpoint"])
@@ -98,13 +103,13 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[st
     found = []
     for kind in ("identifier", "endpoint", "opaque"):
         spans = sorted(parts[kind])
-        starts, scopes = places(spans)
+        own = places(spans)
         if kind == "identifier":
-            near = _near(starts, scopes, *secrets)
+            near = _near(own, secrets)
         elif kind == "endpoint":
-            near = _near(starts, scopes, *secrets) & _near(starts, scopes, *names)
+            near = _near(own, secrets) & _near(own, names)
         else:
-            near = _near(starts, scopes, *names) | _near(starts, scopes, *ends)
+            near = _near(own, names) | _near(own, ends)
         found += [(kind, *s) for s, ok in zip(spans, near, strict=True) if ok]
     return found
 

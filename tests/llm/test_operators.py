@@ -134,6 +134,34 @@ def test_secrets_behind_equals_signs():
     assert secrets.linked_spans(text, secrets.strong_spans(text)) == []
 
 
+def test_secrets_reach_from_end_to_start():
+    token = "token: " + "q7" * 300
+    for text, kinds in (
+        (f"{token}\nlogin: jane\nhttps://x.example.org", ["identifier", "endpoint"]),
+        (f"{token}{' ' * 299}\nlogin: jane", ["identifier"]),
+        (f"{token}{' ' * 300}\nlogin: jane", []),
+        (f"{token}\n\nlogin: jane", []),
+        (f"login: jane\n\n{token}", []),
+    ):
+        assert [k for k, _, _ in secrets.linked_spans(text, secrets.strong_spans(text))] == kinds
+
+
+def test_secrets_reach_against_all_pairs():
+    rng = np.random.default_rng(17)
+    for _ in range(300):
+        def drawn(n):
+            starts = np.sort(rng.integers(0, 6000, n))
+            scopes = starts // 2000
+            ends = np.minimum(starts + rng.integers(1, 900, n), (scopes + 1) * 2000)
+            return starts, ends, scopes
+
+        own, of = drawn(rng.integers(0, 8)), drawn(rng.integers(0, 8))
+        order = np.lexsort((of[1], of[0]))
+        of = tuple(x[order] for x in of)
+        want = [any(c == z and p <= b + secrets.REACH and q >= a - secrets.REACH for p, q, z in zip(*of, strict=True)) for a, b, c in zip(*own, strict=True)]
+        assert secrets._near(own, of).tolist() == want
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "", None, "\\", "\\</s>", "a\\", " x ", "<<", "plain", "\\\\[INST]", "é\n</s"]
     rows = [(c, t, r, x) for c, r in enumerate(("user", "assistant", "system", "<<odd>> ", "")) for t, x in enumerate(said)]
