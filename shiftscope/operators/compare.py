@@ -126,7 +126,43 @@ def hotelling(samples: DataFrame, columns: list[str]) -> DataFrame:
     p = len(columns)
     vector = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
     products = [F.covar_samp(columns[i], columns[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
-    sides = samples.groupBy(*PAIR, "side").agg(F.count(F.lit(1)).alias("n"), *vector, *products)
+    return _hotelling_solved(samples.groupBy(*PAIR, "side").agg(F.count(F.lit(1)).alias("n"), *vector, *products), p)
+
+
+def hotelling_panes(rows: DataFrame, grid: DataFrame, columns: list[str], pane: int) -> DataFrame:
+    """hotelling() over rows (detector, trace_idx, columns) and a grid whose windows begin and end at multiples of pane.
+
+    Counts, sums and products are taken once per pane, around the means of all rows, and added up over the panes of
+    each window.
+    """
+    p = len(columns)
+    centre = F.broadcast(rows.agg(*[F.avg(c).alias(f"__c{i}") for i, c in enumerate(columns)]))
+    at = F.floor(F.col("trace_idx") / pane).alias("pane")
+    moved = rows.crossJoin(centre).select("detector", at, *[(F.col(c) - F.col(f"__c{i}")).alias(f"x{i}") for i, c in enumerate(columns)])
+    sums = [F.count(F.lit(1)).alias("n")]
+    for i in range(p):
+        sums += [F.count(f"x{i}").alias(f"k{i}"), F.sum(f"x{i}").alias(f"t{i}")]
+        for j in range(i, p):
+            product = F.col(f"x{i}") * F.col(f"x{j}")
+            both = lambda c, product=product: F.sum(F.when(product.isNotNull(), F.col(c)))
+            sums += [F.count(product).alias(f"k{i}_{j}"), both(f"x{i}").alias(f"a{i}_{j}"), both(f"x{j}").alias(f"b{i}_{j}"), F.sum(product).alias(f"p{i}_{j}")]
+    panes = moved.groupBy("detector", "pane").agg(*sums)
+    sides = None
+    for side, start, end in ((1, "a_start", "a_end"), (2, "b_start", "b_end")):
+        held = F.explode(F.sequence(F.floor(F.col(start) / pane), F.floor(F.col(end) / pane))).alias("pane")
+        own = grid.select("k", F.col("b_end").alias("x_end"), F.lit(side).alias("side"), held)
+        sides = own if sides is None else sides.unionAll(own)
+    added = panes.join(sides, "pane").groupBy(*PAIR, "side").agg(*[F.sum(c).alias(c) for c in panes.columns if c not in ("detector", "pane")])
+    vector = [F.try_divide(F.col(f"t{i}"), F.col(f"k{i}")).alias(f"m{i}") for i in range(p)]
+    products = []
+    for i in range(p):
+        for j in range(i, p):
+            k, a, b, of = (F.col(f"{c}{i}_{j}") for c in "kabp")
+            products.append(F.when(k > 1, (of - a * b / k) / (k - 1)).alias(f"s{i}_{j}"))
+    return _hotelling_solved(added.select(*PAIR, "side", "n", *vector, *products), p)
+
+
+def _hotelling_solved(sides: DataFrame, p: int) -> DataFrame:
     first, second = (sides.filter(F.col("side") == k).drop("side") for k in (1, 2))
     renamed = second.withColumnsRenamed({c: f"{c}_2" for c in second.columns if c not in PAIR})
     both = first.join(renamed, list(PAIR))

@@ -96,6 +96,10 @@ def explanations_unrestricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.explanations(primary, _drift_points(spark, sf_dir))
 
 
+def explanations_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.explanations(detect.tenths(spark, _n(spark, sf_dir)), _drift_points(spark, sf_dir))
+
+
 def _true(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _n(spark, sf_dir)
     return spark.createDataFrame([(n * 5 // 10, "trace: first"), (n * 7 // 10, "trace: second"), (n * 9 // 10, "trace: third")], "change_point long, detector string")
@@ -181,7 +185,7 @@ def runs_by_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _user_days(spark, sf_dir)
     n = events.select("trace_idx").distinct().count()
-    counts = controlflow.runs_series_counts(events, grid.fixed_grid(spark, n, SIZE, slide=50))
+    counts = controlflow.runs_series_counts(events, grid.fixed_grid(spark, n, SIZE, slide=SLIDE))
     return compare.g_test(counts, 0).select("x_end", _r("statistic"), "dof", _r("value"))
 
 
@@ -278,11 +282,8 @@ def adaptive_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hotelling_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).select("trace_idx", F.log("o_totalprice").alias("x"), (F.col("o_orderkey") % 97).cast("double").alias("y"))
-    windows = grid.fixed_grid(spark, _n(spark, sf_dir), SIZE, slide=SIZE)
-    sides = windows.select("k", F.col("b_end").alias("x_end"), F.lit(1).alias("side"), F.explode(F.sequence("a_start", "a_end")).alias("trace_idx"))
-    sides = sides.unionAll(windows.select("k", "b_end", F.lit(2), F.explode(F.sequence("b_start", "b_end"))))
-    samples = rows.join(sides, "trace_idx").withColumn("detector", F.lit("price and key"))
-    return compare.hotelling(samples, ["x", "y"]).select("x_end", _r("statistic"), _r("value"))
+    rows = rows.withColumn("detector", F.lit("price and key"))
+    return compare.hotelling_panes(rows, _fixed(spark, sf_dir), ["x", "y"], PANE).select("x_end", _r("statistic"), _r("value"))
 
 
 def synthetic_drift_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,6 +418,7 @@ SELECT x_end, round(statistic, 6) AS statistic, CASE WHEN j = 0 THEN 1.0 ELSE ro
     "region_change_series": f"WITH {_T}, {_TENTHS}, {_REGION}, {_DRIFT}, {_COUNTS}, {_MOVED}, {_scored(_G)} SELECT detector, k AS pos, x_end, round(value, 6) AS value FROM series",
     "explanations_table": f"WITH {_FOUND}, {_TENTHS}, {_EXPLAINED} SELECT * FROM explained",
     "explanations_unrestricted": f"WITH {_FOUND}, {_TENTHS}, {_EXPLAINED.replace(f'ON abs(s.change_point - p.change_point) <= {DISTANCE}', 'ON p.i IN (5, 7)')} SELECT * FROM explained",
+    "explanations_all_points": f"WITH {_FOUND}, {_TENTHS}, {_EXPLAINED.replace(f'ON abs(s.change_point - p.change_point) <= {DISTANCE}', 'ON true')} SELECT * FROM explained",
     "evaluate_explanations": f"WITH {_FOUND}, {_TENTHS}, {_EXPLAINED}, {_TRUE}, flat AS (SELECT secondary_cp AS change_point, detector FROM explained), {_evaluated('flat', SIZE)} SELECT correct AS number_of_correct_detections, trues AS number_of_true_changes, detections AS number_of_detections, {_RATIOS}, round(mean_lag, 6) AS mean_lag, all_lags FROM r",
     "evaluate_single": f"WITH {_FOUND}, {_TRUE}, {_evaluated('points', SIZE, False)} SELECT correct AS number_of_correct_detections, {_RATIOS}, round(mean_lag, 6) AS mean_lag FROM r",
     "aggregate_results": f"""WITH {_FOUND}, {_TRUE}, {_evaluated('points', SIZE)}, {_evaluated('points', 30, True, 'q')},
@@ -470,6 +472,7 @@ SELECT criterion, epoch_us(t_start) AS w, count(*) AS events, count(DISTINCT tra
 
 _QUERIES = (
     change_series_gtest, change_series_chi2, change_series_hellinger, change_series_ks, phi_change_points, region_change_series, explanations_table, explanations_unrestricted,
+    explanations_all_points,
     evaluate_explanations, evaluate_single, aggregate_results, activity_counts, causality_followed_by, causality_preceded_by, sna_relations, relation_type_counts,
     bidirectional_relation_counts, relational_entropy, directly_follows, concurrency, runs_by_trace, runs_change_series, activity_sequences, value_distribution,
     rolling_mean_filled, open_order_ratio, value_counts_before_after, describe_before_after, correlation_pairs, correlated_columns, top_pvalues, log_stats, attribute_catalog,

@@ -114,3 +114,33 @@ def test_positions_are_dense_and_ordered(spark):
     rows = spark.range(0, 5000, numPartitions=7).select(((F.col("id") * 7919) % 5000).alias("v"))
     placed = dense_index(rows, [F.col("v")])
     assert placed.filter("v != trace_idx").count() == 0 and placed.count() == 5000
+
+
+def test_hotelling_panes_against_rows(spark):
+    rows = [("d", i, float((i * 37) % 23) if i % 11 else None, float((i * i) % 19) + 1000) for i in range(137)]
+    rows = spark.createDataFrame(rows, "detector string, trace_idx long, x double, y double")
+    windows = grid.fixed_grid(spark, 137, 40, slide=10)
+    sides = [
+        rows.join(windows, rows["trace_idx"].between(windows[f"{s}_start"], windows[f"{s}_end"])).select("detector", "k", F.col("b_end").alias("x_end"), F.lit(i).alias("side"), "x", "y")
+        for i, s in ((1, "a"), (2, "b"))
+    ]
+    want = {r.k: (r.statistic, r.value) for r in compare.hotelling(sides[0].unionAll(sides[1]), ["x", "y"]).collect()}
+    got = {r.k: (r.statistic, r.value) for r in compare.hotelling_panes(rows, windows, ["x", "y"], 10).collect()}
+    assert len(want) == 6 and set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9)
+
+
+@pytest.mark.parametrize(("name", "sf"), [("hotelling_series", "sf0.001"), ("runs_change_series", "sf0.01")])
+def test_series_slide_by_ten(spark, name, sf):
+    from shiftscope.plans import queries
+
+    ends = sorted(r.x_end for r in queries.queries()[name](spark, f"/root/testdata/{sf}").select("x_end").collect())
+    assert len(ends) > 1 and ends == list(range(399, ends[-1] + 1, 10))
+
+
+def test_explanations_of_all_points(spark):
+    from shiftscope.plans import queries
+
+    found = queries.explanations_all_points(spark, "/root/testdata/sf0.01").select("primary_cp").distinct().count()
+    assert found == 9
