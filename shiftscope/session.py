@@ -23,16 +23,47 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where none is named."""
+    """The folder that all executors share, as the session names it.
+
+    Where none is named a local session gets a folder of its own; on a cluster, whose machines would not share it,
+    that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/shiftscope-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _paths(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_shiftscope_tables"):
+        context._shiftscope_tables = []
+    return context._shiftscope_tables
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._shiftscope_path = path
+    _paths(df.sparkSession).append(path)
+    return table
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in the order of written(), for release()."""
+    return len(_paths(spark))
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables that were written after a mark, but those in keep. Frames that still read them must not be used."""
+    paths, spared = _paths(spark), {getattr(k, "_shiftscope_path", None) for k in keep}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [p for p in paths[since:] if p not in spared]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        paths.remove(path)
