@@ -5,9 +5,10 @@ parts say nothing alone: account identifiers, endpoints, and opaque values. They
 weak part is reported if a complementary part stands within REACH code points of it in the same scope, from the end of
 one to the start of the other, scopes being the stretches between blank lines. Complements are: of an opaque value, an
 identifier, access key or endpoint; of an identifier, a secret (assignment, hexadecimal run or opaque value); of an
-endpoint, both an identifier or access key and a secret. An opaque value may stand right behind `=`, unless it is the
-value of an identifier. The join runs over sorted starts and running ends within a text, so a text with many parts is
-not paired with itself.
+endpoint, both an identifier or access key and a secret. Parts that overlap are no complements of each other, and an
+opaque value within a strong span, an identifier or an endpoint is no part of its own. An endpoint ends before `;`, `?`
+and `#`, so a signature among a URL's parameters is one. The join runs over sorted ends and sorted starts within a text,
+so a text with many parts is not paired with itself.
 
 Cases: null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows get equal spans. No
 rows: no rows. Texts are taken whole. Other columns pass unchanged; the helper column is named __secret_spans.
@@ -31,7 +32,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENTIFIER = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9._@-]{2,})""", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"""https?://[^\s"'<>|]{4,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""", re.IGNORECASE | re.ASCII)
+_ENDPOINT = re.compile(r"""https?://[^\s"'<>|;?#]{4,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{3,}""", re.IGNORECASE | re.ASCII)
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -65,16 +66,18 @@ def _overlaps(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray
 
 
 def _near(places: tuple[np.ndarray, np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether REACH code points at most lie between each place and a part of `of` in the same scope; both by start."""
+    """Whether a part of `of` in the same scope lies wholly before or after each place, at most REACH code points away."""
     (starts, ends, scopes), (of_start, of_end, of_scope) = places, of
     if not len(of_start) or not len(starts):
         return np.zeros(len(starts), bool)
-    # scopes follow one another; each is moved beyond the ends and the reach of those before it
+    # scopes follow one another; each is moved beyond the reach of the one before it
     width = max(int(of_end.max()), int(ends.max())) + REACH + 1
-    reached = np.maximum.accumulate(of_end + of_scope * width)
-    # of the parts that start early enough, one must end late enough
-    last = np.minimum(np.searchsorted(of_start, ends + REACH, side="right"), np.searchsorted(of_scope, scopes, side="right")) - 1
-    return (last >= 0) & (reached[np.maximum(last, 0)] >= starts - REACH + scopes * width)
+    left, right = np.sort(of_end + of_scope * width), np.sort(of_start + of_scope * width)
+    before = np.searchsorted(left, starts + scopes * width, side="right") - 1
+    after = np.searchsorted(right, ends + scopes * width)
+    ends_near = (before >= 0) & (left[np.maximum(before, 0)] >= starts - REACH + scopes * width)
+    starts_near = (after < len(right)) & (right[np.minimum(after, len(right) - 1)] <= ends + REACH + scopes * width)
+    return ends_near | starts_near
 
 
 def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -87,9 +90,7 @@ def linked_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[st
     if not (parts["identifier"] or parts["endpoint"] or access):
         return []
     opaque = [m.span() for m in _OPAQUE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
-    named = {b for _, b in parts["identifier"]}
-    opaque = [(a, b) for a, b in opaque if not (b in named and text[a - 1 : a] == "=")]
-    taken = _overlaps(opaque, *_merged([(a, b) for _, a, b in strong]))
+    taken = _overlaps(opaque, *_merged([(a, b) for _, a, b in strong] + parts["identifier"] + parts["endpoint"]))
     parts["opaque"] = [s for s, known in zip(opaque, taken, strict=True) if not known]
     breaks = np.array([m.start() for m in _BLANK.finditer(text)] or [len(text)])
 
