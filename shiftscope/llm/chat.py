@@ -1,14 +1,18 @@
 """Chat formatting that is proved by a grammar round trip.
 
 A turn is rendered by itself: a user's as `[INST] text [/INST]`, an assistant's as ` text </s>`, any other role's as
-`<<role>> text </s>`. A deterministic parser reads the rendered turn back; if role, text or end differ from the source,
-control strings and escapes in the text get a backslash until they agree. The template marks assistant texts as the
-loss mask. Turns need nothing of each other, so a conversation of any length is formatted row by row; its output is the
-segments in order, and no task holds a whole conversation. Digests stream over rows sorted by conversation.
+`<<role>> text </s>`. Control strings inside texts and roles get a backslash; a strict deterministic parser, which takes
+no text that holds a control string without one, reads the rendered turn back. If role, text or end differ from the
+source, as where the text holds backslashes of its own, these are escaped as well, and the turn is read again. The
+template marks assistant texts as the loss mask. Turns need nothing of each other, so a conversation of any length is
+formatted row by row; its output is the segments in order, and no task holds a whole conversation.
+
+Digests read the output of a whole conversation back: segments are joined as they come, sorted by conversation, and the
+parser alone decides where a turn ends. What it has read is let go, so memory is bounded by a turn.
 
 Cases: null texts and roles are empty; a null conversation id is a conversation; rows of one turn are ordered by role
-and text. Repeated rows are turns of their own. No rows: no rows. Segments have the other columns; helper columns are
-named __chat_*.
+and text. Repeated rows are turns of their own. No rows: no rows. Texts of any length are taken whole. Segments have the
+other columns; helper columns are named __chat_*, and a column of such a name is replaced.
 """
 
 import hashlib
@@ -24,63 +28,61 @@ from shiftscope.llm._cluster import ship
 #: Fixed strings of the template. The escape stands before any of them, and before itself, inside texts.
 CONTROLS = ("[INST]", "[/INST]", "</s>", "<<", ">>")
 ESCAPE = "\\"
-_CONTROL = re.compile("|".join(map(re.escape, (*CONTROLS, ESCAPE))))
+_CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
+_SPECIAL = re.compile("|".join(map(re.escape, (*CONTROLS, ESCAPE))))
 _ESCAPED = re.compile(re.escape(ESCAPE) + "(" + "|".join(map(re.escape, (*CONTROLS, ESCAPE))) + ")")
+#: An escaped special, or a bare control string.
+_TOKEN = re.compile(_ESCAPED.pattern + "|" + _CONTROL.pattern)
 
 
-def _open_close(role: str) -> tuple[str, str]:
-    if role == "user":
-        return "[INST] ", " [/INST]"
-    if role == "assistant":
-        return " ", " </s>"
-    return f"<<{_CONTROL.sub(lambda m: ESCAPE + m[0], role)}>> ", " </s>"
+def _with_escapes(of: re.Pattern, text: str) -> str:
+    return of.sub(lambda m: ESCAPE + m[0], text)
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def _find(text: str, control: str, start: int) -> int:
-    """The first place of control that no escape stands before, -1 if none."""
-    at = start
-    while at < len(text):
-        m = _CONTROL.search(text, at)
-        if not m:
-            return -1
-        if m[0] == control:
-            return m.start()
-        if m[0] == ESCAPE:
-            after = _CONTROL.match(text, m.end())
-            at = after.end() if after else m.end()
-        else:
-            at = m.end()
-    return -1
+def _bare(text: str, start: int) -> tuple[str, int]:
+    """The first control string from start on that no escape stands before, and its place; ("", -1) if none."""
+    for m in _TOKEN.finditer(text, start):
+        if m[1] is None:
+            return m[0], m.start()
+    return "", -1
+
 
+def parse(output: str, start: int = 0) -> tuple[str, int, int, int] | None:
+    """(role, first and end place of the text, end of the turn) of the turn that starts at start; None if none does.
 
-def parse(segments: str, start: int = 0) -> tuple[str, int, int, int] | None:
-    """(role, first and end place of the text, end of the turn) of the turn that starts at start; None if none does."""
-    if segments.startswith("[INST] ", start):
+    The text ends at the first bare control string, which must be the one that closes the turn.
+    """
+    if output.startswith("[INST] ", start):
         role, first, close = "user", start + 7, "[/INST]"
-    elif segments.startswith("<<", start):
-        end = _find(segments, ">>", start + 2)
-        if end < 0 or not segments.startswith(" ", end + 2):
+    elif output.startswith("<<", start):
+        control, end = _bare(output, start + 2)
+        if control != ">>" or not output.startswith(" ", end + 2):
             return None
-        role, first, close = unescape(segments[start + 2 : end]), end + 3, "</s>"
-    elif segments.startswith(" ", start):
+        role, first, close = unescape(output[start + 2 : end]), end + 3, "</s>"
+    elif output.startswith(" ", start):
         role, first, close = "assistant", start + 1, "</s>"
     else:
         return None
-    end = _find(segments, close, first)
-    if end < first + 1 or segments[end - 1] != " ":
+    control, end = _bare(output, first)
+    if control != close or end < first + 1 or output[end - 1] != " ":
         return None
     return role, first, end - 1, end + len(close)
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """(segment, first and end place of the text in it)"""
-    opening, closing = _open_close(role)
-    for escaped in (text, _CONTROL.sub(lambda m: ESCAPE + m[0], text)):
-        segment = opening + escaped + closing
+    for conflicting in (_CONTROL, _SPECIAL):
+        escaped = _with_escapes(conflicting, text)
+        if role == "user":
+            segment = f"[INST] {escaped} [/INST]"
+        elif role == "assistant":
+            segment = f" {escaped} </s>"
+        else:
+            segment = f"<<{_with_escapes(_SPECIAL, role)}>> {escaped} </s>"
         read = parse(segment)
         if read and read[0] == role and unescape(segment[read[1] : read[2]]) == text and read[3] == len(segment):
             return segment, read[1], read[2]
@@ -101,7 +103,7 @@ def segments(turns: DataFrame, *, role_col: str = "role", text_col: str = "text"
     """turns with __chat_segment and its loss mask, code points __chat_from to __chat_to (both 0: none)."""
     ship(turns.sparkSession)
     ready = turns.select(
-        *[F.col(f"`{c}`") for c in turns.columns],
+        *[F.col(f"`{c}`") for c in turns.columns if not c.startswith("__chat_")],
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("__chat_role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__chat_text"),
         F.lit("").alias("__chat_segment"),
@@ -111,46 +113,64 @@ def segments(turns: DataFrame, *, role_col: str = "role", text_col: str = "text"
     return ready.mapInArrow(_render, ready.schema).drop("__chat_role", "__chat_text")
 
 
-class _Digest:
+class Reader:
+    """Reads a conversation's output back as it comes, and digests its turns and the text under its loss mask."""
+
     def __init__(self, conv: object):
         self.conv, self.n, self.loss, self.chars = conv, 0, 0, 0
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
+        self.unread = ""
 
     def add(self, segment: str, first: int, end: int) -> None:
-        read = parse(segment)
-        assert read and read[3] == len(segment)
-        self.n += 1
-        self.chars += len(segment)
-        self.turns.update(f"{read[0]}\n{unescape(segment[read[1] : read[2]])}\n".encode())
         masked = unescape(segment[first:end])
         self.loss += len(masked)
         self.masked.update(masked.encode())
+        self.chars += len(segment)
+        self.unread = self.unread + segment if self.unread else segment
+        at = 0
+        while read := parse(self.unread, at):
+            self.n += 1
+            self.turns.update(f"{read[0]}\n{unescape(self.unread[read[1] : read[2]])}\n".encode())
+            at = read[3]
+        self.unread = self.unread[at:]
+
+    def row(self) -> tuple:
+        if self.unread:
+            raise ValueError(f"conversation {self.conv} cannot be read back")
+        return self.conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.chars
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch_of(done: list[_Digest]) -> pa.RecordBatch:
-        columns = [[d.conv for d in done], [d.n for d in done], [d.turns.hexdigest() for d in done], [d.loss for d in done], [d.masked.hexdigest() for d in done], [d.chars for d in done]]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    now: _Digest | None = None
+    now: Reader | None = None
     for batch in batches:
         conv_type, done = batch.schema.field(0).type, []
         for conv, segment, first, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if now is None or now.conv != conv:
-                done += [now] if now else []
-                now = _Digest(conv)
+                done += [now.row()] if now else []
+                now = Reader(conv)
             now.add(segment, first, end)
         if done:
             yield batch_of(done)
     if now:
-        yield batch_of([now])
+        yield batch_of([now.row()])
 
 
 def digests(formatted: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each conversation, read back from the segments of segments()."""
     ordered = formatted.select(
-        F.col(conv_col).alias("conv_id"), "__chat_segment", "__chat_from", "__chat_to", F.col(turn_col).alias("__chat_turn"), F.coalesce(role_col, F.lit("")).alias("__chat_r"), F.coalesce(text_col, F.lit("")).alias("__chat_t")
+        F.col(conv_col).alias("conv_id"),
+        "__chat_segment",
+        "__chat_from",
+        "__chat_to",
+        F.col(turn_col).alias("__chat_turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("__chat_r"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__chat_t"),
     )
     ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "__chat_turn", "__chat_r", "__chat_t")
     kind = formatted.schema[conv_col].dataType.simpleString()
