@@ -1,33 +1,23 @@
 """Where intermediate tables go, and when a side is small enough to broadcast."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shiftscope.session import ship  # noqa: F401
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of our own is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/shiftscope-checkpoints"
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
+from shiftscope.session import mark, release, shared_dir, ship, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_BYTES", "mark", "release", "shared_dir", "ship", "small_side", "written"]
 
+#: A side is broadcast up to this many bytes; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: What a row takes in a hash table besides its strings.
+ROW_BYTES = 48
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint for a written table of at most max_rows rows; larger ones are joined by shuffle."""
-    return F.broadcast(df) if df.count() <= max_rows else df
 
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a written table, if its rows, strings and binaries counted, take `most` bytes at most."""
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    fixed = ROW_BYTES + 8 * len(df.columns)
+    own = sum(texts, F.lit(fixed)).cast("long")
+    size = df.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df

@@ -1,12 +1,20 @@
-"""Words of many texts at once, as arrays: NumPy over the bytes of an Arrow column."""
+"""Words of many texts at once, as arrays: NumPy over the bytes of an Arrow column.
 
+A chunk is a run of texts of CHUNK_BYTES together, or one longer text. What is taken byte by byte is taken PIECE_BYTES at
+a time, so a text of any length costs its own bytes, a lower-cased copy and 24 bytes a word, besides what a caller makes
+of the words.
+"""
+
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are taken apart at a time; the arrays for them take some 40 times as much.
+#: Bytes of text that are taken apart together.
 CHUNK_BYTES = 1 << 20
+#: Bytes that temporary arrays are made of at a time.
+PIECE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -23,11 +31,10 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 SPACED = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 ALNUM = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
-_MASK = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
-_BYTE = np.random.default_rng(1234567).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: dict[int, np.ndarray] = {}
+#: Words of more bytes are hashed by BLAKE2.
+LONG_WORD = 64
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,13 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
-    return have[:n]
+#: Factors of the words of a run, odd and without a pattern.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * _SEED) | np.uint64(1)
 
 
 def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,32 +76,46 @@ def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of each word, A-Z lower-cased, and n + 1 offsets of each row's words.
 
-    Equal words have equal hashes; different ones differ but for a chance of 2 ** -64 a pair.
+    Equal words have equal hashes. Hashes are not words: where a hit must be certain, callers compare the bytes.
     """
     low = LOWER[data]
-    inside = is_word[low]
-    n = len(low)
-    starts, ends = inside.copy(), inside.copy()
-    if n:
-        before = np.concatenate(([False], inside[:-1]))
-        after = np.concatenate((inside[1:], [False]))
-        before[offsets[:-1][offsets[:-1] < n]] = False
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-        starts &= ~before
-        ends &= ~after
-    first, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return span_hashes(running(data), first, end), first, end, np.searchsorted(first, offsets)
-
-
-def running(data: np.ndarray) -> np.ndarray:
-    """Sums from which span_hashes() takes the hash of any span of data, A-Z lower-cased."""
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * _powers(_P, len(data)), out=run[1:])
-    return run
-
-
-def span_hashes(run: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((run[end] - run[first]) * _powers(_P_INVERSE, len(run))[first])
+    firsts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in range(0, len(low), PIECE_BYTES):
+        q = min(len(low), p + PIECE_BYTES)
+        # with the byte before and the byte after, so that a word may cross pieces
+        wide = np.zeros(q - p + 2, bool)
+        a, b = max(0, p - 1), min(len(low), q + 1)
+        wide[a - p + 1 : b - p + 1] = is_word[low[a:b]]
+        inside, before, after = wide[1:-1], wide[:-2].copy(), wide[2:].copy()
+        opened = offsets[np.searchsorted(offsets, p) : np.searchsorted(offsets, q)]
+        closed = offsets[np.searchsorted(offsets, p, side="right") : np.searchsorted(offsets, q, side="right")]
+        before[opened - p] = False
+        after[closed - p - 1] = False
+        firsts.append(np.flatnonzero(inside & ~before) + p)
+        ends.append(np.flatnonzero(inside & ~after) + p + 1)
+    first, end = np.concatenate(firsts), np.concatenate(ends)
+    return span_hashes(low, first, end), first, end, np.searchsorted(first, offsets)
+
+
+def span_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight bytes at a time through a bijection, BLAKE2 for long spans."""
+    out = np.empty(len(first), np.uint64)
+    if not len(first):
+        return out
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    lanes = np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))
+    for p in range(0, len(first), PIECE_BYTES):
+        start, length = first[p : p + PIECE_BYTES], end[p : p + PIECE_BYTES] - first[p : p + PIECE_BYTES]
+        h = mix(length.astype(np.uint64) + _SEED)
+        h = mix(h ^ (lanes[start] & _LANE[np.minimum(length, 8)]))
+        for at in range(8, min(LONG_WORD, int(length.max())), 8):
+            own = np.flatnonzero(length > at)
+            h[own] = mix(h[own] ^ (lanes[start[own] + at] & _LANE[np.minimum(length[own] - at, 8)]))
+        for i in np.flatnonzero(length > LONG_WORD):
+            h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + length[i]], digest_size=8).digest(), "little")
+        out[p : p + PIECE_BYTES] = h
+    return out
 
 
 def ngrams(hashes: np.ndarray, row_offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +123,9 @@ def ngrams(hashes: np.ndarray, row_offsets: np.ndarray, n: int) -> tuple[np.ndar
     counts = np.diff(row_offsets)
     if not len(hashes):
         return hashes, np.zeros(len(row_offsets), np.int64)
-    factor = _powers(0xD6E8FEB86659FD93, n + 1)
     runs = np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64)
     for i in range(n):
-        runs += hashes[i : i + len(runs)] * factor[i + 1]
+        runs += hashes[i : i + len(runs)] * _FACTORS[i]
     made = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
     out_offsets = np.concatenate(([0], np.cumsum(made)))
     row = np.repeat(np.arange(len(counts)), made)
@@ -120,5 +135,5 @@ def ngrams(hashes: np.ndarray, row_offsets: np.ndarray, n: int) -> tuple[np.ndar
     out[whole] = mix(runs[at[whole]])
     for r in np.flatnonzero((counts > 0) & (counts < n)):
         own = hashes[row_offsets[r] : row_offsets[r + 1]]
-        out[out_offsets[r]] = mix(np.sum(own * factor[1 : len(own) + 1], keepdims=True) + np.uint64(len(own)))[0]
+        out[out_offsets[r]] = mix(np.sum(own * _FACTORS[: len(own)], keepdims=True) + np.uint64(len(own)))[0]
     return out, out_offsets

@@ -1,7 +1,7 @@
 """Chat formatting that is proved by a grammar round trip.
 
 A turn is rendered by itself: a user's as `[INST] text [/INST]`, an assistant's as ` text </s>`, any other role's as
-`<<role>> text </s>`. Control strings inside texts and roles get a backslash; a strict deterministic parser, which takes
+`<<role >> text </s>`. Control strings inside texts and roles get a backslash; a strict deterministic parser, which takes
 no text that holds a control string without one, reads the rendered turn back. If role, text or end differ from the
 source, as where the text holds backslashes of its own, these are escaped as well, and the turn is read again. The
 template marks assistant texts as the loss mask. Turns need nothing of each other, so a conversation of any length is
@@ -60,9 +60,9 @@ def parse(output: str, start: int = 0) -> tuple[str, int, int, int] | None:
         role, first, close = "user", start + 7, "[/INST]"
     elif output.startswith("<<", start):
         control, end = _bare(output, start + 2)
-        if control != ">>" or not output.startswith(" ", end + 2):
+        if control != ">>" or output[end - 1] != " " or not output.startswith(" ", end + 2):
             return None
-        role, first, close = unescape(output[start + 2 : end]), end + 3, "</s>"
+        role, first, close = unescape(output[start + 2 : end - 1]), end + 3, "</s>"
     elif output.startswith(" ", start):
         role, first, close = "assistant", start + 1, "</s>"
     else:
@@ -82,7 +82,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
         elif role == "assistant":
             segment = f" {escaped} </s>"
         else:
-            segment = f"<<{_with_escapes(_SPECIAL, role)}>> {escaped} </s>"
+            segment = f"<<{_with_escapes(_SPECIAL, role)} >> {escaped} </s>"
         read = parse(segment)
         if read and read[0] == role and unescape(segment[read[1] : read[2]]) == text and read[3] == len(segment):
             return segment, read[1], read[2]
