@@ -3,15 +3,18 @@
 A unit vector is coded as the sum of one entry of each of BOOKS full-dimensional codebooks. The books are trained by
 k-means on the residuals of a bounded sample, and every row is encoded by a beam search that keeps the BEAM best partial
 sums over all books. A code's approximate norm is stored with it. A block of queries is scored against a task's codes
-by lookup tables, the SHORTLIST best of each query in the task are scored again exactly, in double precision on the
-original vectors, and the best of all tasks are the answer.
+by lookup tables. A task goes through its codes in slices and keeps the SHORTLIST largest table scores of each query so
+far; what reaches the least of them, equal scores included, is scored again exactly, in double precision on the original
+vectors. Of n codes in random order a query so reranks SHORTLIST * (1 + ln(n / SHORTLIST)) in a task, besides ties. The
+best of all tasks are the answer.
 
 Queries come in blocks of at most QUERY_BLOCK, each of which is broadcast; the rows are never paired with themselves.
-Codes are compared by score, then id, so equal vectors are found in the order of their ids.
+Equal vectors have equal codes, so all copies of a candidate are reranked, and are found in the order of their ids.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do vectors of
-another dimension than the most frequent one, nor rows without an id. A query is no candidate of its own; other rows of
-its id are none either. Fewer candidates than asked for: all of them. No rows: no rows.
+another dimension than the most frequent one, nor rows without an id. Vectors of any other size take part: each is
+scaled by a power of two, which changes no cosine, before it is squared. A query is no candidate of its own; other rows
+of its id are none either. Fewer candidates than asked for: all of them. No rows: no rows. Other columns are not read.
 """
 
 from collections.abc import Iterator
@@ -25,13 +28,17 @@ from pyspark.sql import functions as F
 from shiftscope.llm._cluster import ship, written
 
 BOOKS, ENTRIES, BEAM = 16, 256, 4
-SHORTLIST = 128
+#: Table scores of a query that a task keeps; what reaches the least of them is reranked.
+SHORTLIST = 256
+#: Components of vectors that are multiplied at a time in reranking.
+RERANK_COMPONENTS = 1 << 22
 #: Vectors that the codebooks are trained on, in expectation.
 TRAINING = 8_192
 #: 8 bytes a component: 4096 queries of 1024 dimensions take 32 MB.
 QUERY_BLOCK = 4_096
-#: Codes scored at a time.
+#: Codes and queries scored at a time.
 CODES = 2_048
+QUERIES = 512
 
 
 @dataclass
@@ -59,16 +66,15 @@ class Codebooks:
         n, d = x.shape
         codes, rest = np.zeros((n, 1, 0), np.uint8), x[:, None, :].copy()
         for book in self.books:
-            width = rest.shape[1]
-            error = (rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)
-            keep = min(BEAM, width * len(book))
-            best = np.argsort(error.reshape(n, -1), axis=1, kind="stable")[:, :keep]
+            error = ((rest**2).sum(axis=2)[:, :, None] - 2 * rest @ book.T + (book**2).sum(axis=1)).reshape(n, -1)
+            best = np.argpartition(error, BEAM - 1, axis=1)[:, :BEAM]
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(error, best, axis=1), axis=1), axis=1)
             parent, entry = best // len(book), best % len(book)
             rows = np.arange(n)[:, None]
             rest = rest[rows, parent] - book[entry]
             codes = np.concatenate((codes[rows, parent], entry[:, :, None].astype(np.uint8)), axis=2)
         total = x - rest[:, 0]
-        return codes[:, 0], np.sqrt((total**2).sum(axis=1))
+        return codes[:, 0], np.sqrt((total**2).sum(axis=1)).astype(np.float64)
 
 
 def _vectors(column: pa.Array, dimension: int) -> np.ndarray:
@@ -76,7 +82,13 @@ def _vectors(column: pa.Array, dimension: int) -> np.ndarray:
     return np.ascontiguousarray(values.reshape(-1, dimension), dtype=np.float64)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors scaled by powers of two to a largest component of one half to one: exact, and safe to square."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -96,7 +108,7 @@ def _encode(shared, dimension: int) -> object:
         for batch in batches:
             for at in range(0, batch.num_rows, CODES):
                 part = batch.slice(at, CODES)
-                codes, norms = books.encode(_unit(_vectors(part.column(1), dimension)))
+                codes, norms = books.encode(_unit(_vectors(part.column(1), dimension)).astype(np.float32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["id", "v", "code", "norm"]
                 )
@@ -112,58 +124,65 @@ def index(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embeddi
     if not dimension:
         return kept.select("id", "v", F.lit(b"").alias("code"), F.lit(0.0).alias("norm")), None, 0
     n = kept.count()
-    drawn = kept if n <= training else kept.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) < int(training / n * (1 << 20)))
-    # repeated vectors count once, so that a frequent one takes no codebook
-    sample = np.array([r.v for r in drawn.select("v").distinct().limit(2 * training).collect()], dtype=np.float64)
+    # drawn by the vector: repeated ones count once, so that a frequent one takes no codebook
+    order = F.xxhash64(F.lit(3), "v")
+    drawn = kept if n <= training else kept.filter(F.pmod(order, F.lit(1 << 20)) < int(training / n * (1 << 20)))
+    sample = np.array([r.v for r in drawn.select("v").distinct().orderBy(order, "v").collect()], dtype=np.float64)
     books = Codebooks.trained(_unit(sample)) if len(sample) else Codebooks(np.zeros((BOOKS, ENTRIES, dimension)))
+    books.books = books.books.astype(np.float32)
     coded = kept.mapInArrow(_encode(spark.sparkContext.broadcast(books), dimension), "id long, v array<double>, code binary, norm double")
     return written(coded, "ann-codes"), books, dimension
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores of each row, ties to smaller ids, of ids in ascending order."""
-    if score.shape[1] > 4 * k:
-        least = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
-        out = np.zeros((len(score), k), np.int64)
-        for i in range(len(score)):
-            some = np.flatnonzero(score[i] >= least[i])
-            out[i] = some[np.argsort(-score[i, some], kind="stable")[:k]]
-        return out
-    return np.argsort(-score, axis=1, kind="stable")[:, :k]
+def _nearest(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores of each query, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, queries))
+    own = queries[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    return order[rank < k]
 
 
 def _search(shared, dimension: int, k: int, shortlist: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, books = shared.value
-        unit = _unit(queries)
-        tables = np.einsum("qd,bed->qbe", unit, books.books).astype(np.float32)
+        queries = _scaled(queries)
         norm_q = np.sqrt((queries * queries).sum(axis=1))
-        best_id = [np.zeros(0, np.int64)] * len(query_ids)
-        best_score = [np.zeros(0)] * len(query_ids)
+        unit = (queries / norm_q[:, None]).astype(np.float32)
+        blocks = [slice(q, q + QUERIES) for q in range(0, len(query_ids), QUERIES)]
+        # a row of a table holds the products of one entry with all queries of a block
+        tables = [np.ascontiguousarray(np.einsum("bed,qd->beq", books.books, unit[own])) for own in blocks]
+        top = [np.full((len(query_ids[own]), shortlist), -np.inf, np.float32) for own in blocks]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             for at in range(0, batch.num_rows, CODES):
                 part = batch.slice(at, CODES)
-                ids = part.column(0).to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, vectors = ids[order], _vectors(part.column(1), dimension)[order]
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, BOOKS)[order]
-                norm = part.column(3).to_numpy()[order].astype(np.float32)
+                ids, vectors = part.column(0).to_numpy(), _scaled(_vectors(part.column(1), dimension))
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, BOOKS)
+                norm = np.maximum(part.column(3).to_numpy().astype(np.float32), np.float32(1e-9))
                 norm_v = np.sqrt((vectors * vectors).sum(axis=1))
-                for q in range(0, len(query_ids), 512):
-                    rough = sum(tables[q : q + 512, b][:, codes[:, b]] for b in range(BOOKS)) / np.maximum(norm, 1e-9)
-                    rough[query_ids[q : q + 512, None] == ids] = -np.inf
-                    places = _best(rough, ids, shortlist)
-                    for i, own in enumerate(places):
-                        own = own[np.isfinite(rough[i, own])]
-                        exact = (vectors[own] * queries[q + i]).sum(axis=1) / (norm_v[own] * norm_q[q + i])
-                        all_ids, all_scores = np.concatenate((best_id[q + i], ids[own])), np.concatenate((best_score[q + i], exact))
-                        top = np.lexsort((all_ids, -all_scores))[:k]
-                        best_id[q + i], best_score[q + i] = all_ids[top], all_scores[top]
-        sizes = [len(x) for x in best_id]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate(best_id)), pa.array(np.concatenate(best_score))], ["query_id", "vec_id", "score"]
-            )
+                found = [best]
+                for i, own in enumerate(blocks):
+                    rough = tables[i][0][codes[:, 0]]
+                    for b in range(1, BOOKS):
+                        rough += tables[i][b][codes[:, b]]
+                    rough = np.ascontiguousarray((rough / norm[:, None]).T)
+                    rough[query_ids[own, None] == ids] = -np.inf
+                    both = np.concatenate((top[i], rough), axis=1)
+                    top[i] = np.partition(both, both.shape[1] - shortlist, axis=1)[:, -shortlist:]
+                    likely = (rough >= top[i].min(axis=1)[:, None]) & (rough > -np.inf)
+                    query, row = np.nonzero(likely)
+                    query += own.start
+                    for p in range(0, len(query), max(1, RERANK_COMPONENTS // dimension)):
+                        q, r = (x[p : p + max(1, RERANK_COMPONENTS // dimension)] for x in (query, row))
+                        exact = (vectors[r] * queries[q]).sum(axis=1) / (norm_v[r] * norm_q[q])
+                        kept = _nearest(q, ids[r], exact, k)
+                        found.append((q[kept], ids[r][kept], exact[kept]))
+                if len(found) > 1:
+                    best = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                    kept = _nearest(*best, k)
+                    best = tuple(x[kept] for x in best)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
 
     return run
 
