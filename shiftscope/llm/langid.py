@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shiftscope.llm._cluster import ship
 from shiftscope.llm._fit import remainder
-from shiftscope.llm._text import LOWER, byte_class, chunks, mix
+from shiftscope.llm._text import LOWER, PIECE_BYTES, byte_class, chunks, mix
 
 SIZES = (3, 4)
 SAMPLE_TEXTS = 1_500

@@ -10,11 +10,17 @@ of texts without relatives, so most texts, and the frequent tokens of passages t
 
 Skip: lists whose classes are in one component already are skipped. First the classes of a list meet its leader, the
 class whose tokens most others hold, which joins most of a group in pairs that grow with its size. What still crosses
-components in lists of more than SMALL_LIST classes is compared inside tasks that hold two blocks of a list at most and
-return links only. A class goes through its WIDE largest lists that way, and a pair counts in the first list that both
-have. Pairs that share none of these lists are joined as rows. All retained pairs
+components in lists of up to SMALL_LIST classes is joined as rows. Longer lists, such as those of a passage that many
+documents share, are dealt anew: of the classes in them the full sets' shingles are counted, and since two sets of
+similarity 0.75 share a shingle among the rarest quarter of each, a pair need only meet in the list of such a shingle;
+a shared passage is seldom among them. Lists of rare shingles that are long all the same are compared inside tasks that
+hold two blocks of a list at most and return links only. A class goes through its WIDE largest lists that way, and a pair
+counts in the first list that both have. Pairs that share none of these lists are joined as rows. All retained pairs
 are confirmed on the full sets, so components are those of the links; pairs inside a component are not needed.
 
+Sets are of 64-bit hashes of shingles, made of 64-bit hashes of words without algebraic structure: two different
+shingles of a pair of n shingles are taken for one with a chance of n * n * 2 ** -64, texts of one set by 128 bits.
+
 Cases: a null or empty text, or one without words, has no shingles, is linked with nothing and stays. A text of fewer
 than five words is one shingle. Repeated rows are members of the same class; rows with the smallest id of a
 component are the kept ones. Rows without an id take part, and are kept where no row of the component has one.
@@ -30,17 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import ship, small_side, written
+from shiftscope.llm._cluster import mark, release, ship, small_side, written
 from shiftscope.llm._text import SPACED, chunks, mix, ngrams, words
 
 SHINGLE = 5
 SIMILARITY = 75
 K = 64
 MATCHES = 31
-#: Ids (8 bytes each) of candidates are broadcast up to this many, and joined by shuffle beyond.
-BROADCAST_IDS = 4_000_000
-#: Dropped rows (an id and the 16 bytes of a text's digest each) are broadcast up to this many.
-BROADCAST_ROWS = 2_000_000
 #: Lists of more classes are compared in blocks of BLOCK.
 SMALL_LIST = 32
 BLOCK = 512
@@ -147,6 +149,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
 
 def components(links: DataFrame) -> DataFrame:
     """(set, component) for the sets in links (a, b): the least name that can be reached, by smallest-neighbour steps and pointer jumps."""
+    spark, start = links.sparkSession, mark(links.sparkSession)
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "dup-edges")
     labels = written(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "dup-labels")
     while True:
@@ -156,6 +159,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = written(hooked.join(jumps, "q", "left").select("u", "p", F.least("q", "r").alias("q")), "dup-labels")
         changed = moved.filter("p != q").limit(1).count()
         labels = moved.select("u", F.col("q").alias("p"))
+        release(spark, start, (edges, moved))
         if not changed:
             return labels.select(F.col("u").alias("set"), F.col("p").alias("component"))
 
@@ -188,6 +192,22 @@ def leader_pairs(here: DataFrame) -> DataFrame:
     return best.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
 
 
+def rare_postings(here: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, members, set, n, component): the classes of here under the rarest quarter of their sets' shingles.
+
+    Two sets of similarity 0.75 or more share a shingle among the first n - ceil(0.75 n) + 1 of each, in any order of
+    shingles that is the same for all; here the rare ones come first. Shingles of one class are counted, not carried.
+    """
+    own = here.select("set", "n", "component").distinct()
+    shingles = own.join(sets, "set").select("set", "n", "component", F.explode("shingles").alias("token"))
+    shared = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    ranked = shingles.join(shared, "token").withColumn("place", F.row_number().over(Window.partitionBy("set").orderBy("held", "token")))
+    ranked = ranked.withColumn("place", F.col("place") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("set")))
+    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).select("token", "set", "n", "component")
+    lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return prefix.join(lists.filter("least != most").drop("least", "most"), "token")
+
+
 def wide_lists(here: DataFrame) -> DataFrame:
     """(set, wide): the WIDE largest of the long lists that a class is in, as an array of tokens, largest first."""
     place = Window.partitionBy("set").orderBy(F.desc("members"), "token")
@@ -280,10 +300,14 @@ def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) ->
 
     here = _open(postings, parts)
     join_up(written(confirmed(written(leader_pairs(here), "dup-pairs"), classes, sets), "dup-links"))
-    here = _open(postings, parts)
+    short = _open(postings, parts).filter(F.col("members") <= SMALL_LIST)
+    none = short.sparkSession.createDataFrame([], "set binary, wide array<long>")
+    join_up(written(confirmed(written(crossing_pairs(short, none, classes), "dup-pairs"), classes, sets), "dup-links"))
+    long = _open(postings, parts).filter(F.col("members") > SMALL_LIST)
+    here = written(rare_postings(long, sets), "dup-rare")
     wide = written(wide_lists(here), "dup-wide")
     join_up(written(block_links(here, wide, classes, sets), "dup-links"))
-    here = _open(postings, parts)
+    here = _open(here.select("token", "set", "n"), parts)
     join_up(written(confirmed(written(crossing_pairs(here, wide, classes), "dup-pairs"), classes, sets), "dup-links"))
     return parts
 
@@ -291,6 +315,7 @@ def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) ->
 def _decided(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of docs; with digests also __dup_text."""
     ship(docs.sparkSession)
+    start = mark(docs.sparkSession)
     members = written(signatures(docs, id_col, text_col, digests), "dup-members")
     worded = members.filter("__dup_n > 0")
     first = F.min(F.struct(F.col("__dup_id").isNull().alias("none"), F.col("__dup_id").alias("id"), F.col("__dup_tokens").alias("tokens"))).alias("first")
@@ -300,7 +325,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> Data
     )
     postings = written(prefix_postings(classes), "dup-postings")
     listed = postings.select("set").distinct()
-    ids = small_side(written(classes.join(listed, "set").select(F.col("id").alias(id_col)).distinct(), "dup-ids"), BROADCAST_IDS)
+    ids = small_side(written(classes.join(listed, "set").select(F.col("id").alias(id_col)).distinct(), "dup-ids"))
     texts = docs.select(id_col, text_col)
     texts = texts.join(ids, id_col, "left_semi").unionAll(texts.filter(F.col(id_col).isNull()))
     sets = texts.select(text_col).mapInArrow(_sets, "set binary, shingles array<long>").filter("set is not null")
@@ -314,6 +339,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> Data
         least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
         ends = joined.join(least, "component").select("set", "component_id")
     ends = written(ends, "dup-ends")
+    release(docs.sparkSession, start, (members, ends))
     also = ["__dup_text"] if digests else []
     out = members.select("__dup_id", "__dup_n", "__dup_set", *also).join(ends, F.col("__dup_set") == ends["set"], "left")
     own = F.when(F.col("__dup_n") == 0, F.col("__dup_id")).otherwise(F.col("component_id"))
@@ -334,7 +360,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near duplicates of another: of each component the rows with its smallest id stay."""
     gone = _decided(docs, id_col, text_col, True).filter(~F.col("kept")).select(F.col(id_col).alias("__dup_gone"), "__dup_text").distinct()
-    gone = small_side(written(gone, "dup-gone"), BROADCAST_ROWS)
+    gone = small_side(written(gone, "dup-gone"))
     # rows of one id and one text have one set, so they share their decision
     same = docs[id_col].eqNullSafe(gone["__dup_gone"]) & (_digest(docs[text_col]) == gone["__dup_text"])
     return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
