@@ -73,7 +73,7 @@ def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of each word, A-Z lower-cased, and n + 1 offsets of each row's words.
 
     Equal words have equal hashes. Hashes are not words: where a hit must be certain, callers compare the bytes.
@@ -94,11 +94,14 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
         firsts.append(np.flatnonzero(inside & ~before) + p)
         ends.append(np.flatnonzero(inside & ~after) + p + 1)
     first, end = np.concatenate(firsts), np.concatenate(ends)
-    return span_hashes(low, first, end), first, end, np.searchsorted(first, offsets)
+    return span_hashes(low, first, end, salt), first, end, np.searchsorted(first, offsets)
 
 
-def span_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: eight bytes at a time through a bijection, BLAKE2 for long spans."""
+def span_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight bytes at a time through a bijection, BLAKE2 for long spans.
+
+    Another salt makes another hash, whose equal spans are others.
+    """
     out = np.empty(len(first), np.uint64)
     if not len(first):
         return out
@@ -107,13 +110,13 @@ def span_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     lanes = np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))
     for p in range(0, len(first), PIECE_BYTES):
         start, length = first[p : p + PIECE_BYTES], end[p : p + PIECE_BYTES] - first[p : p + PIECE_BYTES]
-        h = mix(length.astype(np.uint64) + _SEED)
+        h = mix(length.astype(np.uint64) + _SEED * np.uint64(2 * salt + 1))
         h = mix(h ^ (lanes[start] & _LANE[np.minimum(length, 8)]))
         for at in range(8, min(LONG_WORD, int(length.max())), 8):
             own = np.flatnonzero(length > at)
             h[own] = mix(h[own] ^ (lanes[start[own] + at] & _LANE[np.minimum(length[own] - at, 8)]))
         for i in np.flatnonzero(length > LONG_WORD):
-            h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + length[i]], digest_size=8).digest(), "little")
+            h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : start[i] + length[i]], digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
         out[p : p + PIECE_BYTES] = h
     return out
 

@@ -1,16 +1,19 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents in a task. Words become numbers of the benchmark's vocabulary; runs of such words that
-are long enough to hold a test phrase make up the shard's text, with a separator after each (a phrase cannot cross a
-word that no benchmark item has, so nothing else can match). The index has the suffixes' last column in a wavelet
-tree and every SAMPLE-th suffix position. Each phrase of 13 words is searched backwards through the tree's ranks,
-all phrases at once; occurrences are located by walking to a sampled position; spans are merged by document.
+A shard is a run of documents in a task, or PIECE_WORDS words of a longer one with the words of a window in common with
+the next. Words become numbers of the benchmark's vocabulary; runs of such words that are long enough to hold a test
+phrase make up the shard's text, with a separator after each (a phrase cannot cross a word that no benchmark item has,
+so nothing else can match). The index has the suffixes' last column in a wavelet tree and every SAMPLE-th suffix
+position. Each phrase of 13 words is searched backwards through the tree's ranks, all phrases at once; all occurrences
+are located together by walking to sampled positions; spans are merged by document. Words are looked up by hash, and the
+words of every occurrence are compared byte by byte with the benchmark's, so a hit is one of words.
 
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words, one pass over the documents for each block.
 
 Cases: null or empty texts have no words; so do items, which then match nothing. An item of fewer than 13 words is one
 phrase. Repeated items count as items of their own id. Items with a null id take no part in the item list and
-hit words as any other. No rows: no rows; no items: nothing is hit. Other columns pass unchanged.
+hit words as any other. Repeated rows get equal results. No rows: no rows; no items: nothing is hit. Texts are taken
+whole. Other columns pass unchanged; helper columns are named __fm_*, and a column of such a name is replaced.
 """
 
 from collections.abc import Iterator
@@ -20,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import ship
-from shiftscope.llm._text import ALNUM, chunks, words
+from shiftscope.llm._cluster import ship, written
+from shiftscope.llm._text import ALNUM, LOWER, chunks, words
 
 WINDOW = 13
 SAMPLE = 8
-#: Words of benchmark text in a block: some 24 bytes each are broadcast.
+#: Words of benchmark text in a block: some 22 bytes each are broadcast (measured), 44 MB a block.
 BLOCK_WORDS = 2_000_000
+#: Blocks that the tasks of one stage hold; then what was found is written.
+BLOCKS_AT_ONCE = 4
+#: Bytes of documents in a shard, and words of one that are indexed together.
+SHARD_BYTES, PIECE_WORDS = 4 << 20, 1 << 19
 
 
 class WaveletTree:
@@ -87,17 +94,17 @@ class FMIndex:
         self.samples = order[self.sampled]
         self.n = len(text)
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end row of the suffixes that start with each phrase (rows of phrases, of one length)."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        live = np.arange(len(phrases))
-        for column in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[live, column]
+    def search(self, sequence: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and end row of the suffixes that start with each phrase: length symbols of sequence from begin on."""
+        symbol = sequence[begin + length - 1]
+        low, high = self.before[symbol], self.before[symbol + 1]
+        live = np.flatnonzero(high > low)
+        for column in range(length - 2, -1, -1):
+            symbol = sequence[begin[live] + column].astype(np.int64)
             low[live] = self.before[symbol] + self.tree.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.tree.rank(symbol, high[live])
             live = live[high[live] > low[live]]
-        high = np.maximum(low, high)
-        return low, high
+        return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         found, steps = np.full(len(rows), -1, np.int64), 0
@@ -114,76 +121,116 @@ class FMIndex:
 
 
 class Phrases:
-    """A block of the benchmark: its vocabulary, and its phrases by length, each with the items that hold it."""
+    """A block of the benchmark: its vocabulary, its items one after another as numbers of words, and its phrases by length."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.window, self.salt = window, 0
         column = pa.array([text for _, text in items], pa.string())
-        hashed = []
-        for _, data, offsets in chunks(column):
-            hashes, _, _, by_row = words(data, offsets, ALNUM)
-            hashed += [hashes[a:b] for a, b in zip(by_row[:-1], by_row[1:], strict=True)]
-        self.vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
-        held: dict[int, dict[bytes, set]] = {}
-        for (item, _), hashes in zip(items, hashed, strict=True):
-            numbers = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 2
-            if len(numbers):
-                size = min(window, len(numbers))
-                for phrase in np.lib.stride_tricks.sliding_window_view(numbers, size):
-                    held.setdefault(size, {}).setdefault(phrase.tobytes(), set()).add(item)
-        self.by_size = [(size, np.stack([np.frombuffer(p, np.int64) for p in some]), [sorted(i for i in ids if i is not None) for ids in some.values()]) for size, some in sorted(held.items())]
-        self.least = min(held, default=0)
-
-    def spans(self, hashes: np.ndarray, by_row: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[str]]]:
-        """(first words, length, items) of the occurrences of each phrase that occurs, counted over all rows."""
-        if not len(hashes) or not self.least:
-            return
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
-        number = np.where(known, at + 2, 0)
+        while True:
+            known: dict[int, bytes] = {}
+            hashed, sizes, clash = [], [], False
+            for _, data, offsets in chunks(column):
+                hashes, first, end, by_row = words(data, offsets, ALNUM, self.salt)
+                low = LOWER[data].tobytes()
+                for h, a, b in zip(hashes.tolist(), first.tolist(), end.tolist(), strict=True):
+                    clash |= known.setdefault(h, low[a:b]) != low[a:b]
+                hashed.append(hashes)
+                sizes.append(np.diff(by_row))
+            if not clash:
+                break
+            self.salt += 1  # two words of one hash: another hash
+        self.vocabulary = np.array(sorted(known), dtype=np.uint64)
+        self.words = [known[h] for h in self.vocabulary.tolist()]
+        every = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        self.sequence = (np.searchsorted(self.vocabulary, every) + 2).astype(np.int32)
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        begin = np.cumsum(size) - size
+        self.ids = [item for item, _ in items]
+        self.by_size: list[tuple[int, np.ndarray, np.ndarray]] = []
+        phrase = np.minimum(size, window)
+        for k in np.unique(phrase[phrase > 0]):
+            own = np.flatnonzero(phrase == k)
+            count = size[own] - k + 1
+            item = np.repeat(own, count)
+            self.by_size.append((int(k), begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count), item.astype(np.int32)))
+        self.least = min((k for k, _, _ in self.by_size), default=0)
+
+    def occurrences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """words() of a chunk but for the hashes, then (first word, words, item) of each occurrence of a phrase in it."""
+        hashes, first, end, by_row = words(data, offsets, ALNUM, self.salt)
+        found = [np.zeros((3, 0), np.int64)]
+        if len(hashes) and self.least:
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            number = np.where(self.vocabulary[at] == hashes, at + 2, 0)
+            row_start = np.zeros(len(hashes), bool)
+            row_start[by_row[:-1][by_row[:-1] < len(hashes)]] = True
+            for p in range(0, len(hashes), PIECE_WORDS):
+                q = p + PIECE_WORDS + self.window - 1
+                found.append(self._in_piece(number[p:q], row_start[p:q]) + np.array([[p], [0], [0]]))
+        start, size, item = np.concatenate(found, axis=1)
+        if len(start):
+            # a hash is no word: every word of an occurrence is compared with the vocabulary's
+            touched = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(touched, start, 1)
+            np.add.at(touched, start + size, -1)
+            covered = np.flatnonzero(np.cumsum(touched[:-1]) > 0)
+            low = LOWER[data]
+            other = [w for w in covered if low[first[w] : end[w]].tobytes() != self.words[at[w]]]
+            if other:
+                wrong = np.zeros(len(hashes) + 1, np.int64)
+                wrong[np.array(other) + 1] = 1
+                wrong = np.cumsum(wrong)
+                real = wrong[start + size] == wrong[start]
+                start, size, item = start[real], size[real], item[real]
+        return first, end, by_row, start, size, item
+
+    def _in_piece(self, number: np.ndarray, row_start: np.ndarray) -> np.ndarray:
         # maximal runs of known words within a row
-        row_start = np.zeros(len(hashes), bool)
-        row_start[by_row[:-1][by_row[:-1] < len(hashes)]] = True
+        known = number > 0
         begins = known & (row_start | ~np.concatenate(([False], known[:-1])))
         ends = known & (np.concatenate((row_start[1:], [True])) | ~np.concatenate((known[1:], [False])))
         first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         long = end - first >= self.least
         first, end = first[long], end[long]
         if not len(first):
-            return
+            return np.zeros((3, 0), np.int64)
         size = end - first + 1
         text = np.ones(size.sum(), np.int64)
         place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size - first, size)
         inside = place < np.repeat(end, size)
         text[inside] = number[place[inside]]
         index = FMIndex(text, len(self.vocabulary) + 1)
-        for length, phrases, items in self.by_size:
-            low, high = index.search(phrases)
-            for k in np.flatnonzero(high > low):
-                yield place[index.locate(np.arange(low[k], high[k]))], length, items[k]
+        out = []
+        for length, begin, item in self.by_size:
+            low, high = index.search(self.sequence, begin, length)
+            count = high - low
+            rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            out.append(np.stack([place[index.locate(rows)], np.full(len(rows), length), np.repeat(item, count)]))
+        return np.concatenate(out, axis=1)
 
 
 def _search(block) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = block.value
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in "abcd"]))
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__fm_text"))
-            counts, found = np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
-            for row0, data, offsets in chunks(column):
-                hashes, first_byte, end_byte, by_row = words(data, offsets, ALNUM)
+            at = batch.schema.get_field_index
+            column = batch.column(at("__fm_text"))
+            counts = np.zeros(len(column), np.int64)
+            spans = [[(s["a"], s["b"], s["c"], s["d"]) for s in old] for old in batch.column(at("__fm_spans")).to_pylist()]
+            items = [set(old) for old in batch.column(at("__fm_items")).to_pylist()]
+            for row0, data, offsets in chunks(column, SHARD_BYTES):
+                first, end, by_row, start, size, item = phrases.occurrences(data, offsets)
                 counts[row0 : row0 + len(offsets) - 1] = np.diff(by_row)
-                for starts, length, items in phrases.spans(hashes, by_row):
-                    for s, r in zip(starts, np.searchsorted(by_row, starts, side="right") - 1, strict=True):
-                        found[row0 + r].append((int(s - by_row[r]), int(s - by_row[r]) + length, items, (int(first_byte[s] - offsets[r]), int(end_byte[s + length - 1] - offsets[r]))))
-            before = batch.column(batch.schema.get_field_index("__fm_spans")).to_pylist()
-            items_before = batch.column(batch.schema.get_field_index("__fm_items")).to_pylist()
-            spans, items = [], []
-            for old, old_items, own in zip(before, items_before, found, strict=True):
-                spans.append(merged([(s["a"], s["b"], s["c"], s["d"]) for s in old] + [(a, b, c, d) for a, b, _, (c, d) in own]))
-                items.append(sorted({*old_items, *(i for _, _, ids, _ in own for i in ids)}))
-            out = batch.set_column(batch.schema.get_field_index("__fm_words"), "__fm_words", pa.array(counts))
-            kind = pa.list_(pa.struct([(x, pa.int64()) for x in "abcd"]))
-            out = out.set_column(batch.schema.get_field_index("__fm_spans"), "__fm_spans", pa.array([[dict(zip("abcd", s, strict=True)) for s in some] for some in spans], kind))
-            yield out.set_column(batch.schema.get_field_index("__fm_items"), "__fm_items", pa.array(items, pa.list_(pa.string())))
+                rows = np.searchsorted(by_row, start, side="right") - 1
+                for r, i in np.unique(np.stack([rows, item]), axis=1).T.tolist():
+                    if phrases.ids[i] is not None:
+                        items[row0 + r].add(phrases.ids[i])
+                for r, a, b in np.unique(np.stack([rows, start, start + size]), axis=1).T.tolist():
+                    spans[row0 + r].append((a - int(by_row[r]), b - int(by_row[r]), int(first[a] - offsets[r]), int(end[b - 1] - offsets[r])))
+            out = batch.set_column(at("__fm_words"), "__fm_words", pa.array(counts))
+            out = out.set_column(at("__fm_spans"), "__fm_spans", pa.array([[dict(zip("abcd", s, strict=True)) for s in merged(own)] for own in spans], kind))
+            yield out.set_column(at("__fm_items"), "__fm_items", pa.array([sorted(own) for own in items], pa.list_(pa.string())))
 
     return run
 
@@ -208,7 +255,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     weight = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-weight // (6 * block_words)))
     out = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__fm_")],
         F.col(text_col).alias("__fm_text"),
         F.lit(0).cast("long").alias("__fm_words"),
         F.array().cast("array<struct<a:long,b:long,c:long,d:long>>").alias("__fm_spans"),
@@ -218,6 +265,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = Phrases([(r.i, r.t) for r in own.collect()])
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(phrases)), out.schema)
+        if k % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and k + 1 < blocks:
+            out = written(out, "fm-found")
     return out.drop("__fm_text")
 
 

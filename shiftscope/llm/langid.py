@@ -7,10 +7,14 @@ are taken off by the rate that its share of set bits implies, and the largest co
 Texts are lower-cased in ASCII, and runs of bytes that are neither ASCII letters nor beyond ASCII become one space.
 Filters hold the n-grams most frequent in a sample of texts of each language, drawn by a hash: SAMPLE_TEXTS texts a
 language in expectation and GRAMS n-grams at most. Training rows are those outside the held-out fold with a language.
+Spark counts the n-grams, ranks them (in two steps, so that no language is ranked in one task whole) and sets the
+filters' bits; what reaches the driver is the filter itself, of MAX_FILTER_BYTES at most.
 
 Cases: null texts and texts without a letter are `und` with score 0. A text with no known n-gram gets the most
 frequent language, with the score 1 / languages. Ties go to the language first by code point. With nothing to
-learn from every text is `und`. Repeated rows get equal results. No rows: no rows. Texts are taken whole.
+learn from every text is `und`; a language with one text learns that text's n-grams. Repeated rows get equal results.
+No rows: no rows. Texts are taken whole, n-grams PIECE_BYTES at a time. Other columns pass unchanged; helper columns are
+named __lang_*, and a column of such a name is replaced.
 """
 
 from collections.abc import Iterator
@@ -31,8 +35,10 @@ GRAMS = 12_000
 HASHES = 3
 #: Slots for each n-gram that is put in, at least.
 ROOM = 12
-#: A language-count table of more languages than this is refused.
-MAX_LANGUAGES = 4096
+#: Filters of more bytes than this are refused with an error.
+MAX_FILTER_BYTES = 256 << 20
+#: Parts in which a language's n-grams are ranked first.
+RANK_PARTS = 32
 
 _LETTER = byte_class((0x61, 0x7A), (0x80, 0xFF))
 _SPACE = 0x20
@@ -40,26 +46,42 @@ _SPACE = 0x20
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size: (hash of each n-gram, its row), within runs of letters with a space on either side."""
-    low = LOWER[data]
-    letter = _LETTER[low]
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep = letter.copy()
-    # the first byte after a letter stays as the space that ends the word, and every row starts with one
-    keep[1:] |= letter[:-1] & (rows[1:] == rows[:-1])
-    kept = np.where(letter, low, _SPACE)[keep].astype(np.uint64)
-    own = rows[keep]
-    filled = np.unique(own)
-    at = np.searchsorted(own, filled)
-    kept, own = np.insert(kept, at, _SPACE), np.insert(own, at, filled)
+    if len(offsets) == 2:
+        kept, own = _kept(data), None
+    else:
+        letter = _LETTER[LOWER[data]]
+        rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+        keep = letter.copy()
+        # the first byte after a letter stays as the space that ends the word, and every row starts with one
+        keep[1:] |= letter[:-1] & (rows[1:] == rows[:-1])
+        kept, own = np.where(letter, LOWER[data], np.uint8(_SPACE))[keep], rows[keep]
+        filled = np.unique(own)
+        at = np.searchsorted(own, filled)
+        kept, own = np.insert(kept, at, _SPACE), np.insert(own, at, filled)
     for size in SIZES:
-        n = len(kept) - size + 1
-        if n <= 0:
-            continue
-        code = np.zeros(n, np.uint64)
-        for i in range(size):
-            code = code * np.uint64(256) + kept[i : i + n]
-        same = own[:n] == own[size - 1 :]
-        yield mix(code[same] + np.uint64(size << 56)), own[:n][same]
+        for p in range(0, len(kept) - size + 1, PIECE_BYTES):
+            n = min(PIECE_BYTES, len(kept) - size + 1 - p)
+            code = np.zeros(n, np.uint64)
+            for i in range(size):
+                code = code * np.uint64(256) + kept[p + i : p + i + n]
+            if own is None:
+                yield mix(code + np.uint64(size << 56)), np.zeros(n, np.int32)
+            else:
+                same = own[p : p + n] == own[p + size - 1 : p + n + size - 1]
+                yield mix(code[same] + np.uint64(size << 56)), own[p : p + n][same]
+
+
+def _kept(data: np.ndarray) -> np.ndarray:
+    """The letters of one text, with a space before and after each run."""
+    parts = [np.array([_SPACE], np.uint8)]
+    before = False
+    for p in range(0, len(data), PIECE_BYTES):
+        low = LOWER[data[p : p + PIECE_BYTES]]
+        letter = _LETTER[low]
+        keep = letter | np.concatenate(([before], letter[:-1]))
+        parts.append(np.where(letter, low, np.uint8(_SPACE))[keep])
+        before = bool(letter[-1])
+    return np.concatenate(parts) if len(parts) > 1 and sum(map(len, parts)) > 1 else np.zeros(0, np.uint8)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,18 +103,15 @@ class Filters:
     false_rate: np.ndarray
     default: int
 
+    @staticmethod
+    def shape(languages: int, most: int) -> tuple[int, int]:
+        """(planes of 64 languages, slots) for filters of `most` n-grams at most."""
+        return -(-max(1, languages) // 64), 1 << int(np.ceil(np.log2(max(1, most) * HASHES * ROOM / 2)))
+
     @classmethod
-    def of(cls, languages: list[str], grams: list[np.ndarray], default: int) -> "Filters":
-        most = max([1, *map(len, grams)])
-        slots = 1 << int(np.ceil(np.log2(most * HASHES * ROOM / 2)))
-        table = np.zeros((-(-max(1, len(languages)) // 64), slots), np.uint64)
-        rates = np.zeros(len(languages))
-        for k, own in enumerate(grams):
-            bit = np.uint64(1) << np.uint64(k % 64)
-            for h in range(HASHES):
-                table[k // 64, cls.slot(own, h, slots)] |= bit
-            rates[k] = (np.count_nonzero(table[k // 64] & bit) / slots) ** HASHES
-        return cls(languages, table, rates, default)
+    def of(cls, languages: list[str], table: np.ndarray, default: int) -> "Filters":
+        bits = [np.count_nonzero(table[k // 64] & (np.uint64(1) << np.uint64(k % 64))) for k in range(len(languages))]
+        return cls(languages, table, (np.array(bits, float) / table.shape[1]) ** HASHES, default)
 
     @staticmethod
     def slot(hashes: np.ndarray, h: int, slots: int) -> np.ndarray:
@@ -112,9 +131,11 @@ class Filters:
         for hashes, rows in _grams(data, offsets):
             masks = self.holding(hashes)
             total += np.bincount(rows, minlength=n)
+            known = np.flatnonzero(masks.any(axis=0))
+            masks, rows = masks[:, known], rows[known]
             for k in range(len(self.languages)):
-                has = (masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)
-                hits[:, k] += np.bincount(rows[has.astype(bool)], minlength=n)
+                has = masks[k // 64] & (np.uint64(1) << np.uint64(k % 64)) != 0
+                hits[:, k] += np.bincount(rows[has], minlength=n)
         return np.maximum(0, (hits - total[:, None] * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate)), total
 
 
@@ -150,27 +171,47 @@ def _predict(shared) -> object:
     return run
 
 
+def _bits(planes: int, slots: int) -> object:
+    """(plane, slot, mask) of the bits that n-grams (k, gram) set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy().astype(np.int64)
+            gram = batch.column(1).to_numpy().view(np.uint64)
+            mask = (np.uint64(1) << (k % 64).astype(np.uint64)).view(np.int64)
+            for h in range(HASHES):
+                yield pa.RecordBatch.from_arrays([pa.array((k // 64).astype(np.int32)), pa.array(Filters.slot(gram, h, slots)), pa.array(mask)], ["plane", "slot", "mask"])
+
+    return run
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, sample_texts: int = SAMPLE_TEXTS, grams: int = GRAMS) -> Filters:
     ship(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & (remainder(id_col, modulus) != held_out))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most_languages = (MAX_FILTER_BYTES // (8 * Filters.shape(1, grams)[1])) * 64
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"filters of more than {most_languages} languages would take more than {MAX_FILTER_BYTES} bytes")
     languages = sorted(sizes)
     if not languages:
-        return Filters.of([], [], 0)
+        return Filters.of([], np.zeros((1, 1), np.uint64), 0)
     info = docs.sparkSession.createDataFrame([(x, k, min(1.0, sample_texts / sizes[x])) for k, x in enumerate(languages)], "lang string, k int, share double")
     drawn = rows.select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)).alias("u"), F.coalesce(text_col, F.lit("")).alias("text"))
     drawn = drawn.join(F.broadcast(info), "lang").filter(F.col("u") < F.col("share") * (1 << 30)).select("k", "text")
-    counted = drawn.mapInArrow(_count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= grams)
-    found = top.select("k", "gram").toPandas()
-    own = [found.gram[found.k == k].to_numpy(np.int64).view(np.uint64) for k in range(len(languages))]
-    return Filters.of(languages, own, max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
+    counted = drawn.mapInArrow(_count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    top = counted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(RANK_PARTS)))
+    for keys in (["k", "part"], ["k"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "gram"))
+        top = top.withColumn("place", place).filter(F.col("place") <= grams)
+    planes, slots = Filters.shape(len(languages), grams)
+    bits = top.select("k", "gram").mapInArrow(_bits(planes, slots), "plane int, slot long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table = np.zeros((planes, slots), np.uint64)
+    table[bits.plane.to_numpy(np.int64), bits.slot.to_numpy(np.int64)] = bits["mask"].to_numpy(np.int64).view(np.uint64)
+    return Filters.of(languages, table, max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
 
 
 def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> DataFrame:
     """docs with __lang_pred and __lang_score."""
     ship(docs.sparkSession)
-    ready = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text_col).alias("__lang_text"), F.lit(None).cast("string").alias("__lang_pred"), F.lit(None).cast("double").alias("__lang_score"))
+    ready = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__lang_")], F.col(text_col).alias("__lang_text"), F.lit(None).cast("string").alias("__lang_pred"), F.lit(None).cast("double").alias("__lang_score"))
     return ready.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(filters)), ready.schema).drop("__lang_text")

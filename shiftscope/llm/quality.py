@@ -7,7 +7,8 @@ its Cholesky factor is kept. The score is the logistic of the difference of the
 
 Cases: null and empty texts have the statistics of no words and get a score as any other. If one class or both have no
 labelled rows the score is the share of the labels, 0.5 without any. Repeated rows get equal scores. No
-rows: no rows. Texts are taken whole. Other columns pass unchanged; helper columns are named __quality_*.
+rows: no rows. Texts are taken whole. Other columns pass unchanged; helper columns are named __quality_*, and a column of
+such a name is replaced.
 """
 
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shiftscope.llm._cluster import ship
 from shiftscope.llm._fit import MAX_LABELLED, labelled_sample
-from shiftscope.llm._text import SPACED, byte_class, chunks, mix, words
+from shiftscope.llm._text import PIECE_BYTES, SPACED, byte_class, chunks, mix, words
 
 _UPPER = byte_class((0x41, 0x5A))
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -30,12 +31,21 @@ _BANG = byte_class((0x21, 0x21), (0x3F, 0x3F))
 _BAR = byte_class((0x7C, 0x7C))
 _MARK = byte_class((0x23, 0x2B), (0x2F, 0x2F), (0x3C, 0x3E), (0x40, 0x40), (0x5B, 0x60), (0x7B, 0x7B), (0x7D, 0x7E))
 KINDS = (_UPPER, _LETTER, _DIGIT, _STOP, _BANG, _BAR, _MARK)
+_LINE = byte_class((0x0A, 0x0A))
 D = 16
 SHRINK_DIAGONAL, SHRINK_UNIT = 0.1, 0.02
 #: Log-density differences are overconfident: they are divided, bounded, and weighed by words / (words + FEW).
 TEMPER, BOUND, FEW = 2.0, 10.0, 20.0
 
 
+def _per_row(kind: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of a kind each row has; a long row is counted without an array of its length."""
+    if len(offsets) == 2:
+        return np.array([sum(np.count_nonzero(kind[data[p : p + PIECE_BYTES]]) for p in range(0, len(data), PIECE_BYTES))], float)
+    run = np.concatenate(([0], np.cumsum(kind[data])))
+    return (run[offsets[1:]] - run[offsets[:-1]]).astype(float)
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, D)"""
     n, size = len(offsets) - 1, np.diff(offsets).astype(float)
@@ -47,9 +57,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mean = per(length, counts)
     spread = np.sqrt(np.maximum(0, per(length**2, counts) - mean**2))
     out = [np.log1p(counts), mean, spread]
-    for kind in KINDS:
-        run = np.concatenate(([0], np.cumsum(kind[data])))
-        out.append(np.sqrt((run[offsets[1:]] - run[offsets[:-1]]) / np.maximum(size, 1)))
+    out += [np.sqrt(_per_row(kind, data, offsets) / np.maximum(size, 1)) for kind in KINDS]
     order = np.lexsort((hashes, rows))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (rows[order][1:] != rows[order][:-1])
@@ -65,8 +73,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     fresh[1:] = (tri[order][1:] != tri[order][:-1]) | (tri_rows[order][1:] != tri_rows[order][:-1])
     all_tri, new_tri = np.bincount(tri_rows, minlength=n), np.bincount(tri_rows[order][fresh], minlength=n)
     out.append(np.sqrt(1 - new_tri / np.maximum(all_tri, 1)) * (all_tri > 0))
-    lines = np.concatenate(([0], np.cumsum(data == 0x0A)))
-    n_lines = lines[offsets[1:]] - lines[offsets[:-1]] + 1.0
+    n_lines = _per_row(_LINE, data, offsets) + 1.0
     out.append(np.log1p(n_lines))
     out.append(np.log1p(counts / n_lines))
     out.append(np.sqrt(per((length > 14).astype(float), counts)))
@@ -153,5 +160,5 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_co
 def scored(docs: DataFrame, model: Discriminant, *, text_col: str = "text") -> DataFrame:
     """docs with __quality_score, in [0, 1]."""
     ship(docs.sparkSession)
-    ready = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text_col).alias("__quality_text"), F.lit(0.0).alias("__quality_score"))
+    ready = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__quality_")], F.col(text_col).alias("__quality_text"), F.lit(0.0).alias("__quality_score"))
     return ready.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), ready.schema).drop("__quality_text")

@@ -11,7 +11,8 @@ and `#`, so a signature among a URL's parameters is one. The join runs over sort
 so a text with many parts is not paired with itself.
 
 Cases: null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows get equal spans. No
-rows: no rows. Texts are taken whole. Other columns pass unchanged; the helper column is named __secret_spans.
+rows: no rows. Texts are taken whole. Other columns pass unchanged; the helper column is
+named __secret_spans, and a column that begins with __secret_ is replaced.
 """
 
 import re
@@ -132,7 +133,7 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with __secret_spans: array of (kind, start, end), ordered by start, then kind."""
     ship(docs.sparkSession)
     ready = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col(text_col).alias("__secret_text"), F.array().cast("array<struct<kind:string,start:long,end:long>>").alias("__secret_spans")
+        *[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__secret_")], F.col(text_col).alias("__secret_text"), F.array().cast("array<struct<kind:string,start:long,end:long>>").alias("__secret_spans")
     )
     return ready.mapInArrow(_scan, ready.schema).drop("__secret_text")
 

@@ -42,7 +42,7 @@ VOCABULARY = 2_000
 LEAST_ODDS, LEAST_ERRORS, STRONG_ODDS = 1.5, 2.25, 3.0
 PREFIXES = range(4, 11)
 #: Tokens of a chain in training, steps of L-BFGS at most, and the penalty on squared weights.
-CHAIN, STEPS, PENALTY = 64, 30, 0.5
+CHAIN, STEPS, PENALTY = 64, 24, 0.5
 #: One part of so many of the sample is kept for the logistic.
 KEPT_PART = 4
 _WORD = np.uint64(0x5851F42D4C957F2D)

@@ -158,7 +158,7 @@ def test_secrets_reach_against_all_pairs():
         own, of = drawn(rng.integers(0, 8)), drawn(rng.integers(0, 8))
         order = np.lexsort((of[1], of[0]))
         of = tuple(x[order] for x in of)
-        want = [any(c == z and p <= b + secrets.REACH and q >= a - secrets.REACH for p, q, z in zip(*of, strict=True)) for a, b, c in zip(*own, strict=True)]
+        want = [any(c == z and (b <= p <= b + secrets.REACH or a >= q >= a - secrets.REACH) for p, q, z in zip(*of, strict=True)) for a, b, c in zip(*own, strict=True)]
         assert secrets._near(own, of).tolist() == want
 
 
