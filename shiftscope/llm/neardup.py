@@ -10,13 +10,11 @@ of texts without relatives, so most texts, and the frequent tokens of passages t
 
 Skip: lists whose classes are in one component already are skipped. First the classes of a list meet its leader, the
 class whose tokens most others hold, which joins most of a group in pairs that grow with its size. What still crosses
-components in lists of up to SMALL_LIST classes is joined as rows. Longer lists, such as those of a passage that many
-documents share, are dealt anew: of the classes in them the full sets' shingles are counted, and since two sets of
-similarity 0.75 share a shingle among the rarest quarter of each, a pair need only meet in the list of such a shingle;
-a shared passage is seldom among them. Lists of rare shingles that are long all the same are compared inside tasks that
-hold two blocks of a list at most and return links only. A class goes through its WIDE largest lists that way, and a pair
-counts in the first list that both have. Pairs that share none of these lists are joined as rows. All retained pairs
-are confirmed on the full sets, so components are those of the links; pairs inside a component are not needed.
+components in lists of more than SMALL_LIST classes is compared inside tasks that hold two blocks of a list at most and
+return links only. A class goes through its WIDE largest lists that way, and a pair counts in the first list that both
+have. Pairs that share none of these lists are joined as rows, a list of more than BLOCK classes in pairs of blocks.
+All retained pairs are confirmed on the full sets, so components are those of the links; pairs inside a component are not
+needed.
 
 Sets are of 64-bit hashes of shingles, made of 64-bit hashes of words without algebraic structure: two different
 shingles of a pair of n shingles are taken for one with a chance of n * n * 2 ** -64, texts of one set by 128 bits.
@@ -192,22 +190,6 @@ def leader_pairs(here: DataFrame) -> DataFrame:
     return best.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
 
 
-def rare_postings(here: DataFrame, sets: DataFrame) -> DataFrame:
-    """(token, members, set, n, component): the classes of here under the rarest quarter of their sets' shingles.
-
-    Two sets of similarity 0.75 or more share a shingle among the first n - ceil(0.75 n) + 1 of each, in any order of
-    shingles that is the same for all; here the rare ones come first. Shingles of one class are counted, not carried.
-    """
-    own = here.select("set", "n", "component").distinct()
-    shingles = own.join(sets, "set").select("set", "n", "component", F.explode("shingles").alias("token"))
-    shared = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    ranked = shingles.join(shared, "token").withColumn("place", F.row_number().over(Window.partitionBy("set").orderBy("held", "token")))
-    ranked = ranked.withColumn("place", F.col("place") + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("set")))
-    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).select("token", "set", "n", "component")
-    lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
-    return prefix.join(lists.filter("least != most").drop("least", "most"), "token")
-
-
 def wide_lists(here: DataFrame) -> DataFrame:
     """(set, wide): the WIDE largest of the long lists that a class is in, as an array of tokens, largest first."""
     place = Window.partitionBy("set").orderBy(F.desc("members"), "token")
@@ -278,13 +260,28 @@ def block_links(here: DataFrame, wide: DataFrame, classes: DataFrame, sets: Data
 
 
 def crossing_pairs(here: DataFrame, wide: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a list, none of their wide lists, and MATCHES tokens."""
+    """(a, b) of different components that share a list, none of their wide lists, and MATCHES tokens.
+
+    A list's classes are dealt to blocks of BLOCK, and each meets those of every block under a key of its own.
+    """
     known = here.join(wide.select("set", "wide"), "set", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<long>")))
-    known = known.join(classes.select("set", "tokens"), "set")
-    other = known.select("token", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"), F.col("wide").alias("wide_b"), F.col("tokens").alias("tokens_b"))
+    known = known.join(classes.select("set", "tokens"), "set").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    known = known.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = known.withColumnsRenamed({"own": "first", "every": "second"})
+    other = known.select(
+        "token",
+        F.col("every").alias("first"),
+        F.col("own").alias("second"),
+        F.col("set").alias("b"),
+        F.col("n").alias("n_b"),
+        F.col("component").alias("other"),
+        F.col("wide").alias("wide_b"),
+        F.col("tokens").alias("tokens_b"),
+    )
+    same = (one["token"] == other["token"]) & (one["first"] == other["first"]) & (one["second"] == other["second"])
     crossing = (F.col("set") < F.col("b")) & (F.col("component") != F.col("other")) & _sized("n", "n_b") & ~F.arrays_overlap("wide", "wide_b")
     retained = F.size(F.array_intersect("tokens", "tokens_b")) >= MATCHES
-    return known.join(other, (known["token"] == other["token"]) & crossing & retained).select(F.col("set").alias("a"), "b").distinct()
+    return one.join(other, same & crossing & retained).select(F.col("set").alias("a"), "b").distinct()
 
 
 def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -300,14 +297,10 @@ def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) ->
 
     here = _open(postings, parts)
     join_up(written(confirmed(written(leader_pairs(here), "dup-pairs"), classes, sets), "dup-links"))
-    short = _open(postings, parts).filter(F.col("members") <= SMALL_LIST)
-    none = short.sparkSession.createDataFrame([], "set binary, wide array<long>")
-    join_up(written(confirmed(written(crossing_pairs(short, none, classes), "dup-pairs"), classes, sets), "dup-links"))
-    long = _open(postings, parts).filter(F.col("members") > SMALL_LIST)
-    here = written(rare_postings(long, sets), "dup-rare")
+    here = _open(postings, parts)
     wide = written(wide_lists(here), "dup-wide")
     join_up(written(block_links(here, wide, classes, sets), "dup-links"))
-    here = _open(here.select("token", "set", "n"), parts)
+    here = _open(postings, parts)
     join_up(written(confirmed(written(crossing_pairs(here, wide, classes), "dup-pairs"), classes, sets), "dup-links"))
     return parts
 
