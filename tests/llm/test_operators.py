@@ -235,16 +235,3 @@ def test_classifiers_held_out(spark):
     assert {r["__quality_score"] for r in quality.scored(frame, quality.fit(frame, none)).collect()} == {0.5}
     assert {r["__tox_score"] for r in toxicity.tagged(frame, toxicity.fit(frame, none)).collect()} == {0.0}
     assert quality.scored(frame.limit(0), quality.fit(frame, marks)).collect() == []
-
-
-def test_chain_marginals_against_enumeration():
-    field = toxicity.Field(0.3, emission=np.array([-2.0, 0.5, 1.0, 1.5, 2.0, 3.0]), transition=np.array([[0.2, -1.0], [-0.7, 1.1]]))
-    steps = np.array([0, 0, 3, 0, 5, 1, 0, 0, 2])
-    weights, toxic = 0.0, np.zeros(len(steps))
-    for code in range(1 << len(steps)):
-        tags = [(code >> i) & 1 for i in range(len(steps))]
-        score = sum(field.emission[s] for s, t in zip(steps, tags, strict=True) if t) + sum(field.transition[a, b] for a, b in zip(tags, tags[1:]))
-        weights += np.exp(score)
-        toxic += np.exp(score) * np.array(tags)
-    at = np.flatnonzero(steps)
-    assert np.allclose(field.marginals(len(steps), at, steps[at]), (toxic / weights)[at])
