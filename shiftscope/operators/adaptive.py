@@ -1,75 +1,125 @@
-"""Windows whose size follows the variety of what they hold.
+"""Windows whose size follows the variety of what they hold, over a whole log or within regions around change points.
 
 After each pair the number v of distinct values in both windows is taken; the next size is the size times v over the
-one before, rounded half to even, and the offset stays. The recursion needs one pass in trace order: rows are dealt by
-detector and sorted, and a task keeps the traces of the current pair only.
+one before, rounded half to even, and the offset stays. Within regions the first pair of a region begins at
+max(0, start - 2 * size + 1) with the size of that moment; the size goes back to the initial one where a region does not
+overlap the one before it, and v is kept. Pairs that end at the same trace are one: the last one counts, at the place of
+the first.
+
+The recursion needs one pass in trace order: rows are dealt by detector and sorted, and a task keeps the traces that the
+next pairs can reach. With regions only the traces near them are dealt.
 """
 
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from shiftscope.session import ship
 
 MISSING = "\x00missing"
+#: Traces before a region that its windows can reach, in initial sizes. A walk that needs older ones raises an error.
+REACH = 16
+ROWS = 20_000
+
+
+class _Traces:
+    """The values of traces by position, read forward from rows (trace, values) in order."""
+
+    def __init__(self, rows: Iterator[tuple[int, list]]):
+        self.rows, self.base, self.held, self.over = rows, 0, deque(), False
+
+    def between(self, low: int, high: int) -> list[list] | None:
+        """The values of traces low to high, both included; None if the log ends before high."""
+        while self.base + len(self.held) <= high and not self.over:
+            try:
+                trace, values = next(self.rows)
+            except StopIteration:
+                self.over = True
+                break
+            if not self.held:
+                self.base = trace
+            self.held.extend([] for _ in range(trace - self.base - len(self.held)))
+            self.held.append(values)
+        if self.base + len(self.held) <= high:
+            return None
+        if low < self.base:
+            raise ValueError(f"adaptive windows reach back to trace {low}, traces from {self.base} on are at hand: raise reach")
+        return [self.held[i - self.base] for i in range(low, high + 1)]
 
+    def forget(self, below: int) -> None:
+        while self.held and self.base < below:
+            self.held.popleft()
+            self.base += 1
 
-class _Walk:
-    def __init__(self, size: int, offset: int, slide: int, least: int):
-        self.size, self.offset, self.slide, self.least = size, offset, slide, least
-        self.k, self.v, self.at = 0, None, 0
-        self.held: deque = deque()  # the values by trace from position self.at on
-
-    def push(self, values: list) -> Iterator[tuple[int, int, Counter, Counter]]:
-        """Takes the next trace's values; the pairs that are complete with it: (k, x_end, first counts, second counts)."""
-        self.held.append(values)
-        while True:
-            start = self.k * self.slide
-            while self.at < start and self.held:
-                self.held.popleft()
-                self.at += 1
-            need = max(self.offset, 0) + self.size
-            if self.at != start or len(self.held) < max(need, self.size):
-                return
-            rows = list(self.held)
-            a = Counter(v for row in rows[: self.size] for v in row)
-            b = Counter(v for row in rows[self.offset : self.offset + self.size] for v in row)
-            yield self.k, start + self.offset + self.size - 1, a, b
-            v = max(1, len(a | b))
-            if self.v is not None:
-                self.size = max(self.least, round(self.size * v / self.v))
-            self.v, self.k = v, self.k + 1
-
-
-def adaptive_counts(values: DataFrame, size: int, slide: int = 1, offset: int | None = None, least: int = 2) -> DataFrame:
-    """The paired histogram (detector, k, x_end, value, o1, o2) of adaptive windows over (detector, trace_idx, value)."""
-    ship(values.sparkSession)
+
+def _walk(traces: _Traces, regions: list[tuple[int, int | None]], size: int, offset: int, slide: int, least: int, reach: int) -> Iterator[tuple]:
+    """(k, region, x_end, first counts, second counts) of all pairs; a region without an end ends with the log."""
+    now, variety, k, last_end = size, None, 0, None
+    for region, (begin, end) in enumerate(regions):
+        if last_end is not None and last_end > begin:
+            begin = last_end
+        else:
+            now = size
+        last_end = end
+        start = max(0, begin - 2 * now + 1)
+        while end is None or start + offset + now - 1 <= end:
+            rows = traces.between(start, start + max(offset, 0) + now - 1)
+            if rows is None:
+                break
+            first = Counter(v for row in rows[:now] for v in row)
+            second = Counter(v for row in rows[offset : offset + now] for v in row)
+            yield k, region, start + offset + now - 1, first, second
+            v = max(1, len(first | second))
+            if variety is not None:
+                now = max(least, round(now * v / variety))
+            variety, k, start = v, k + 1, start + slide
+            traces.forget(start - (0 if end is None else reach))
+
+
+def adaptive_counts(
+    values: DataFrame, size: int, slide: int = 1, offset: int | None = None, least: int = 2, *, change_points: DataFrame | None = None, max_distance: int | None = None, reach: int = REACH
+) -> DataFrame:
+    """The paired histogram (detector, k, region, x_end, value, o1, o2) of adaptive windows over (detector, trace_idx, value).
+
+    With change points, windows run within max_distance of them. k numbers the pairs of a detector without gaps.
+    """
+    spark = values.sparkSession
+    ship(spark)
     offset = size if offset is None else offset
-    ordered = values.select("detector", "trace_idx", values["value"].cast("string").alias("value")).repartition("detector").sortWithinPartitions("detector", "trace_idx")
+    own, regions = values.select("detector", "trace_idx", values["value"].cast("string").alias("value")), [(0, None)]
+    if change_points is not None:
+        # change points are few: they are the result of a detection
+        near = sorted(r[0] for r in change_points.select("change_point").collect())
+        regions = [(max(0, p - max_distance), p + max_distance) for p in near]
+        if not regions:
+            own = own.limit(0)
+        else:
+            spans = spark.createDataFrame([(a - reach * size, b) for a, b in regions], "low long, high long")
+            blocks = spans.select(F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))).alias("__b")).distinct()
+            own = own.withColumn("__b", F.floor(F.col("trace_idx") / size)).join(F.broadcast(blocks), "__b").drop("__b")
+    ordered = own.repartition("detector").sortWithinPartitions("detector", "trace_idx")
+    columns = ["detector", "k", "region", "x_end", "value", "o1", "o2"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector, trace, held, state = None, None, [], None
-        for rows in batches:
-            out = []
-
-            def close(trace=None) -> None:
-                for k, x_end, a, b in state.push(held):
-                    out.extend((detector, k, x_end, None if v == MISSING else v, a[v], b[v]) for v in a | b)  # noqa: B023
-
-            for d, t, v in zip(rows.detector, rows.trace_idx, rows.value, strict=True):
-                if d != detector:
-                    if state:
-                        close()
-                    detector, trace, held, state = d, t, [], _Walk(size, offset, slide, least)
-                elif t != trace:
-                    close()
-                    trace, held = t, []
-                held.append(MISSING if v is None else v)
-            yield pd.DataFrame(out, columns=["detector", "k", "x_end", "value", "o1", "o2"])
-        if state:
-            out = [(detector, k, x_end, None if v == MISSING else v, a[v], b[v]) for k, x_end, a, b in state.push(held) for v in a | b]
-            yield pd.DataFrame(out, columns=["detector", "k", "x_end", "value", "o1", "o2"])
-
-    return ordered.mapInPandas(walk, "detector string, k long, x_end long, value string, o1 long, o2 long")
+        out: list[tuple] = []
+        rows = (r for frame in batches for r in zip(frame.detector, frame.trace_idx, frame.value, strict=True))
+        for detector, mine in groupby(rows, key=itemgetter(0)):
+            traces = _Traces((t, [MISSING if v is None else v for _, _, v in same]) for t, same in groupby(mine, key=itemgetter(1)))
+            for k, region, x_end, a, b in _walk(traces, regions, size, offset, slide, least, reach * size):
+                out.extend((detector, k, region, x_end, None if v == MISSING else v, a[v], b[v]) for v in a | b)
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
+
+    counts = ordered.mapInPandas(walk, "detector string, k long, region int, x_end long, value string, o1 long, o2 long")
+    pair = Window.partitionBy("detector", "x_end")
+    kept = counts.withColumns({"__last": F.max("k").over(pair), "__first": F.min("k").over(pair)}).filter("k = __last")
+    places = kept.select("detector", "x_end", "__first").distinct()
+    places = places.select("detector", "x_end", (F.row_number().over(Window.partitionBy("detector").orderBy("__first")) - 1).cast("long").alias("k"))
+    return kept.drop("k", "__first", "__last").join(places, ["detector", "x_end"]).select(*columns)

@@ -58,13 +58,14 @@ def hellinger(counts: DataFrame) -> DataFrame:
     return shares.groupBy(*PAIR).agg((1 - F.sqrt(F.sum(gap)) / F.sqrt(F.lit(2.0))).alias("value"))
 
 
-#: Up to this many values a side the p-value of unequal sides is exact.
+#: Up to this many values a side the p-value of unequal sides is exact, as in the statistics library that users of
+#: two-sample tests know; beyond it that library takes the limiting distribution. ks_test(exact=None) never does.
 KS_EXACT = 10_000
 
 
-def ks_p_unequal(d: float, n1: int, n2: int) -> float:
-    """Exact by counting lattice paths that stay within the distance, column by column; the limiting series beyond KS_EXACT."""
-    if max(n1, n2) > KS_EXACT:
+def ks_p_unequal(d: float, n1: int, n2: int, exact: int | None = KS_EXACT) -> float:
+    """Exact by counting lattice paths that stay within the distance, column by column; the limiting series beyond `exact` values."""
+    if exact is not None and max(n1, n2) > exact:
         x = d * np.sqrt(n1 * n2 / (n1 + n2))
         k = np.arange(1, 101)
         return float(np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k * k * x * x)), 0, 1)) if x > 0.05 else 1.0
@@ -97,24 +98,31 @@ def _column(before: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _ks_unequal(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    return pd.Series([ks_p_unequal(*x) for x in zip(d, n1, n2, strict=True)], dtype=float)
+def _ks_unequal(exact: int | None):
+    @F.pandas_udf(T.DoubleType())
+    def tail(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or a == b else ks_p_unequal(x, int(a), int(b), exact) for x, a, b in zip(d, n1, n2, strict=True)], dtype=float)
 
+    return tail
 
-def ks_test(counts: DataFrame) -> DataFrame:
-    """(detector, k, x_end, statistic, value): Kolmogorov-Smirnov on numeric values, NULLs dropped; NULL for an empty side."""
+
+def ks_test(counts: DataFrame, exact: int | None = KS_EXACT) -> DataFrame:
+    """(detector, k, x_end, statistic, value): Kolmogorov-Smirnov on numeric values, NULLs dropped; NULL for an empty side.
+
+    counts may be a histogram or one row for each value. One exchange by pair serves the running sums and their maximum.
+    """
     ship(counts.sparkSession)
-    pairs = counts.select(*PAIR).distinct()
-    kept = counts.filter("value IS NOT NULL").withColumn("value", F.col("value").cast("double"))
+    number = F.col("value").cast("double")
+    known = F.when(number.isNotNull(), 1).otherwise(0)
+    kept = counts.select(*PAIR, number.alias("value"), (F.col("o1") * known).alias("o1"), (F.col("o2") * known).alias("o2"))
     upto = Window.partitionBy(*PAIR).orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*PAIR)
     steps = kept.withColumns({"t1": F.sum("o1").over(whole), "t2": F.sum("o2").over(whole), "c1": F.sum("o1").over(upto), "c2": F.sum("o2").over(upto)})
-    d = F.max(F.abs(F.col("c1") / F.col("t1") - F.col("c2") / F.col("t2"))).alias("statistic")
-    scored = steps.filter("t1 > 0 AND t2 > 0").groupBy(*PAIR).agg(d, F.first("t1").alias("n1"), F.first("t2").alias("n2"))
-    equal = scored.filter("n1 = n2").withColumn("value", ks_tail_equal(F.col("statistic"), F.col("n1")))
-    other = scored.filter("n1 != n2").withColumn("value", _ks_unequal("statistic", "n1", "n2"))
-    return pairs.join(equal.unionAll(other).drop("n1", "n2"), list(PAIR), "left")
+    d = F.max(F.abs(F.try_divide(F.col("c1"), F.col("t1")) - F.try_divide(F.col("c2"), F.col("t2"))))
+    scored = steps.groupBy(*PAIR).agg(d.alias("statistic"), F.first("t1").alias("n1"), F.first("t2").alias("n2"))
+    equal = F.when((F.col("n1") == F.col("n2")) & F.col("statistic").isNotNull(), ks_tail_equal(F.col("statistic"), F.col("n1")))
+    other = scored.withColumn("other", _ks_unequal(exact)("statistic", "n1", "n2"))
+    return other.select(*PAIR, "statistic", F.coalesce(equal, F.col("other")).alias("value"))
 
 
 def hotelling(samples: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,9 +3,14 @@
 scope is a list of key columns: none for a whole log, window keys for features by window. All results carry them.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Traces of a block in which windows and traces meet.
+BLOCK = 256
+
 
 def sequences(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, trace_idx, activities): each trace's activities in order."""
@@ -111,12 +116,12 @@ def runs(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
 def windowed(events: DataFrame, grid: DataFrame) -> DataFrame:
     """events once for each window that their trace is in, with w_start and w_end: the scope of features by window.
 
-    Windows are spread over blocks of traces as long as the longest window, and met by equality on the block.
+    Windows are spread over blocks of BLOCK traces, and met by equality on the block.
     """
     from shiftscope.operators.grid import ranges
 
     spans = ranges(grid)
-    width = 256
+    width = BLOCK
     blocks = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("w_start") / width), F.floor(F.col("w_end") / width))))
     return events.withColumn("__b", F.floor(F.col("trace_idx") / width)).join(blocks, "__b").filter("trace_idx BETWEEN w_start AND w_end").drop("__b")
 
@@ -129,3 +134,31 @@ def runs_series_counts(events: DataFrame, grid: DataFrame) -> DataFrame:
     met = by_window.join(sides, ["w_start", "w_end"])
     count = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
     return met.groupBy(F.lit("Runs").alias("detector"), "k", "x_end", "value").agg(count(1).alias("o1"), count(2).alias("o2"))
+
+
+def feature_samples(events: DataFrame, grid: DataFrame, feature: str, direction: str = "followed_by") -> tuple[DataFrame, list[str]]:
+    """(detector, k, x_end, side, columns) of a feature of both windows of each pair, a row for each activity, and the columns.
+
+    `Relational Entropy` has one column, `Relation Type Counts` the six of both directions, NaN where an activity has none.
+    """
+    scope = ["w_start", "w_end"]
+    inside = windowed(events, grid)
+    if feature == "Relational Entropy":
+        rows, columns = relational_entropy(inside, direction, scope), ["entropy"]
+    elif feature == "Relation Type Counts":
+        rows = bidirectional_counts(inside, scope)
+        columns = [c for c in rows.columns if c not in (*scope, "activity")]
+    else:
+        raise ValueError(f"unknown feature {feature}")
+    sides = [grid.select("k", F.col("b_end").alias("x_end"), F.col(f"{s}_start").alias("w_start"), F.col(f"{s}_end").alias("w_end"), F.lit(i).alias("side")) for i, s in ((1, "a"), (2, "b"))]
+    met = rows.join(reduce(DataFrame.unionAll, sides), scope)
+    return met.select(F.lit(feature).alias("detector"), "k", "x_end", "side", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]), columns
+
+
+def feature_series(events: DataFrame, grid: DataFrame, feature: str, min_samples: float = 5) -> DataFrame:
+    """(detector, k, x_end, statistic, value): G-tests of `Runs`, Hotelling's test of the other features."""
+    from shiftscope.operators.compare import g_test, hotelling
+
+    if feature == "Runs":
+        return g_test(runs_series_counts(events, grid), min_samples).drop("dof")
+    return hotelling(*feature_samples(events, grid, feature))

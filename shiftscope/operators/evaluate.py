@@ -1,16 +1,22 @@
 """Detected against true change points: precision, recall, F1 and lag."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _matched(true: DataFrame, detected: DataFrame, tolerance: int, by_detector: bool) -> DataFrame:
-    """(true_id, t, lag): each true point with the lag of the first detected point in reach, NULL if there is none."""
-    t = true.select(F.monotonically_increasing_id().alias("true_id"), F.col("change_point").alias("t"), "detector" if by_detector else F.lit(0).alias("detector"))
-    d = detected.select(F.col("change_point").alias("d"), (F.col("detector") if by_detector else F.lit(0)).alias("other"))
-    met = t.join(d, (t["detector"] == d["other"]) & (F.abs(F.col("t") - F.col("d")) <= tolerance), "left")
-    first = Window.partitionBy("true_id").orderBy("d")
-    return met.withColumn("place", F.row_number().over(first)).filter("place = 1").select("true_id", "t", (F.col("d") - F.col("t")).alias("lag"))
+    """(true_id, t, lag): each true point with the lag of the first detected point in reach, NULL if there is none.
+
+    Points meet on bins as wide as the tolerance, each true point looking into three.
+    """
+    width = max(1, tolerance)
+    place = F.col("detector") if by_detector else F.lit("")
+    t = true.select(F.monotonically_increasing_id().alias("true_id"), F.col("change_point").alias("t"), place.alias("detector"))
+    looking = t.select("true_id", "detector", "t", F.explode(F.array(*[F.floor(F.col("t") / width) + i for i in (-1, 0, 1)])).alias("bin"))
+    d = detected.select(F.col("change_point").alias("d"), place.alias("detector"), F.floor(F.col("change_point") / width).alias("bin"))
+    met = looking.join(d, ["detector", "bin"], "left")
+    near = F.when(F.abs(F.col("t") - F.col("d")) <= tolerance, F.col("d"))
+    return met.groupBy("true_id", "t").agg((F.min(near) - F.col("t")).alias("lag"))
 
 
 def evaluate(true: DataFrame, detected: DataFrame, tolerance: int = 0, by_detector: bool = True) -> DataFrame:
@@ -39,7 +45,7 @@ def evaluate_single(true: DataFrame, detected: DataFrame, tolerance: int) -> Dat
 
 
 def aggregated(results: DataFrame, keys: list[str]) -> DataFrame:
-    """Results added up by keys: counts summed, lags pooled, ratios taken again."""
+    """Results added up by keys: counts summed, lags pooled (all_lags, so that sums can be added up again), ratios taken again."""
     sums = results.groupBy(*keys).agg(
         F.sum("number_of_correct_detections").alias("number_of_correct_detections"),
         F.sum("number_of_true_changes").alias("number_of_true_changes"),
@@ -50,4 +56,4 @@ def aggregated(results: DataFrame, keys: list[str]) -> DataFrame:
     rated = sums.withColumns({"precision": F.try_divide("number_of_correct_detections", "number_of_detections"), "recall": F.try_divide("number_of_correct_detections", "number_of_true_changes")})
     lag = F.try_divide(F.aggregate("all_lags", F.lit(0).cast("long"), lambda s, x: s + x), F.size("all_lags"))
     f1 = F.when((F.col("precision") > 0) & (F.col("recall") > 0), 2 / (1 / F.col("precision") + 1 / F.col("recall")))
-    return rated.withColumns({"f1_score": f1, "mean_lag": lag}).drop("all_lags")
+    return rated.withColumns({"f1_score": f1, "mean_lag": lag, "all_lags": F.array_sort("all_lags")})

@@ -1,7 +1,9 @@
-"""Parameter grids and their analysis."""
+"""Parameter grids, experiments over logs, and their analysis."""
 
 import math
-from collections.abc import Sequence
+import time
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +11,13 @@ from pyspark.sql import functions as F
 
 from shiftscope.operators.adaptive import adaptive_counts
 from shiftscope.operators.compare import g_test
-from shiftscope.operators.detect import change_points, explanations, flattened, phi_rho
-from shiftscope.operators.evaluate import evaluate
+from shiftscope.operators.detect import explanations, phi_rho, streaks
 from shiftscope.operators.grid import region_grid
 from shiftscope.operators.histogram import paired_counts
 
 PARAMETERS = ("window_generator_type", "window_size", "threshold", "max_distance", "slide_by", "proportional_phi", "proportional_rho")
+#: Numbers of pairs of a window plan stay below this, so that plans can share one histogram.
+_PLAN = 1 << 40
 
 
 def config_grid(spark: SparkSession, *lists: Sequence) -> DataFrame:
@@ -26,28 +29,96 @@ def config_grid(spark: SparkSession, *lists: Sequence) -> DataFrame:
     return grid.drop("id")
 
 
+def config_series(values: DataFrame, n_traces: int, primary: DataFrame, configs: Sequence[dict]) -> DataFrame:
+    """(config, detector, pos, x_end, value): the change series of all configurations, config being the place in the list.
+
+    Configurations that differ in the streak filter only share their windows, and all fixed windows share one histogram.
+    """
+    spark = values.sparkSession
+    plan = lambda c: (c["window_generator_type"], c["window_size"], c["slide_by"], c["max_distance"])
+    plans = list(dict.fromkeys(map(plan, configs)))
+    counted, grids = [], []
+    for i, (kind, size, slide, distance) in enumerate(plans):
+        if kind == "adaptive":
+            own = adaptive_counts(values, size, slide, change_points=primary, max_distance=distance)
+            counted.append(own.withColumn("k", F.col("k") + i * _PLAN).drop("region"))
+        else:
+            grids.append(region_grid(primary, n_traces, size, distance, slide=slide).withColumn("k", F.col("k") + i * _PLAN))
+    if grids:
+        counted.append(paired_counts(values, reduce(DataFrame.unionByName, grids)))
+    series = g_test(reduce(DataFrame.unionByName, counted)).select("detector", (F.col("k") / _PLAN).cast("int").alias("plan"), (F.col("k") % _PLAN).alias("pos"), "x_end", "value")
+    # one row a configuration
+    which = spark.createDataFrame([(j, plans.index(plan(c))) for j, c in enumerate(configs)], "config int, plan int")
+    return series.join(F.broadcast(which), "plan").select("config", "detector", "pos", "x_end", "value")
+
+
+def explain_configs(values: DataFrame, n_traces: int, primary: DataFrame, configs: Sequence[dict]) -> list[DataFrame]:
+    """The explanations that each configuration finds for primary change points, over all attributes in values."""
+    spark = values.sparkSession
+    rates = [phi_rho(c["window_size"], c["slide_by"], c["proportional_phi"], c["proportional_rho"]) for c in configs]
+    filters = spark.createDataFrame([(j, c["threshold"], max(1, phi), rho) for j, (c, (phi, rho)) in enumerate(zip(configs, rates, strict=True))], "config int, threshold double, phi int, rho int")
+    series = config_series(values, n_traces, primary, configs).join(F.broadcast(filters), "config")
+    points = streaks(series, F.col("threshold"), F.col("phi"), F.col("rho"), ("config", "detector"))
+    return [explanations(primary, points.filter(F.col("config") == j), c["max_distance"]) for j, c in enumerate(configs)]
+
+
 def explain_config(values: DataFrame, n_traces: int, primary: DataFrame, config: dict) -> DataFrame:
-    """The explanations that one configuration finds for primary change points, over all attributes in values."""
-    size, slide = config["window_size"], config["slide_by"]
-    phi, rho = phi_rho(size, slide, config["proportional_phi"], config["proportional_rho"])
-    if config["window_generator_type"] == "adaptive":
-        counts = adaptive_counts(values, size, slide)
-        near = F.broadcast(primary.select(F.col("change_point").alias("__p")))
-        counts = counts.join(near, F.abs(F.col("x_end") - F.col("__p")) <= config["max_distance"], "left_semi")
-    else:
-        counts = paired_counts(values, region_grid(primary, n_traces, size, config["max_distance"], slide=slide))
-    series = g_test(counts).select("detector", F.col("k").alias("pos"), "x_end", "value")
-    return explanations(primary, change_points(series, config["threshold"], max(1, phi), rho), config["max_distance"])
+    return explain_configs(values, n_traces, primary, [config])[0]
 
 
 def run_experiments(values: DataFrame, n_traces: int, primary: DataFrame, true: DataFrame, configs: list[dict], experiment: str) -> DataFrame:
     """One result row for each configuration: its parameters, the evaluation, and the experiment's name."""
-    out = None
-    for config in configs:
-        found = flattened(explain_config(values, n_traces, primary, config))
-        row = evaluate(true, found, config["window_size"]).withColumns({f"config_{k}": F.lit(v) for k, v in config.items()}).withColumn("experiment", F.lit(experiment))
-        out = row if out is None else out.unionByName(row)
-    return out
+    spark = values.sparkSession
+    rates = [phi_rho(c["window_size"], c["slide_by"], c["proportional_phi"], c["proportional_rho"]) for c in configs]
+    rows = [(j, *[c[p] for p in PARAMETERS], max(1, phi), rho) for j, (c, (phi, rho)) in enumerate(zip(configs, rates, strict=True))]
+    named = spark.createDataFrame(rows, "config int, window_generator_type string, window_size int, threshold double, max_distance int, slide_by int, proportional_phi double, proportional_rho double, phi int, rho int")
+    series = config_series(values, n_traces, primary, configs).join(F.broadcast(named.select("config", "threshold", "phi", "rho")), "config")
+    points = streaks(series, F.col("threshold"), F.col("phi"), F.col("rho"), ("config", "detector"))
+    # distances and tolerances differ by configuration; both joins run on the few points that were found
+    p = primary.select(F.col("change_point").alias("p")).distinct()
+    met = points.join(F.broadcast(named.select("config", "max_distance", "window_size")), "config").join(p, F.abs(F.col("change_point") - F.col("p")) <= F.col("max_distance"))
+    found = met.groupBy("config").agg(F.count(F.lit(1)).alias("detections"))
+    t = true.select(F.monotonically_increasing_id().alias("id"), F.col("change_point").alias("t"), F.col("detector").alias("of"))
+    near = met.join(t, (F.col("detector") == F.col("of")) & (F.abs(F.col("change_point") - F.col("t")) <= F.col("window_size")))
+    first = near.groupBy("config", "id", "t").agg((F.min("change_point") - F.col("t")).alias("lag"))
+    hit = first.groupBy("config").agg(F.count(F.lit(1)).alias("correct"), F.avg("lag").alias("mean_lag"), F.sort_array(F.collect_list(F.struct("t", "lag"))).alias("lags"))
+    every = named.crossJoin(F.broadcast(true.agg(F.count(F.lit(1)).alias("trues")))).join(found, "config", "left").join(hit, "config", "left").na.fill(0, ["detections", "correct"])
+    rated = every.withColumns({"precision": F.try_divide("correct", "detections"), "recall": F.try_divide("correct", "trues")})
+    f1 = F.when((F.col("precision") > 0) & (F.col("recall") > 0), 2 / (1 / F.col("precision") + 1 / F.col("recall")))
+    lags = F.coalesce(F.col("lags.lag"), F.array().cast("array<bigint>"))
+    return rated.select(
+        F.col("correct").alias("number_of_correct_detections"),
+        F.col("trues").alias("number_of_true_changes"),
+        F.col("detections").alias("number_of_detections"),
+        "precision",
+        "recall",
+        f1.alias("f1_score"),
+        "mean_lag",
+        lags.alias("all_lags"),
+        *[F.col(p).alias(f"config_{p}") for p in PARAMETERS],
+        F.lit(experiment).alias("experiment"),
+    )
+
+
+def experiments_over_logs(spark: SparkSession, logs: Mapping[str, tuple[DataFrame, int]], configs: list[dict], experiment: str, results_path: str, true_for, *, fresh: bool = False, limit: int | None = None) -> DataFrame:
+    """Runs all configurations on each log, in the order of the names, and appends the results with the log and its time.
+
+    logs maps a name (a file's path) to its values and its number of traces; true_for(n_traces) gives the true
+    (change_point, detector); the primary change points are the nine tenths. limit takes the first logs only, as in a
+    trial; compute_time is the seconds of a log divided by its configurations.
+    """
+    from shiftscope.operators.detect import tenths
+    from shiftscope.sources.tables import append_results, read_results
+
+    for i, name in enumerate(sorted(logs)[:limit]):
+        values, n = logs[name]
+        begin = time.perf_counter()
+        rows = run_experiments(values, n, tenths(spark, n), true_for(n), configs, experiment).persist()
+        rows.count()
+        seconds = (time.perf_counter() - begin) / max(1, len(configs))
+        append_results(rows.withColumns({"config_event_log_file_path": F.lit(name), "compute_time": F.lit(seconds)}), results_path, fresh=fresh and i == 0)
+        rows.unpersist()
+    return read_results(spark, results_path)
 
 
 def summary(results: DataFrame, keys: list[str]) -> DataFrame:

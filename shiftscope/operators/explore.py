@@ -86,20 +86,46 @@ def correlated_columns(corr: DataFrame, threshold: float) -> DataFrame:
     return strong.groupBy(F.col("c1").alias("column")).agg(F.array_join(F.sort_array(F.collect_list("c2")), ",").alias("correlated"))
 
 
-def log_stats(logs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(log_id, traces, events) of several logs, each given by its traces and events."""
-    rows = []
-    for name, (traces, events) in logs.items():
-        t = traces.agg(F.count(F.lit(1)).alias("traces"), F.lit(len(traces.columns)).alias("trace_attributes"))
-        rows.append(t.crossJoin(events.agg(F.count(F.lit(1)).alias("events"), F.lit(len(events.columns)).alias("event_attributes"))).select(F.lit(name).alias("log_id"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+def map_keys(frame: DataFrame, maps: list[str]) -> DataFrame:
+    """(log_id, name) of the attributes that the maps of canonical traces or events hold."""
+    keys = F.concat(*[F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in maps])
+    return frame.select("log_id", F.explode(keys).alias("name")).distinct()
 
 
-def attribute_catalog(maps: DataFrame) -> DataFrame:
-    """(level, name, kind) of rows (level, name, kind, position) in order of first sight; mixed kinds raise an error."""
-    found = maps.filter("NOT (level = 'event' AND startswith(name, 'case:'))").groupBy("level", "name").agg(F.collect_set("kind").alias("kinds"), F.min("position").alias("first"))
-    mixed = F.raise_error(F.concat(F.lit("attribute of mixed kinds: "), "name"))
-    return found.select("level", "name", F.when(F.size("kinds") > 1, mixed).otherwise(F.col("kinds")[0]).alias("kind"), "first")
+def trace_attributes(traces: DataFrame) -> DataFrame:
+    return map_keys(traces, ["tattrs_str", "tattrs_num"])
+
+
+def event_attributes(events: DataFrame) -> DataFrame:
+    """As trace_attributes(), without what a trace's attributes are called where they are written into events."""
+    return map_keys(events, ["eattrs_str", "eattrs_num"]).filter(~F.startswith("name", F.lit("case:")))
+
+
+def log_stats(traces: DataFrame, events: DataFrame) -> DataFrame:
+    """(log_id, traces, events, trace_attributes, event_attributes) of canonical frames of one log or many."""
+    count = lambda frame, name: frame.groupBy("log_id").agg(F.count(F.lit(1)).alias(name))
+    parts = [count(traces, "traces"), count(events, "events"), count(trace_attributes(traces), "trace_attributes"), count(event_attributes(events), "event_attributes")]
+    joined = reduce(lambda a, b: a.join(b, "log_id", "full_outer"), parts)
+    return joined.na.fill(0, ["traces", "events", "trace_attributes", "event_attributes"])
+
+
+def attribute_catalog(traces: DataFrame, events: DataFrame, trace_names: list[str] | None = None, event_names: list[str] | None = None) -> DataFrame:
+    """(level, name, kind) of the attributes of canonical frames, those of the given names if there are any.
+
+    Text is categorical, numbers are continuous. An attribute that is both raises an error. `place` orders the attributes
+    by first sight: traces before events, then by trace, event and name.
+    """
+    found = []
+    for level, frame, prefix, wanted, at in (("trace", traces, "tattrs", trace_names, F.struct("trace_idx", F.lit(0).alias("event_idx"))), ("event", events, "eattrs", event_names, F.struct("trace_idx", F.col("event_idx").cast("int").alias("event_idx")))):
+        for suffix, kind in (("str", "categorical"), ("num", "continuous")):
+            rows = frame.select(F.lit(level).alias("level"), F.explode(F.map_keys(f"{prefix}_{suffix}")).alias("name"), F.lit(kind).alias("kind"), at.alias("at"))
+            rows = rows.filter(~F.startswith("name", F.lit("case:"))) if level == "event" else rows
+            found.append(rows.filter(F.col("name").isin(wanted)) if wanted is not None else rows)
+    every = reduce(DataFrame.unionAll, found)
+    named = every.groupBy("level", "name").agg(F.collect_set("kind").alias("kinds"), F.min("at").alias("at"))
+    mixed = F.raise_error(F.concat(F.lit("attribute of mixed kinds: "), "name")).cast("string")
+    place = F.row_number().over(Window.orderBy(F.desc("level"), "at", "name")) - 1
+    return named.select("level", "name", F.when(F.size("kinds") > 1, mixed).otherwise(F.col("kinds")[0]).alias("kind"), place.alias("place"))
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -107,17 +133,14 @@ def kind_of(data_type: T.DataType) -> str:
     return "continuous" if isinstance(data_type, T.NumericType | T.BooleanType) else "categorical"
 
 
-def schema_catalog(frame: DataFrame, level: str) -> list[tuple[str, str, str]]:
-    return [(level, f.name, kind_of(f.dataType)) for f in frame.schema.fields if not (level == "event" and f.name.startswith("case:"))]
+def numeric_columns(frame: DataFrame) -> list[str]:
+    return [f.name for f in frame.schema.fields if kind_of(f.dataType) == "continuous"]
 
 
-def attribute_presence(frames: dict[str, DataFrame]) -> DataFrame:
-    """(attribute, one boolean for each log): which logs have an attribute."""
-    spark = next(iter(frames.values())).sparkSession
-    rows = [(log, c) for log, frame in frames.items() for c in frame.columns]
-    named = spark.createDataFrame(rows, "log string, attribute string")
-    table = named.groupBy("attribute").pivot("log", sorted(frames)).agg(F.max(F.lit(True)))
-    return table.select("attribute", *[F.coalesce(c, F.lit(False)).alias(c) for c in sorted(frames)])
+def attribute_presence(names: DataFrame, logs: list[str]) -> DataFrame:
+    """(attribute, one boolean for each log) from (log_id, name): which logs have an attribute."""
+    table = names.groupBy(F.col("name").alias("attribute")).pivot("log_id", logs).agg(F.max(F.lit(True)))
+    return table.select("attribute", *[F.coalesce(F.col(f"`{c}`"), F.lit(False)).alias(c) for c in logs])
 
 
 def top(rows: DataFrame, column: str, k: int, ties: list[str], descending: bool = True) -> DataFrame:
@@ -126,16 +149,23 @@ def top(rows: DataFrame, column: str, k: int, ties: list[str], descending: bool
     return rows.orderBy(order, *ties).limit(k)
 
 
+def _draw(seed: int, *columns: str):
+    """An order that is random to the eye, and the same in every engine: the MD5 digest of a seed and keys."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
 def example_traces(traces: DataFrame, n: int, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """n traces drawn by a hash, without replacement."""
+    """n traces drawn by a hash, without replacement; the wanted columns, or all."""
     kept = traces.select("trace_idx", *(columns or [c for c in traces.columns if c != "trace_idx"]))
-    return kept.orderBy(F.xxhash64(F.lit(seed), "trace_idx"), "trace_idx").limit(n)
+    return kept.orderBy(_draw(seed, "trace_idx"), "trace_idx").limit(n)
 
 
-def example_events(events: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """One event drawn from each of n drawn traces."""
-    one = events.groupBy("trace_idx").agg(F.min_by(F.struct(*events.columns), F.xxhash64(F.lit(seed), "trace_idx", "event_idx")).alias("e")).select("e.*")
-    return one.orderBy(F.xxhash64(F.lit(seed), "trace_idx"), "trace_idx").limit(n)
+def example_events(events: DataFrame, n: int, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """One event drawn from each of n drawn traces; the wanted columns, or all."""
+    drawn = example_traces(events.select("trace_idx").distinct(), n, seed)
+    own = events.join(F.broadcast(drawn.select("trace_idx")), "trace_idx")
+    one = own.groupBy("trace_idx").agg(F.min_by(F.struct(*own.columns), F.struct(_draw(seed, "trace_idx", "event_idx"), F.col("event_idx"))).alias("e")).select("e.*")
+    return one.select("trace_idx", "event_idx", *columns) if columns else one
 
 
 def ranked_values(rows: DataFrame, column: str, by: str) -> DataFrame:

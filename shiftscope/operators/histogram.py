@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.operators.grid import ranges
+#: Positions of windows (32 bytes each) that are broadcast to the traces at most; more are joined by shuffle.
+BROADCAST_POSITIONS = 1_000_000
 
 
 def pane_counts(values: DataFrame, pane: int) -> DataFrame:
@@ -11,29 +12,39 @@ def pane_counts(values: DataFrame, pane: int) -> DataFrame:
     return values.groupBy("detector", F.floor(F.col("trace_idx") / pane).alias("pane"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def window_counts(values: DataFrame, grid: DataFrame, pane: int) -> DataFrame:
-    """(detector, w_start, w_end, value, n) for the distinct windows of a grid.
+def sides(grid: DataFrame, pane: int) -> DataFrame:
+    """(k, x_end, first, pane): the panes of both windows of each pair; first is 1 for those of the first window.
 
-    Bounds must be multiples of the pane. Windows are spread over their panes and meet the counts by equality, so
-    the rows that are joined are (windows x panes in a window), not (windows x traces).
+    Bounds must be multiples of the pane.
     """
-    spread = ranges(grid).withColumn("pane", F.explode(F.sequence(F.floor(F.col("w_start") / pane), F.floor(F.col("w_end") / pane))))
-    joined = pane_counts(values, pane).join(spread, "pane")
-    return joined.groupBy("detector", "w_start", "w_end", "value").agg(F.sum("n").alias("n"))
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / pane), F.floor(F.col(b) / pane))
+    windows = F.array(F.struct(F.lit(1).alias("first"), span("a_start", "a_end").alias("panes")), F.struct(F.lit(0).alias("first"), span("b_start", "b_end").alias("panes")))
+    each = grid.select("k", F.col("b_end").alias("x_end"), F.explode(windows).alias("w"))
+    spread = each.select("k", "x_end", "w.first", F.explode("w.panes").alias("pane"))
+    if pane > 1:
+        return spread
+    # single positions meet the traces themselves; few of them are sent to where the traces are
+    wanted = F.col("a_end") - F.col("a_start") + F.col("b_end") - F.col("b_start") + 2
+    n = grid.agg(F.coalesce(F.sum(wanted), F.lit(0))).first()[0]
+    return F.broadcast(spread) if n <= BROADCAST_POSITIONS else spread
+
+
+def paired_rows(values: DataFrame, grid: DataFrame, pane: int = 1) -> DataFrame:
+    """(detector, k, x_end, value, o1, o2): a row for each value of a trace in each pair, 1 on its side; for values that seldom repeat."""
+    placed = values.select("detector", F.floor(F.col("trace_idx") / pane).alias("pane"), "value")
+    met = placed.join(sides(grid, pane), "pane")
+    return met.select("detector", "k", "x_end", "value", F.col("first").cast("long").alias("o1"), (1 - F.col("first")).cast("long").alias("o2"))
 
 
 def paired_counts(values: DataFrame, grid: DataFrame, pane: int = 1) -> DataFrame:
     """(detector, k, x_end, value, o1, o2): counts of each value in both windows of each pair, 0 where absent.
 
-    NULL is a value of its own. Every value has at least one count above 0.
+    NULL is a value of its own. Every value has at least one count above 0. Pairs are spread over their panes and meet the
+    counts by equality, so the rows that are joined are (pairs x panes in a pair), not (pairs x traces).
     """
-    counts = window_counts(values, grid, pane)
-    sides = (
-        grid.select("k", F.col("b_end").alias("x_end"), F.col("a_start").alias("w_start"), F.col("a_end").alias("w_end"), F.lit(1).alias("one"))
-        .unionAll(grid.select("k", "b_end", "b_start", "b_end", F.lit(0)))
-        .withColumnRenamed("one", "first")
-    )
-    met = counts.join(sides, ["w_start", "w_end"])
-    return met.groupBy("detector", "k", "x_end", "value").agg(
-        F.sum(F.when(F.col("first") == 1, F.col("n")).otherwise(0)).alias("o1"), F.sum(F.when(F.col("first") == 0, F.col("n")).otherwise(0)).alias("o2")
-    )
+    if pane == 1:
+        counts = values.select("detector", F.col("trace_idx").alias("pane"), "value", F.lit(1).cast("long").alias("n"))
+    else:
+        counts = pane_counts(values, pane)
+    met = counts.join(sides(grid, pane), "pane")
+    return met.groupBy("detector", "k", "x_end", "value").agg(F.sum(F.col("n") * F.col("first")).alias("o1"), F.sum(F.col("n") * (1 - F.col("first"))).alias("o2"))

@@ -1,11 +1,17 @@
 """Seeded synthetic drift: attributes whose distribution changes at a change point, with the truth beside them."""
 
+import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftscope.schema import Attribute
+
+#: Hellinger distance of a new distribution at least.
+LEAST_DISTANCE = 0.3
 #: Mean and deviation of a recurring drift's length, in traces.
 RECURRING_LENGTH = (20.0, 4.0)
 MAX_TRIES = 100
@@ -21,7 +27,7 @@ def distribution(rng: np.random.Generator, k: int) -> np.ndarray:
     return draws / draws.sum()
 
 
-def drifted_pair(rng: np.random.Generator, k: int, change: str | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def drifted_pair(rng: np.random.Generator, k: int, change: str | None = None, least: float = LEAST_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Two distributions over k values: a new one altogether, or one with a value that the first does not have."""
     if k < 2:
         raise ValueError("two values at least")
@@ -49,7 +55,7 @@ class Drift:
     length: int | None = None
 
 
-def plan(seed: int, change_points: list[int], relevant: int = 5, irrelevant: int = 5, k: int = 3, kind: str = "sudden", jitter: float = 0.0, least: float = 0.0) -> list[Drift]:
+def plan(seed: int, change_points: list[int], relevant: int = 5, irrelevant: int = 5, k: int = 3, kind: str = "sudden", jitter: float = 0.0, least: float = LEAST_DISTANCE) -> list[Drift]:
     """Drifts of relevant attributes, one change point each in turn, and attributes without drift."""
     rng, out = np.random.default_rng(seed), []
     for i in range(relevant):
@@ -94,3 +100,47 @@ def truth(spark, drifts: list[Drift]) -> DataFrame:
 
 def true_explanations(spark, drifts: list[Drift]) -> DataFrame:
     return spark.createDataFrame([(d.explains, f"trace: {d.name}") for d in drifts if d.drifted], "change_point long, detector string")
+
+
+def descriptors(relevant: int = 5, irrelevant: int = 5) -> list[Attribute]:
+    """The attributes of a synthetic log, irrelevant ones first."""
+    names = [f"{kind}_attribute_{i + 1:02d}" for kind, n in (("irrelevant", irrelevant), ("relevant", relevant)) for i in range(n)]
+    return [Attribute(name, "trace", "categorical") for name in names]
+
+
+def add_to_traces(traces: DataFrame, drifts: list[Drift], seed: int = 0) -> DataFrame:
+    """Canonical traces with the attributes in tattrs_str (and tattrs_type, where there is one)."""
+    made = with_drifts(traces, drifts, seed)
+    pairs = [x for d in drifts for x in (F.lit(d.name), F.col(d.name))]
+    made = made.withColumn("tattrs_str", F.map_concat("tattrs_str", F.create_map(*pairs)))
+    if "tattrs_type" in traces.columns:
+        made = made.withColumn("tattrs_type", F.map_concat("tattrs_type", F.create_map(*[F.lit(x) for d in drifts for x in (d.name, "string")])))
+    return made.select(*traces.columns)
+
+
+def file_to_file(spark: SparkSession, source: str, target: str, drifts: list[Drift], seed: int = 0) -> None:
+    """A XES log with the attributes added, as another."""
+    from shiftscope.sources.xes import read_xes, write_xes
+
+    traces, events = read_xes(spark, source)
+    write_xes(add_to_traces(traces, drifts, seed), events, target)
+
+
+def dataset_batch(spark: SparkSession, logs: Mapping[str, int], target: str, configs: Mapping[str, dict], times: int = 2, seed: int = 0) -> DataFrame:
+    """Generates each configuration `times` times on each log (path: number of traces): target/config/size/base_id.xes.
+
+    configs maps a name to options of plan(). Returns the truth of all logs, (config, size, path, ...) beside truth()'s
+    columns; ids follow from the seed.
+    """
+    rows = None
+    for c, (config, options) in enumerate(configs.items()):
+        for b, (source, size) in enumerate(sorted(logs.items())):
+            for i in range(times):
+                own = seed + 10_007 * c + 101 * b + i
+                drifts = plan(own, [int((j + 1) * size / 10) for j in range(9)], **options)
+                base = source.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
+                path = f"{target.rstrip('/')}/{config}/{size}/{base}_{uuid.UUID(int=np.random.default_rng(own).integers(1 << 62))}.xes"
+                file_to_file(spark, source, path, drifts, own)
+                found = truth(spark, drifts).select(F.lit(config).alias("config"), F.lit(size).alias("size"), F.lit(path).alias("path"), "*")
+                rows = found if rows is None else rows.unionByName(found)
+    return rows

@@ -37,7 +37,8 @@ def dense_index(rows: DataFrame, order: list, name: str = "trace_idx") -> DataFr
 
     Rows are sorted by range partitions; a partition's first position is the number of rows before it, so no task
     sees more than its own range. Range bounds come from a sample that differs between runs of a plan, so the ranged
-    rows are written once and both uses read the same partitions.
+    rows are written once and both uses read the same partitions. There are as many as the session's shuffles have, which
+    a session over more data sets higher; callers leave out columns that they do not need.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "dense-index")

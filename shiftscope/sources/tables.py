@@ -5,13 +5,14 @@ from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftscope.schema import dense_index
 
 RESULT_SCHEMA = (
     "number_of_correct_detections long, number_of_true_changes long, number_of_detections long, precision double, recall double, f1_score double, "
     "mean_lag double, all_lags string, config_window_generator_type string, config_window_size int, config_threshold double, config_max_distance int, "
-    "config_slide_by int, config_proportional_phi double, config_proportional_rho double, experiment string"
+    "config_slide_by int, config_proportional_phi double, config_proportional_rho double, experiment string, config_event_log_file_path string, compute_time double"
 )
 
 
@@ -48,12 +49,16 @@ def moved_path(path: str, old_base: str, new_base: str, extension: str | None =
 
 
 def append_results(results: DataFrame, path: str, fresh: bool = False) -> None:
+    """Adds result rows to a CSV folder, each file with a header; fresh begins anew. Missing columns are NULL."""
     lags = F.concat(F.lit("["), F.array_join(F.col("all_lags").cast("array<string>"), ", "), F.lit("]"))
-    results.withColumn("all_lags", lags).write.mode("overwrite" if fresh else "append").option("header", "true").csv(path)
+    have = {f.name: f.dataType for f in T.StructType.fromDDL(RESULT_SCHEMA).fields}
+    shown = results.withColumn("all_lags", lags)
+    rows = shown.select(*[(F.col(c) if c in shown.columns else F.lit(None)).cast(t).alias(c) for c, t in have.items()])
+    rows.write.mode("overwrite" if fresh else "append").option("header", "true").csv(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+    rows = spark.read.option("header", "true").schema(RESULT_SCHEMA).csv(path)
     return rows.withColumn("all_lags", F.from_json("all_lags", "array<bigint>"))
 
 

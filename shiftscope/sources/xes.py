@@ -1,9 +1,18 @@
 """Event logs in XML: XES and MXML through Spark's reader, to canonical frames and back."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import io
+import itertools
+import re
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftscope.session import written
+from shiftscope.sources.tables import list_files
+
 #: Element names of typed XES attributes, and of what counts as a number.
 TYPES = ("string", "date", "int", "float", "boolean", "id")
 NUMBERS = ("int", "float", "boolean")
@@ -23,19 +32,44 @@ def _numbers(of: str) -> Column:
     return F.transform_values(_map(of, NUMBERS), as_double)
 
 
+def _types(of: str) -> Column:
+    """The XES type of each attribute, for what the maps of strings and of numbers do not say."""
+    named = [F.transform(F.coalesce(F.col(f"{of}{t}"), F.array()), lambda p, t=t: F.struct(p["_key"].alias("key"), F.lit(t).alias("value"))) for t in TYPES]
+    return F.map_from_entries(F.concat(*named))
+
+
+def numbered(raw: DataFrame, name: str = "trace_idx") -> DataFrame:
+    """raw with log_id (its file) and the 0-based place in that file.
+
+    A file is read in splits. Rows are counted by split, so no task numbers more than one; the rows are written once, so
+    that both uses see the same splits.
+    """
+    placed = raw.select("*", F.input_file_name().alias("log_id"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    rows = written(placed, "xml-rows")
+    before = Window.partitionBy("log_id").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("log_id", "__split").agg(F.count(F.lit(1)).alias("__n")).withColumn("__n", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("log_id", "__split").orderBy("__at")) - 1
+    return rows.withColumn("__own", own).join(splits, ["log_id", "__split"]).withColumn(name, (F.col("__n") + F.col("__own")).cast("long")).drop("__split", "__at", "__n", "__own")
+
+
 def read_xes(spark: SparkSession, path: str, activity: str = "concept:name", time: str = "time:timestamp") -> tuple[DataFrame, DataFrame]:
-    """(traces, events) of one or many XES files, plain or gzipped; log_id is the file.
+    """(traces, events) of one or many XES files, plain or gzipped; log_id is the file. Traces keep the order of their file.
 
-    Traces keep the order of their file: files are read in splits, whose numbers and positions order the rows.
+    A file of several logs raises an error. tattrs_type and eattrs_type hold the XES types, so that write_xes() gives back
+    what was read.
     """
+    require_single_logs(spark, path)
     raw = spark.read.format("xml").option("rowTag", "trace").option("recursiveFileLookup", "true").schema(XES_TRACE).load(path)
-    raw = raw.select("*", F.input_file_name().alias("log_id"), F.monotonically_increasing_id().alias("__at"))
-    rank = F.row_number().over(_by_log()) - 1
-    numbered = raw.withColumn("trace_idx", rank.cast("long"))
-    traces = numbered.select(
-        "log_id", "trace_idx", F.element_at(_map("", ("string",)), "concept:name").alias("case_id"), _map("", ("string", "date", "id")).alias("tattrs_str"), _numbers("").alias("tattrs_num")
+    placed = numbered(raw)
+    traces = placed.select(
+        "log_id",
+        "trace_idx",
+        F.element_at(_map("", ("string",)), "concept:name").alias("case_id"),
+        _map("", ("string", "date", "id")).alias("tattrs_str"),
+        _numbers("").alias("tattrs_num"),
+        _types("").alias("tattrs_type"),
     )
-    exploded = numbered.select("log_id", "trace_idx", F.posexplode("event").alias("event_idx", "e"))
+    exploded = placed.select("log_id", "trace_idx", F.posexplode("event").alias("event_idx", "e"))
     events = exploded.select(
         "log_id",
         "trace_idx",
@@ -44,43 +78,60 @@ def read_xes(spark: SparkSession, path: str, activity: str = "concept:name", tim
         F.to_timestamp(F.element_at(_map("e.", ("date",)), time)).alias("ts"),
         _map("e.", ("string", "date", "id")).alias("eattrs_str"),
         _numbers("e.").alias("eattrs_num"),
+        _types("e.").alias("eattrs_type"),
     )
     return traces, events
 
 
-def _by_log():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("log_id").orderBy("__at")
-
-
 def require_single_logs(spark: SparkSession, path: str) -> None:
     """Raises an error for a file that holds more than one log."""
-    logs = spark.read.format("xml").option("rowTag", "log").schema("trace array<string>").load(path).groupBy(F.input_file_name().alias("file")).count()
-    many = logs.filter("count > 1").limit(1).collect()
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    tags = F.regexp_count("value", F.lit(r"<log[\s>]"))
+    many = lines.filter(tags > 0).groupBy(F.input_file_name().alias("file")).agg(F.sum(tags).alias("n")).filter("n > 1").limit(1).collect()
     if many:
-        raise ValueError(f"{many[0].file} holds {many[0]['count']} logs")
+        raise ValueError(f"{many[0].file} holds {many[0].n} logs")
 
 
-def write_xes(traces: DataFrame, events: DataFrame, path: str) -> None:
-    """Canonical frames as XES: one file for each partition of traces. Numbers are written as float."""
-    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("_key"), e["value"].cast("string").alias("_value")))
-    event = F.struct(
-        "event_idx",
-        F.concat(
-            F.array(F.struct(F.lit("concept:name").alias("_key"), F.col("activity").alias("_value"))), F.filter(pairs(F.col("eattrs_str")), lambda p: ~p["_key"].isin("concept:name", "time:timestamp"))
-        ).alias("string"),
-        F.array(F.struct(F.lit("time:timestamp").alias("_key"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("_value"))).alias("date"),
-        pairs(F.col("eattrs_num")).alias("float"),
-    )
-    own = events.groupBy("log_id", "trace_idx").agg(F.sort_array(F.collect_list(event)).alias("e"))
-    joined = traces.join(own, ["log_id", "trace_idx"], "left").repartitionByRange("log_id", "trace_idx").sortWithinPartitions("log_id", "trace_idx")
-    rows = joined.select(
-        F.concat(F.array(F.struct(F.lit("concept:name").alias("_key"), F.col("case_id").alias("_value"))), F.filter(pairs(F.col("tattrs_str")), lambda p: p["_key"] != "concept:name")).alias("string"),
-        pairs(F.col("tattrs_num")).alias("float"),
-        F.transform("e", lambda x: F.struct(x["string"].alias("string"), x["date"].alias("date"), x["float"].alias("float"))).alias("event"),
-    )
-    rows.write.format("xml").option("rootTag", "log").option("rowTag", "trace").mode("overwrite").save(path)
+def _typed(prefix: str, types: Column) -> list[Column]:
+    """The XES attributes of maps, a column for each type."""
+    text = F.transform(F.map_entries(f"{prefix}_str"), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.coalesce(F.try_element_at(types, e["key"]), F.lit("string")).alias("t")))
+
+    def number(e: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(types, e["key"]), F.lit("float"))
+        shown = F.when(kind == "int", e["value"].cast("long").cast("string")).when(kind == "boolean", F.when(e["value"] == 1, "true").otherwise("false")).otherwise(e["value"].cast("string"))
+        return F.struct(e["key"].alias("k"), shown.alias("v"), kind.alias("t"))
+
+    every = F.concat(text, F.transform(F.map_entries(f"{prefix}_num"), number))
+    pair = lambda e: F.struct(e["k"].alias("_key"), e["v"].alias("_value"))
+    return [F.transform(F.filter(every, lambda e, t=t: e["t"] == t), pair).alias(t) for t in TYPES]
+
+
+def _with(attributes: str, key: str, value: Column) -> Column:
+    """The map with a value under a key, kept as it is if it has one or the value is NULL."""
+    have = F.map_contains_key(attributes, key) | value.isNull()
+    return F.when(have, F.col(attributes)).otherwise(F.map_concat(attributes, F.map_from_arrays(F.array(F.lit(key)), F.array(value))))
+
+
+def write_xes(traces: DataFrame, events: DataFrame, path: str, *, by_log: bool = False) -> None:
+    """Canonical frames as XES: a file for each partition of traces, in order; with by_log in a folder for each log.
+
+    The columns tattrs_type and eattrs_type say which XES type an attribute has; without them text is `string`, numbers
+    are `float`, and time:timestamp is `date`.
+    """
+    known = F.create_map().cast("map<string,string>")
+    e_types = F.col("eattrs_type") if "eattrs_type" in events.columns else F.create_map(F.lit("time:timestamp"), F.lit("date"))
+    t_types = F.col("tattrs_type") if "tattrs_type" in traces.columns else known
+    shown = events.withColumn("eattrs_str", _with("eattrs_str", "concept:name", F.col("activity")))
+    shown = shown.withColumn("eattrs_str", _with("eattrs_str", "time:timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")))
+    event = F.struct("event_idx", *_typed("eattrs", e_types))
+    own = shown.groupBy("log_id", "trace_idx").agg(F.sort_array(F.collect_list(event)).alias("e"))
+    joined = traces.withColumn("tattrs_str", _with("tattrs_str", "concept:name", F.col("case_id"))).join(own, ["log_id", "trace_idx"], "left")
+    joined = joined.repartitionByRange("log_id", "trace_idx").sortWithinPartitions("log_id", "trace_idx")
+    rows = joined.select("log_id", *_typed("tattrs", t_types), F.transform("e", lambda x: F.struct(*[x[t].alias(t) for t in TYPES])).alias("event"))
+    if by_log:
+        rows.write.format("xml").option("rootTag", "log").option("rowTag", "trace").partitionBy("log_id").mode("overwrite").save(path)
+    else:
+        rows.drop("log_id").write.format("xml").option("rootTag", "log").option("rowTag", "trace").mode("overwrite").save(path)
 
 
 MXML_INSTANCE = T.StructType(
@@ -105,12 +156,58 @@ MXML_INSTANCE = T.StructType(
 
 def read_mxml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(traces, events) of MXML files."""
-    raw = spark.read.format("xml").option("rowTag", "ProcessInstance").option("recursiveFileLookup", "true").schema(MXML_INSTANCE).load(path)
-    raw = raw.select("*", F.input_file_name().alias("log_id"), F.monotonically_increasing_id().alias("__at"))
-    numbered = raw.withColumn("trace_idx", (F.row_number().over(_by_log()) - 1).cast("long"))
+    raw = spark.read.format("xml").option("rowTag", "ProcessInstance").option("recursiveFileLookup", "true").schema(MXML_INSTANCE).option("pathGlobFilter", "*.mxml*").load(path)
+    placed = numbered(raw)
     strings, numbers = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,double>")
-    traces = numbered.select("log_id", "trace_idx", F.col("_id").alias("case_id"), strings.alias("tattrs_str"), numbers.alias("tattrs_num"))
-    exploded = numbered.select("log_id", "trace_idx", F.posexplode("AuditTrailEntry").alias("event_idx", "e"))
+    traces = placed.select("log_id", "trace_idx", F.col("_id").alias("case_id"), strings.alias("tattrs_str"), numbers.alias("tattrs_num"))
+    exploded = placed.select("log_id", "trace_idx", F.posexplode("AuditTrailEntry").alias("event_idx", "e"))
     kept = F.map_filter(F.create_map(F.lit("lifecycle:transition"), F.col("e.EventType"), F.lit("org:resource"), F.col("e.Originator")), lambda _, v: v.isNotNull())
     events = exploded.select("log_id", "trace_idx", "event_idx", F.col("e.WorkflowModelElement").alias("activity"), F.to_timestamp("e.Timestamp").alias("ts"), kept.alias("eattrs_str"), numbers.alias("eattrs_num"))
     return traces, events
+
+
+def mirror_mxml(spark: SparkSession, mxml_path: str, xes_path: str) -> list[str]:
+    """Converts all MXML files below a folder to XES below another, at the same places; other files are copied as they are.
+
+    Each log becomes a folder `<name>.xes` of part files, written by one job; the MXML is parsed once for all logs. The
+    copies are asked of the file system one by one and do not pass through Spark.
+    """
+    plain = lambda p: re.sub("^file:/+", "/", p)
+    files = [r.path for r in list_files(spark, mxml_path).select("path").collect()]
+    root, target_root = plain(mxml_path).rstrip("/"), xes_path.rstrip("/")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    logs = [f for f in files if f.lower().endswith(".mxml")]
+    for f in files:
+        if f not in logs:
+            source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (f, target_root + plain(f)[len(root) :]))
+            target.getFileSystem(conf).mkdirs(target.getParent())
+            jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    if not logs:
+        return []
+    traces, events = read_mxml(spark, mxml_path)
+    out = []
+    for f in logs:
+        same = F.regexp_replace("log_id", "^file:/+", "/") == plain(f)
+        out.append(target_root + plain(f)[len(root) : -len(".mxml")] + ".xes")
+        write_xes(traces.filter(same), events.filter(same), out[-1])
+    return sorted(out)
+
+
+def unzip(spark: SparkSession, path: str, target: str) -> None:
+    """The text files in ZIP archives below a path, as text below target/entry=<archive>!<file>; each archive is opened in a task.
+
+    Gzipped files need no unpacking: the readers take them as they are, one task each.
+    """
+
+    def opened(batches):
+        for frame in batches:
+            for archive, content in zip(frame.path, frame.content, strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as inside:
+                    for name in inside.namelist():
+                        if not name.endswith("/"):
+                            with inside.open(name) as lines:
+                                for some in iter(lambda lines=lines: list(itertools.islice(lines, 10_000)), []):
+                                    yield pd.DataFrame({"entry": f"{archive.rsplit('/', 1)[-1]}!{name.replace('/', '!')}", "value": [x.decode().rstrip("\r\n") for x in some]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    files.mapInPandas(opened, "entry string, value string").write.partitionBy("entry").text(target)

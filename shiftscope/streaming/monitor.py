@@ -3,9 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftscope.operators.histogram import sides
+
+PANES = "detector string, pane long, value string, n long"
+
 
 def pane_stream(cases: DataFrame, pane: int, watermark: str = "1 day", time: str = "ts") -> DataFrame:
-    """(detector, pane, value, n) of a streaming (detector, trace_idx, value, ts): state is one counter per pane and value.
+    """(day, detector, pane, value, n) of a streaming (detector, trace_idx, value, ts): state is one counter for each day, pane and value.
 
     Late cases within the watermark are counted; state of older days is dropped with the day they fall in.
     """
@@ -13,11 +17,24 @@ def pane_stream(cases: DataFrame, pane: int, watermark: str = "1 day", time: str
     return late.groupBy(F.window(time, "1 day").alias("day"), "detector", F.floor(F.col("trace_idx") / pane).alias("pane"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(cases: DataFrame, pane: int, path: str, watermark: str = "36500 days") -> DataFrame:
+    """Runs the stream over what is there, and gives (detector, pane, value, n).
+
+    Each batch writes the counters that it changed to a folder of its own; a batch that runs again writes the same folder
+    again. Counters only grow, so the largest of a day, pane and value is the last one.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("day.start").alias("day"), "detector", "pane", "value", "n").write.mode("overwrite").parquet(f"{path}/counters/batch={number}")
+
+    stream = pane_stream(cases, pane, watermark).writeStream.outputMode("update").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+    stream.foreachBatch(keep).start().awaitTermination()
+    rows = cases.sparkSession.read.schema("day timestamp, " + PANES).parquet(f"{path}/counters")
+    last = rows.groupBy("day", "detector", "pane", "value").agg(F.max("n").alias("n"))
+    return last.groupBy("detector", "pane", "value").agg(F.sum("n").alias("n"))
+
+
 def paired_from_panes(panes: DataFrame, grid: DataFrame, pane: int) -> DataFrame:
     """Paired histogram (detector, k, x_end, value, o1, o2) from pane counts, as a batch over what a stream has written."""
-    def spread(side: str) -> DataFrame:
-        return grid.select("k", F.col("b_end").alias("x_end"), F.lit(side).alias("side"), F.explode(F.sequence(F.floor(F.col(f"{side}_start") / pane), F.floor(F.col(f"{side}_end") / pane))).alias("pane"))
-
-    met = panes.join(spread("a").unionAll(spread("b")), "pane")
-    count = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0))
-    return met.groupBy("detector", "k", "x_end", "value").agg(count("a").alias("o1"), count("b").alias("o2"))
+    met = panes.join(sides(grid, pane), "pane")
+    return met.groupBy("detector", "k", "x_end", "value").agg(F.sum(F.col("n") * F.col("first")).alias("o1"), F.sum(F.col("n") * (1 - F.col("first"))).alias("o2"))
