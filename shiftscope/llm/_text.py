@@ -110,7 +110,7 @@ def span_hashes(low: np.ndarray, first: np.ndarray, end: np.ndarray, salt: int =
     lanes = np.ndarray(len(low) + 1, "<u8", padded, strides=(1,))
     for p in range(0, len(first), PIECE_BYTES):
         start, length = first[p : p + PIECE_BYTES], end[p : p + PIECE_BYTES] - first[p : p + PIECE_BYTES]
-        h = mix(length.astype(np.uint64) + _SEED * np.uint64(2 * salt + 1))
+        h = mix(length.astype(np.uint64) + np.uint64(int(_SEED) * (2 * salt + 1) % (1 << 64)))
         h = mix(h ^ (lanes[start] & _LANE[np.minimum(length, 8)]))
         for at in range(8, min(LONG_WORD, int(length.max())), 8):
             own = np.flatnonzero(length > at)

@@ -269,7 +269,7 @@ def crossing_pairs(here: DataFrame, wide: DataFrame, classes: DataFrame) -> Data
     known = known.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     one = known.withColumnsRenamed({"own": "first", "every": "second"})
     other = known.select(
-        "token",
+        F.col("token").alias("token_b"),
         F.col("every").alias("first"),
         F.col("own").alias("second"),
         F.col("set").alias("b"),
@@ -278,7 +278,7 @@ def crossing_pairs(here: DataFrame, wide: DataFrame, classes: DataFrame) -> Data
         F.col("wide").alias("wide_b"),
         F.col("tokens").alias("tokens_b"),
     )
-    same = (one["token"] == other["token"]) & (one["first"] == other["first"]) & (one["second"] == other["second"])
+    same = (F.col("token") == F.col("token_b")) & (one["first"] == other["first"]) & (one["second"] == other["second"])
     crossing = (F.col("set") < F.col("b")) & (F.col("component") != F.col("other")) & _sized("n", "n_b") & ~F.arrays_overlap("wide", "wide_b")
     retained = F.size(F.array_intersect("tokens", "tokens_b")) >= MATCHES
     return one.join(other, same & crossing & retained).select(F.col("set").alias("a"), "b").distinct()
