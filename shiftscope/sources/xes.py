@@ -34,7 +34,9 @@ def _numbers(of: str) -> Column:
 
 def _types(of: str) -> Column:
     """The XES type of each attribute, for what the maps of strings and of numbers do not say."""
-    named = [F.transform(F.coalesce(F.col(f"{of}{t}"), F.array()), lambda p, t=t: F.struct(p["_key"].alias("key"), F.lit(t).alias("value"))) for t in TYPES]
+    # a function of one parameter: a second one would be the place in the array
+    named_as = lambda t: lambda p: F.struct(p["_key"].alias("key"), F.lit(t).alias("value"))
+    named = [F.transform(F.coalesce(F.col(f"{of}{t}"), F.array()), named_as(t)) for t in TYPES]
     return F.map_from_entries(F.concat(*named))
 
 
@@ -103,7 +105,8 @@ def _typed(prefix: str, types: Column) -> list[Column]:
 
     every = F.concat(text, F.transform(F.map_entries(f"{prefix}_num"), number))
     pair = lambda e: F.struct(e["k"].alias("_key"), e["v"].alias("_value"))
-    return [F.transform(F.filter(every, lambda e, t=t: e["t"] == t), pair).alias(t) for t in TYPES]
+    of_type = lambda t: lambda e: e["t"] == t
+    return [F.transform(F.filter(every, of_type(t)), pair).alias(t) for t in TYPES]
 
 
 def _with(attributes: str, key: str, value: Column) -> Column:
