@@ -5,7 +5,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from shiftscope.llm import ann, chat, decontam, langid, mixing, neardup, quality, secrets, sharding, toxicity
 from shiftscope.llm._fit import remainder
 
@@ -157,6 +156,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the script lies beside the package, which can be imported without it
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -169,7 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neardup": op8_neardup,
         "op9_ann": op9_ann,
         "op10_toxicity": op10_toxicity,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
