@@ -5,9 +5,11 @@ scope is a list of key columns: none for a whole log, window keys for features b
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftscope.session import written
+
 #: Traces of a block in which windows and traces meet.
 BLOCK = 256
 
@@ -126,12 +128,47 @@ def windowed(events: DataFrame, grid: DataFrame) -> DataFrame:
     return events.withColumn("__b", F.floor(F.col("trace_idx") / width)).join(blocks, "__b").filter("trace_idx BETWEEN w_start AND w_end").drop("__b")
 
 
-def runs_series_counts(events: DataFrame, grid: DataFrame) -> DataFrame:
-    """Paired histogram of the runs of each pair of windows, concurrency taken in each window."""
-    by_window = runs(windowed(events, grid), ["w_start", "w_end"]).groupBy("w_start", "w_end", F.col("run").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def run_of(edges: Column, beside: Column) -> Column:
+    """The run, as runs() has it, of a trace's distinct neighbours (array of a1, a2), given the concurrent pairs."""
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def more(e: Column) -> Column:
+        of_first = F.transform(F.filter(beside, lambda p: p["a1"] == e["a1"]), lambda p: F.when(p["a2"] == e["a2"], pair(e["a2"], e["a1"])).otherwise(pair(p["a2"], e["a2"])))
+        of_second = F.transform(F.filter(beside, lambda p: (p["a1"] == e["a2"]) & (p["a2"] != e["a1"])), lambda p: pair(e["a1"], p["a2"]))
+        return F.concat(F.array(pair(e["a1"], e["a2"])), of_first, of_second)
+
+    every = F.flatten(F.transform(F.filter(edges, lambda e: e["a1"] != e["a2"]), more))
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(every)), lambda e: F.concat(e["x"], F.lit(">"), e["y"])), ";")
+
+
+def runs_series_counts(events: DataFrame, grid: DataFrame, pane: int = 1) -> DataFrame:
+    """Paired histogram of the runs of each pair of windows, concurrency taken in each window; bounds are multiples of pane.
+
+    A trace's neighbours do not depend on the window, so traces of the same ones are counted together, by pane and then by
+    window. A window's concurrency follows from what its traces have, and a run is made once for each kind of trace and
+    each concurrency that they meet.
+    """
+    from shiftscope.operators.grid import ranges
+
+    order = Window.partitionBy("trace_idx").orderBy("event_idx")
+    near = events.withColumn("a2", F.lead("activity").over(order))
+    edge = F.when(F.col("a2").isNotNull(), F.struct(F.col("activity").alias("a1"), "a2"))
+    # sets of pairs travel and are compared as text
+    pairs = "array<struct<a1:string,a2:string>>"
+    kinds = near.groupBy("trace_idx").agg(F.to_json(F.array_sort(F.collect_set(edge))).alias("kind"))
+    panes = written(kinds.groupBy(F.floor(F.col("trace_idx") / pane).alias("pane"), "kind").agg(F.count(F.lit(1)).alias("n")), "run-panes")
+    spread = ranges(grid).withColumn("pane", F.explode(F.sequence(F.floor(F.col("w_start") / pane), F.floor(F.col("w_end") / pane))))
+    scope = ["w_start", "w_end"]
+    held = panes.join(spread, "pane").groupBy(*scope, "kind").agg(F.sum("n").alias("n"))
+    edges = panes.select("kind").distinct().select("kind", F.explode(F.from_json("kind", pairs)).alias("edge"))
+    found = held.join(edges, "kind").groupBy(*scope).agg(F.array_sort(F.collect_set("edge")).alias("every"))
+    both_ways = F.filter("every", lambda e: F.array_contains("every", F.struct(e["a2"].alias("a1"), e["a1"].alias("a2"))))
+    known = held.join(found.select(*scope, F.to_json(both_ways).alias("beside")), scope, "left").withColumn("beside", F.coalesce("beside", F.lit("[]")))
+    made = known.select("kind", "beside").distinct().withColumn("value", run_of(F.from_json("kind", pairs), F.from_json("beside", pairs)))
+    by_window = known.join(made, ["kind", "beside"]).groupBy(*scope, "value").agg(F.sum("n").alias("n"))
     first = grid.select("k", F.col("b_end").alias("x_end"), F.col("a_start").alias("w_start"), F.col("a_end").alias("w_end"), F.lit(1).alias("side"))
     sides = first.unionAll(grid.select("k", "b_end", "b_start", "b_end", F.lit(2)))
-    met = by_window.join(sides, ["w_start", "w_end"])
+    met = by_window.join(sides, scope)
     count = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
     return met.groupBy(F.lit("Runs").alias("detector"), "k", "x_end", "value").agg(count(1).alias("o1"), count(2).alias("o2"))
 

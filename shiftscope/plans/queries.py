@@ -185,7 +185,7 @@ def runs_by_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _user_days(spark, sf_dir)
     n = events.select("trace_idx").distinct().count()
-    counts = controlflow.runs_series_counts(events, grid.fixed_grid(spark, n, SIZE, slide=SLIDE))
+    counts = controlflow.runs_series_counts(events, grid.fixed_grid(spark, n, SIZE, slide=SLIDE), PANE)
     return compare.g_test(counts, 0).select("x_end", _r("statistic"), "dof", _r("value"))
 
 
