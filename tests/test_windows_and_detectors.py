@@ -244,3 +244,46 @@ def test_synthetic_plan(spark):
     assert [a.name for a in synth.descriptors(2, 1)] == ["irrelevant_attribute_01", "relevant_attribute_01", "relevant_attribute_02"]
     with pytest.raises(ValueError):
         synth.drifted_pair(__import__("numpy").random.default_rng(1), 1)
+
+
+def test_runs_by_window_against_whole_logs(spark):
+    rng = random.Random(14)
+    traces = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 5))) for _ in range(48)]
+    rows = [(t, i, a) for t, trace in enumerate(traces) for i, a in enumerate(trace)]
+    events = spark.createDataFrame(rows, "trace_idx long, event_idx int, activity string")
+    pairs = grid.fixed_grid(spark, 48, 12, slide=4)
+    want = {}
+    for p in pairs.collect():
+        for side, (a, b) in enumerate(((p.a_start, p.a_end), (p.b_start, p.b_end))):
+            for r in controlflow.runs(events.filter(F.col("trace_idx").between(a, b))).collect():
+                want.setdefault((p.k, r.run), [0, 0])[side] += 1
+    for pane in (1, 4):
+        got = {(r.k, r.value): [r.o1, r.o2] for r in controlflow.runs_series_counts(events, pairs, pane).collect()}
+        assert got == want
+
+
+def test_attribute_series_and_own_comparison(spark):
+    traces = drifting(spark, 300)
+    pairs = grid.fixed_grid(spark, 300, 60, slide=20)
+    from shiftscope.operators.histogram import paired_counts
+    from shiftscope.sources.tables import long_values
+
+    both = detect.attribute_series(long_values(traces, ["kind"]), long_values(traces, ["price"], kind="double"), pairs, 20)
+    assert both.groupBy("detector").count().orderBy("detector").collect() == [("trace: kind", 10), ("trace: price", 10)]
+    counts = paired_counts(long_values(traces, ["kind"]), pairs, 20)
+    own = compare.user_comparer(counts, F.sum(F.abs(F.col("o1") - F.col("o2")))).collect()
+    assert len(own) == 10 and all(r.value == 0 for r in own)
+    known = detect.known_points(spark, [3, 5])
+    assert [r.change_point for r in known.orderBy("change_point").collect()] == [3, 5]
+
+
+def test_window_totals(spark):
+    """Every histogram holds the traces of its windows, whatever the pane."""
+    values = spark.range(500).select(F.lit("d").alias("detector"), F.col("id").alias("trace_idx"), F.when(F.col("id") % 7 > 0, (F.col("id") % 5).cast("string")).alias("value"))
+    from shiftscope.operators.histogram import paired_counts
+
+    pairs = grid.fixed_grid(spark, 500, 40, slide=10)
+    frames = [sorted(map(str, paired_counts(values, pairs, pane).collect())) for pane in (1, 5, 10)]
+    assert frames[0] == frames[1] == frames[2]
+    totals = paired_counts(values, pairs, 10).groupBy("k").agg(F.sum("o1").alias("a"), F.sum("o2").alias("b")).collect()
+    assert len(totals) == pairs.count() and all((r.a, r.b) == (40, 40) for r in totals)
