@@ -13,7 +13,8 @@ The benchmark is broadcast in blocks of at most BLOCK_WORDS words, one pass over
 Cases: null or empty texts have no words; so do items, which then match nothing. An item of fewer than 13 words is one
 phrase. Repeated items count as items of their own id. Items with a null id take no part in the item list and
 hit words as any other. Repeated rows get equal results. No rows: no rows; no items: nothing is hit. Texts are taken
-whole. Other columns pass unchanged; helper columns are named __fm_*, and a column of such a name is replaced.
+whole. Other columns pass unchanged; helper columns are named __fm_*; find_spans() replaces columns of such names, the
+others keep them.
 """
 
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import ship, written
+from shiftscope.llm._cluster import aside, ship, written
 from shiftscope.llm._text import ALNUM, LOWER, chunks, words
 
 WINDOW = 13
@@ -286,6 +287,7 @@ def clean_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def excise(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """docs with the merged spans cut out of their texts; no document goes."""
+    docs, back = aside(docs, "__fm_")
     found = find_spans(docs, benchmark, text_col=text_col, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +297,11 @@ def excise(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **o
             texts = [clean_text(t.encode(), [(s["c"], s["d"]) for s in own]).decode() if own else t for t, own in zip(batch.column(at).to_pylist(), spans, strict=True)]
             yield batch.set_column(at, text_col, pa.array(texts, batch.schema.field(at).type))
 
-    return found.mapInArrow(cut, found.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.mapInArrow(cut, found.schema).select(*back)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated ones: those of which a twentieth or more of the words are in benchmark phrases."""
+    docs, back = aside(docs, "__fm_")
     found = find_spans(docs, benchmark, text_col=text_col, **options)
-    return found.filter(~hits()["contaminated"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(~hits()["contaminated"]).select(*back)

@@ -2,11 +2,12 @@
 
 Words are counted per source, targets follow from the weights, and a document is emitted floor(rate) times
 plus one further time with probability rate - floor(rate), drawn from a hash of its id and a seed. All steps
-are DataFrame functions; the only shuffle is the sum per source, which is combined before it.
+are DataFrame functions; the only shuffle is the sum per source, which is combined before it. The table of sources is
+broadcast if it takes 64 MB at most; a larger one is joined by shuffle, where Spark splits a hot source.
 
 Cases: a null or empty text has size 0 and its rows are taken 0 times if its source has no words at all. A null
 source is a source of its own, ordered last. Rows that share an id share their draw. No rows: no rows. Other
-columns pass unchanged; helper columns are named __mix_*.
+columns pass unchanged; helper columns are named __mix_*; mix_plan() replaces columns of such names, mix() keeps them.
 """
 
 from collections.abc import Sequence
@@ -14,11 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import small_side, written
+from shiftscope.llm._cluster import aside, small_side, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Per-source tables up to this many rows (some 60 bytes each) are broadcast; larger ones are joined by shuffle.
-BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -67,11 +66,12 @@ def mix_plan(
     seed: int = 20_11,
 ) -> DataFrame:
     """docs with __mix_size, __mix_source_size, __mix_target and __mix_copies."""
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("__mix_")])
     sized = docs.withColumn("__mix_size", word_count(F.col(text_col)))
     sums = sized.groupBy(F.col(source_col).alias("__mix_source")).agg(F.sum("__mix_size").alias("source_size"))
     targets = written(source_targets(sums, weights, share, cap), "mix-targets")
     targets = targets.withColumnsRenamed({"source_size": "__mix_source_size", "target": "__mix_target"})
-    joined = sized.join(small_side(targets, BROADCAST_SOURCES), sized[source_col].eqNullSafe(targets["__mix_source"])).drop("__mix_source")
+    joined = sized.join(small_side(targets), sized[source_col].eqNullSafe(targets["__mix_source"])).drop("__mix_source")
     rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(F.lit(0.0))
     extra = (uniform(seed, F.col(id_col)) < rate - F.floor(rate)).cast("int")
     return joined.withColumn("__mix_copies", (F.floor(rate) + extra).cast("int"))
@@ -79,5 +79,6 @@ def mix_plan(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix has them: the same columns, each row as often as it is taken."""
+    docs, back = aside(docs, "__mix_")
     planned = mix_plan(docs, **options).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix_copies"))))
-    return planned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return planned.select(*back)

@@ -23,7 +23,7 @@ Cases: a null or empty text, or one without words, has no shingles, is linked wi
 than five words is one shingle. Repeated rows are members of the same class; rows with the smallest id of a
 component are the kept ones. Rows without an id take part, and are kept where no row of the component has one.
 Each row is decided by its own text: rows that share an id, or have none, stay or go one by one.
-No rows: no rows. Other columns pass unchanged; helper columns are named __dup_*.
+No rows: no rows. Other columns pass unchanged, those that are named as helper columns (__dup_*) as well.
 """
 
 import functools
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import mark, release, ship, small_side, written
+from shiftscope.llm._cluster import aside, mark, release, ship, small_side, written
 from shiftscope.llm._text import SPACED, chunks, mix, ngrams, words
 
 SHINGLE = 5
@@ -352,8 +352,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near duplicates of another: of each component the rows with its smallest id stay."""
+    docs, back = aside(docs, "__dup_")
     gone = _decided(docs, id_col, text_col, True).filter(~F.col("kept")).select(F.col(id_col).alias("__dup_gone"), "__dup_text").distinct()
     gone = small_side(written(gone, "dup-gone"))
     # rows of one id and one text have one set, so they share their decision
     same = docs[id_col].eqNullSafe(gone["__dup_gone"]) & (_digest(docs[text_col]) == gone["__dup_text"])
-    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone, same, "left_anti").select(*back)

@@ -92,7 +92,7 @@ def test_stages_on_odd_rows(spark, others, tmp_path):
     labels, benchmark = others
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame(odd_rows(random.Random(3)), KIND).select("*", F.lit("x").alias("label"), F.lit("y").alias("token"))
+    docs = spark.createDataFrame(odd_rows(random.Random(3)), KIND).select("*", *[F.lit("x").alias(c) for c in ("label", "token", "__fm_spans", "__quality_score", "__mix_size", "__mix_copies", "__dup_gone", "__dup_set")])
     for name, stage in corpus_pipeline.STAGES:
         kept = stage(spark, docs, str(tmp_path))
         left = Counter(tuple(r)[:5] for r in kept.collect())
