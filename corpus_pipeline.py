@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftscope.llm import decontam, mixing, neardup, quality, sharding
-from shiftscope.llm._cluster import mark, release, shared_dir, written
+from shiftscope.llm._cluster import aside, mark, release, shared_dir, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is one half or more. Null and empty texts are scored as any other, repeated rows alike."""
+    docs, back = aside(docs, "__quality_")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).filter(F.col("__quality_score") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.scored(docs, model).filter(F.col("__quality_score") >= 0.5).select(*back)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
