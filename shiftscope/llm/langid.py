@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import ship
+from shiftscope.llm._cluster import mark, release, ship, written
 from shiftscope.llm._fit import remainder
 from shiftscope.llm._text import LOWER, PIECE_BYTES, byte_class, chunks, mix
 
 SIZES = (3, 4)
 SAMPLE_TEXTS = 1_500
 GRAMS = 12_000
+#: N-grams are left out that make up no more than this share of their language's sample.
+LEAST_SHARE = 2e-7
 HASHES = 3
 #: Slots for each n-gram that is put in, at least.
 ROOM = 12
@@ -199,12 +201,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     drawn = rows.select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)).alias("u"), F.coalesce(text_col, F.lit("")).alias("text"))
     drawn = drawn.join(F.broadcast(info), "lang").filter(F.col("u") < F.col("share") * (1 << 30)).select("k", "text")
     counted = drawn.mapInArrow(_count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(RANK_PARTS)))
+    start = mark(docs.sparkSession)
+    counted = written(counted, "lang-grams")
+    # one row a language
+    totals = F.broadcast(counted.groupBy("k").agg((F.sum("n") * LEAST_SHARE).alias("least")))
+    top = counted.join(totals, "k").filter("n > least").drop("least").withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(RANK_PARTS)))
     for keys in (["k", "part"], ["k"]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "gram"))
         top = top.withColumn("place", place).filter(F.col("place") <= grams)
     planes, slots = Filters.shape(len(languages), grams)
     bits = top.select("k", "gram").mapInArrow(_bits(planes, slots), "plane int, slot long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    release(docs.sparkSession, start)
     table = np.zeros((planes, slots), np.uint64)
     table[bits.plane.to_numpy(np.int64), bits.slot.to_numpy(np.int64)] = bits["mask"].to_numpy(np.int64).view(np.uint64)
     return Filters.of(languages, table, max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k)))
