@@ -73,12 +73,8 @@ def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each word, A-Z lower-cased, and n + 1 offsets of each row's words.
-
-    Equal words have equal hashes. Hashes are not words: where a hit must be certain, callers compare the bytes.
-    """
-    low = LOWER[data]
+def word_bounds(low: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end byte) of each word of rows that are lower-cased already, or not to be."""
     firsts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for p in range(0, len(low), PIECE_BYTES):
         q = min(len(low), p + PIECE_BYTES)
@@ -93,7 +89,16 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, salt: int
         after[closed - p - 1] = False
         firsts.append(np.flatnonzero(inside & ~before) + p)
         ends.append(np.flatnonzero(inside & ~after) + p + 1)
-    first, end = np.concatenate(firsts), np.concatenate(ends)
+    return np.concatenate(firsts), np.concatenate(ends)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte) of each word, A-Z lower-cased, and n + 1 offsets of each row's words.
+
+    Equal words have equal hashes. Hashes are not words: where a hit must be certain, callers compare the bytes.
+    """
+    low = LOWER[data]
+    first, end = word_bounds(low, offsets, is_word)
     return span_hashes(low, first, end, salt), first, end, np.searchsorted(first, offsets)
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm import ann, chat, decontam, langid, mixing, neardup, quality, secrets, sharding, toxicity
+from shiftscope.llm import ann, audit, chat, decontam, importance, langid, mixing, neardup, quality, secrets, sharding, toxicity
 from shiftscope.llm._fit import remainder
 
 
@@ -156,6 +156,85 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), steps AS (
+  SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8
+), texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark
+), split AS (
+  SELECT kind, id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), grams AS (
+  SELECT kind, id, r, array_to_string(list_slice(w, i, i + n - 1), ' ') AS f
+  FROM (SELECT kind, id, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, range(1, 4) s(n) WHERE len(w) >= n)
+), counted AS (
+  SELECT kind, id, r, f, count(*) AS m FROM grams GROUP BY ALL
+), hexed AS (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT f, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS UBIGINT))),
+    lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) AS BIGINT) + 1])), 4294967295::UBIGINT) % 10000 AS BIGINT) AS b FROM hexed, steps
+), found AS (
+  SELECT kind, id, r, b, sum(m) AS m FROM counted JOIN hashed USING (f) GROUP BY ALL
+), buckets AS (
+  SELECT b, CAST(sum(m) FILTER (kind = 'd') AS DOUBLE) AS s, CAST(sum(m) FILTER (kind = 'b') AS DOUBLE) AS t FROM found GROUP BY b
+), totals AS (
+  SELECT coalesce(sum(s), 0) + 10000 AS own, coalesce(sum(t), 0) + 10000 AS target FROM buckets
+), gains AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * own / ((coalesce(s, 0) + 1) * target))) AS gain FROM buckets, totals
+), weighed AS (
+  SELECT r, CAST(sum(m) AS BIGINT) AS n_features, CAST(sum(m * gain) AS BIGINT) AS weight FROM found JOIN gains USING (b) WHERE kind = 'd' GROUP BY r
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM split LEFT JOIN weighed USING (r) WHERE kind = 'd'
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN CAST(place AS BIGINT) END AS rank FROM places
+"""
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(f) WHERE length(filter_order) < 5 AND NOT contains(filter_order, f)
+), split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails
+  FROM split LEFT JOIN marks USING (doc_id)
+), patterns AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM flags GROUP BY ALL
+), steps AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f, fails, good, toxic, n,
+    coalesce((SELECT min(i) FROM range(1, 6) t(i) WHERE contains(fails, substr(filter_order, i, 1))), 6) AS first
+  FROM patterns, orders, range(1, 6) s(step) WHERE length(filter_order) = 5
+), summed AS (
+  SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER (first > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (first = step), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (first < step AND contains(fails, f)), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (first = step AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (first = step AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the script lies beside the package, which can be imported without it
     import corpus_pipeline
@@ -175,9 +254,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neardup": op8_neardup,
         "op9_ann": op9_ann,
         "op10_toxicity": op10_toxicity,
+        "op11_importance": op11_importance,
+        "op13_audit": op13_audit,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL}
+    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL, "op11_importance": OP11_SQL, "op13_audit": OP13_SQL}
