@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm import ann, audit, chat, decontam, importance, langid, mixing, neardup, quality, secrets, sharding, toxicity
+from shiftscope.llm import ann, audit, chat, decontam, importance, langid, mixing, neardup, quality, repeats, secrets, sharding, toxicity
 from shiftscope.llm._fit import remainder
 
 
@@ -201,6 +201,29 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHE
 """
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return left.select("doc_id", F.col("__rep_words").alias("n_words"), F.col("__rep_removed").alias("n_removed"), F.col("__rep_kept").alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35)
+), repeated AS (
+  SELECT r, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM repeated
+), places AS (
+  SELECT r, w[i] AS word, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM split)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS rest, count(*) AS n FROM places ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (r)
+"""
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -255,10 +278,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ann": op9_ann,
         "op10_toxicity": op10_toxicity,
         "op11_importance": op11_importance,
+        "op12_repeats": op12_repeats,
         "op13_audit": op13_audit,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL, "op11_importance": OP11_SQL, "op13_audit": OP13_SQL}
+    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL, "op11_importance": OP11_SQL, "op12_repeats": OP12_SQL, "op13_audit": OP13_SQL}
