@@ -5,12 +5,13 @@ A lower value means more different windows. NULL means that the test is undefine
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftscope.functions.tails import chi2_tail, f_tail, ks_tail_equal
-from shiftscope.session import ship
+from shiftscope.session import ship, written
 
 PAIR = ("detector", "k", "x_end")
 
@@ -119,12 +120,90 @@ def ks_test(counts: DataFrame, exact: int | None = KS_EXACT) -> DataFrame:
     whole = Window.partitionBy(*PAIR)
     steps = kept.withColumns({"t1": F.sum("o1").over(whole), "t2": F.sum("o2").over(whole), "c1": F.sum("o1").over(upto), "c2": F.sum("o2").over(upto)})
     d = F.max(F.abs(F.try_divide(F.col("c1"), F.col("t1")) - F.try_divide(F.col("c2"), F.col("t2"))))
-    scored = steps.groupBy(*PAIR).agg(d.alias("statistic"), F.first("t1").alias("n1"), F.first("t2").alias("n2"))
+    return _ks_valued(steps.groupBy(*PAIR).agg(d.alias("statistic"), F.first("t1").alias("n1"), F.first("t2").alias("n2")), exact)
+
+
+def _ks_valued(scored: DataFrame, exact: int | None) -> DataFrame:
     equal = F.when((F.col("n1") == F.col("n2")) & F.col("statistic").isNotNull(), ks_tail_equal(F.col("statistic"), F.col("n1")))
     other = scored.withColumn("other", _ks_unequal(exact)("statistic", "n1", "n2"))
     return other.select(*PAIR, "statistic", F.coalesce(equal, F.col("other")).alias("value"))
 
 
+#: Positions that one task compares windows in, at least; and the numbers that it sorts at a time.
+KS_BLOCK = 1 << 13
+KS_CELLS = 1 << 22
+
+
+def _ks_block(key: tuple, values: pa.Table, pairs: pa.Table) -> pa.Table:
+    """The distances of a block's pairs of windows, for each detector: ranks of its values, sorted by pair as rows of a matrix."""
+    k, x_end, bounds = pairs.column("k").to_numpy(), pairs.column("x_end").to_numpy(), [pairs.column(c).to_numpy() for c in ("a_start", "a_end", "b_start", "b_end")]
+    names, codes = np.unique(values.column("detector").to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if len(values) else (np.zeros(0, str), np.zeros(0, int))
+    at, number = values.column("trace_idx").to_numpy(), values.column("value").to_numpy(zero_copy_only=False).astype(float)
+    missing = values.column("value").is_null().to_numpy(zero_copy_only=False) if len(values) else np.zeros(0, bool)
+    out: list[tuple] = []
+    for d, name in enumerate(names):
+        own = np.flatnonzero(codes == d)
+        own = own[np.argsort(at[own], kind="stable")]
+        seen = at[own]
+        rows = np.zeros(len(k), bool)
+        for start, end in (bounds[:2], bounds[2:]):
+            rows |= np.searchsorted(seen, end, side="right") > np.searchsorted(seen, start, side="left")
+        own = own[~missing[own]]
+        seen = at[own]
+        _, rank = np.unique(number[own], return_inverse=True)
+        beyond = int(rank.max()) + 1 if len(rank) else 0
+        rank = np.append(rank, beyond)
+        a0, a1, b0, b1 = (np.searchsorted(seen, x, side=s) for x, s in zip(bounds, ("left", "right", "left", "right"), strict=True))
+        n1, n2 = a1 - a0, b1 - b0
+        distance = np.full(len(k), np.nan)
+        both = np.flatnonzero((n1 > 0) & (n2 > 0))
+        step = max(1, KS_CELLS // max(1, int((n1 + n2)[both].max()) if len(both) else 1))
+        for p in range(0, len(both), step):
+            i = both[p : p + step]
+            parts, sides = [], []
+            for first, n in ((a0, n1), (b0, n2)):
+                place = np.arange(int(n[i].max()))[None, :]
+                inside = place < n[i][:, None]
+                parts.append(np.where(inside, rank[np.where(inside, first[i][:, None] + place, len(rank) - 1)], beyond))
+                sides.append(inside)
+            ranks = np.concatenate(parts, axis=1)
+            order = np.argsort(ranks, axis=1)
+            zeros = [np.zeros_like(s) for s in sides]
+            upto = [np.cumsum(np.take_along_axis(np.concatenate(x, axis=1), order, axis=1), axis=1) for x in ((sides[0], zeros[1]), (zeros[0], sides[1]))]
+            sorted_ranks = np.take_along_axis(ranks, order, axis=1)
+            last = np.ones_like(sorted_ranks, dtype=bool)
+            last[:, :-1] = sorted_ranks[:, 1:] != sorted_ranks[:, :-1]
+            distance[i] = np.where(last, np.abs(upto[0] / n1[i][:, None] - upto[1] / n2[i][:, None]), 0).max(axis=1)
+        kept = np.flatnonzero(rows)
+        out.append((np.full(len(kept), name, object), k[kept], x_end[kept], distance[kept], n1[kept], n2[kept]))
+    whole = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, object), *[np.zeros(0)] * 5]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    arrays = [pa.array(c.astype(t.to_pandas_dtype()) if t != pa.string() else c, t, from_pandas=True) for c, t in zip(whole, kinds, strict=True)]
+    return pa.Table.from_arrays(arrays, ["detector", "k", "x_end", "statistic", "n1", "n2"])
+
+
+def ks_series(values: DataFrame, grid: DataFrame, exact: int | None = KS_EXACT) -> DataFrame:
+    """ks_test() of (detector, trace_idx, value) over a grid: (detector, k, x_end, statistic, value).
+
+    Positions are dealt to blocks a few times as long as the longest pair of windows. A pair is compared where it begins, so a trace
+    goes to its block and the one before: what is shuffled is the table once, and a part of it twice. Blocks without pairs
+    are left out before. A task holds the traces of one block.
+    """
+    ship(values.sparkSession)
+    start, end = F.least("a_start", "b_start"), F.greatest("a_end", "b_end")
+    span = grid.agg(F.max(end - start + 1)).first()[0] or 1
+    width = max(KS_BLOCK, 4 * span)
+    pairs = grid.select(F.floor(start / width).alias("block"), F.col("k").cast("long"), F.col("b_end").cast("long").alias("x_end"), *[F.col(c).cast("long") for c in ("a_start", "a_end", "b_start", "b_end")])
+    blocks = written(pairs.select("block").distinct(), "ks-blocks")
+    if blocks.count() <= 1_000_000:
+        blocks = F.broadcast(blocks)
+    at = F.col("trace_idx")
+    dealt = values.select("detector", at.cast("long"), F.col("value").cast("double"), F.explode(F.sequence(F.floor((at - (span - 1)) / width), F.floor(at / width))).alias("block"))
+    met = dealt.join(blocks, "block", "left_semi").groupBy("block").cogroup(pairs.groupBy("block"))
+    scored = met.applyInArrow(_ks_block, "detector string, k long, x_end long, statistic double, n1 long, n2 long")
+    return _ks_valued(scored, exact)
+
+
 def hotelling(samples: DataFrame, columns: list[str]) -> DataFrame:
     """(detector, k, x_end, statistic, value) from rows (detector, k, x_end, side 1 or 2, columns): Hotelling's T squared.
 

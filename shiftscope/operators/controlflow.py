@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from shiftscope.session import written
 
-#: Traces of a block in which windows and traces meet.
-BLOCK = 256
-
-
 def sequences(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, trace_idx, activities): each trace's activities in order."""
     keys = [*(scope or []), "trace_idx"]
@@ -25,23 +21,32 @@ def activity_counts(events: DataFrame, scope: list[str] | None = None) -> DataFr
     return events.groupBy(*(scope or []), "activity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def causality_counts(events: DataFrame, direction: str = "followed_by", scope: list[str] | None = None) -> DataFrame:
-    """(scope, a1, a2, n): pairs of events in which a2 comes anywhere after a1 (followed_by) or before it (preceded_by).
+def counted(events: DataFrame, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What all relations of a scope are made of, as sums over its traces, so that the counts of panes add up to those of windows.
 
-    Cells without a pair are 0. Rows are the activities that stand before (after) another one, columns all
-    activities of traces of two events or more. Each event meets the activities of its trace, not its events: a
-    running count of each replaces the pairs.
+    pairs: (scope, a1, a2, n), the pairs of events of a trace in which a2 comes anywhere after a1. acts: (scope, activity, occurs,
+    early, every), its events, those before the last one of their trace, and those in traces of two events or more. Each
+    event meets the activities of its trace, not its events: a running count of each replaces the pairs.
     """
     scope = scope or []
     trace = [*scope, "trace_idx"]
     whole = Window.partitionBy(*trace)
-    placed = events.select(*trace, "event_idx", "activity").withColumns({"__last": F.max("event_idx").over(whole), "__n": F.count(F.lit(1)).over(whole)}).filter("__n > 1")
-    own = placed.select(*trace, F.col("activity").alias("a1")).distinct()
+    placed = events.select(*trace, "event_idx", "activity").withColumns({"__last": F.max("event_idx").over(whole), "__n": F.count(F.lit(1)).over(whole)})
+    longer = placed.filter("__n > 1")
+    own = longer.select(*trace, F.col("activity").alias("a1")).distinct()
     before = Window.partitionBy(*trace, "a1").orderBy("event_idx").rowsBetween(Window.unboundedPreceding, -1)
-    seen = placed.join(own, trace).withColumn("n", F.sum((F.col("activity") == F.col("a1")).cast("long")).over(before))
+    seen = longer.join(own, trace).withColumn("n", F.sum((F.col("activity") == F.col("a1")).cast("long")).over(before))
     pairs = seen.groupBy(*scope, "a1", F.col("activity").alias("a2")).agg(F.sum("n").alias("n"))
-    early = placed.filter("event_idx < __last").select(*scope, F.col("activity").alias("a1")).distinct()
-    every = placed.select(*scope, F.col("activity").alias("a2")).distinct()
+    several = F.col("__n") > 1
+    acts = placed.groupBy(*scope, "activity").agg(
+        F.count(F.lit(1)).alias("occurs"), F.count_if(several & (F.col("event_idx") < F.col("__last"))).alias("early"), F.count_if(several).alias("every")
+    )
+    return pairs, acts
+
+
+def _cells(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
+    early = acts.filter("early > 0").select(*scope, F.col("activity").alias("a1"))
+    every = acts.filter("every > 0").select(*scope, F.col("activity").alias("a2"))
     domain = early.join(every, scope) if scope else early.crossJoin(every)
     cells = domain.join(pairs, [*scope, "a1", "a2"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     if direction == "followed_by":
@@ -49,35 +54,58 @@ def causality_counts(events: DataFrame, direction: str = "followed_by", scope: l
     return cells.select(*scope, F.col("a2").alias("a1"), F.col("a1").alias("a2"), "n")
 
 
+def _relations(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
+    occurs = acts.select(*scope, F.col("activity").alias("a2"), F.col("occurs").alias("__occurs"))
+    cells = _cells(pairs, acts, direction, scope).join(occurs, [*scope, "a2"])
+    return cells.select(*scope, "a1", "a2", "n", F.when(F.col("n") == F.col("__occurs"), "a").when(F.col("n") > 0, "s").otherwise("n").alias("relation"))
+
+
+def _relation_counts(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
+    count = lambda r, name: F.count_if(F.col("relation") == r).alias(name)
+    return _relations(pairs, acts, direction, scope).groupBy(*scope, F.col("a1").alias("activity")).agg(count("a", "always"), count("s", "sometimes"), count("n", "never"))
+
+
+def _bidirectional(pairs: DataFrame, acts: DataFrame, scope: list[str]) -> DataFrame:
+    sides = []
+    for direction in ("followed_by", "preceded_by"):
+        own = _relation_counts(pairs, acts, direction, scope)
+        sides.append(own.withColumnsRenamed({c: f"{direction}_{c}" for c in ("always", "sometimes", "never")}))
+    return sides[0].join(sides[1], [*scope, "activity"], "full_outer")
+
+
+def _entropy(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
+    rows = _relation_counts(pairs, acts, direction, scope).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*scope)))
+    part = lambda c: F.when(F.col(c) > 0, -(F.col(c) / F.col("__rows")) * F.log2(F.col(c) / F.col("__rows"))).otherwise(0.0)
+    return rows.select(*scope, "activity", (part("always") + part("sometimes") + part("never")).alias("entropy"))
+
+
+def causality_counts(events: DataFrame, direction: str = "followed_by", scope: list[str] | None = None) -> DataFrame:
+    """(scope, a1, a2, n): pairs of events in which a2 comes anywhere after a1 (followed_by) or before it (preceded_by).
+
+    Cells without a pair are 0. Rows are the activities that stand before (after) another one, columns all
+    activities of traces of two events or more.
+    """
+    return _cells(*counted(events, scope), direction, scope or [])
+
+
 def relations(events: DataFrame, direction: str = "followed_by", scope: list[str] | None = None) -> DataFrame:
     """(scope, a1, a2, n, relation): a if the count is a2's number of occurrences, s if it is another positive one, else n."""
-    scope = scope or []
-    occurs = activity_counts(events, scope).select(*scope, F.col("activity").alias("a2"), F.col("n").alias("__occurs"))
-    cells = causality_counts(events, direction, scope).join(occurs, [*scope, "a2"])
-    return cells.select(*scope, "a1", "a2", "n", F.when(F.col("n") == F.col("__occurs"), "a").when(F.col("n") > 0, "s").otherwise("n").alias("relation"))
+    return _relations(*counted(events, scope), direction, scope or [])
 
 
 def relation_counts(events: DataFrame, direction: str = "followed_by", scope: list[str] | None = None) -> DataFrame:
     """(scope, activity, always, sometimes, never)"""
-    count = lambda r, name: F.count_if(F.col("relation") == r).alias(name)
-    return relations(events, direction, scope).groupBy(*(scope or []), F.col("a1").alias("activity")).agg(count("a", "always"), count("s", "sometimes"), count("n", "never"))
+    return _relation_counts(*counted(events, scope), direction, scope or [])
 
 
 def bidirectional_counts(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """relation_counts of both directions side by side; NULL where an activity has none."""
-    sides = []
-    for direction in ("followed_by", "preceded_by"):
-        own = relation_counts(events, direction, scope)
-        sides.append(own.withColumnsRenamed({c: f"{direction}_{c}" for c in ("always", "sometimes", "never")}))
-    return sides[0].join(sides[1], [*(scope or []), "activity"], "full_outer")
+    return _bidirectional(*counted(events, scope), scope or [])
 
 
 def relational_entropy(events: DataFrame, direction: str = "followed_by", scope: list[str] | None = None) -> DataFrame:
     """(scope, activity, entropy) of the three counts over the number of activities with a row."""
-    scope = scope or []
-    counted = relation_counts(events, direction, scope).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*scope)))
-    part = lambda c: F.when(F.col(c) > 0, -(F.col(c) / F.col("__rows")) * F.log2(F.col(c) / F.col("__rows"))).otherwise(0.0)
-    return counted.select(*scope, "activity", (part("always") + part("sometimes") + part("never")).alias("entropy"))
+    return _entropy(*counted(events, scope), direction, scope or [])
 
 
 def directly_follows(events: DataFrame, scope: list[str] | None = None, direction: str = "followed_by", by_trace: bool = False) -> DataFrame:
@@ -115,17 +143,17 @@ def runs(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
     return events.select(*trace).distinct().join(gathered.select(*trace, text.alias("run")), trace, "left").withColumn("run", F.coalesce("run", F.lit("")))
 
 
-def windowed(events: DataFrame, grid: DataFrame) -> DataFrame:
-    """events once for each window that their trace is in, with w_start and w_end: the scope of features by window.
+def window_sums(panes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over windows (w_start, w_end, keys, sums) of the counts of panes (pane, keys, counts); spans is (w_start, w_end, pane)."""
+    counts = [c for c in panes.columns if c not in ("pane", *keys)]
+    return panes.join(spans, "pane").groupBy("w_start", "w_end", *keys).agg(*[F.sum(c).alias(c) for c in counts])
 
-    Windows are spread over blocks of BLOCK traces, and met by equality on the block.
-    """
+
+def window_panes(grid: DataFrame, pane: int) -> DataFrame:
+    """(w_start, w_end, pane): the panes of each distinct window; bounds are multiples of pane."""
     from shiftscope.operators.grid import ranges
 
-    spans = ranges(grid)
-    width = BLOCK
-    blocks = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("w_start") / width), F.floor(F.col("w_end") / width))))
-    return events.withColumn("__b", F.floor(F.col("trace_idx") / width)).join(blocks, "__b").filter("trace_idx BETWEEN w_start AND w_end").drop("__b")
+    return ranges(grid).withColumn("pane", F.explode(F.sequence(F.floor(F.col("w_start") / pane), F.floor(F.col("w_end") / pane))))
 
 
 def run_of(edges: Column, beside: Column) -> Column:
@@ -141,61 +169,81 @@ def run_of(edges: Column, beside: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.array_distinct(every)), lambda e: F.concat(e["x"], F.lit(">"), e["y"])), ";")
 
 
-def runs_series_counts(events: DataFrame, grid: DataFrame, pane: int = 1) -> DataFrame:
+def _numbered(texts: DataFrame, column: str, name: str) -> DataFrame:
+    """The distinct texts of a column with a number each, written, so that wide joins carry numbers only."""
+    return written(texts.select(column).distinct().withColumn(name, F.monotonically_increasing_id()), f"numbered-{name}")
+
+
+def runs_series_counts(events: DataFrame, grid: DataFrame, pane: int = 1, texts: bool = True) -> DataFrame:
     """Paired histogram of the runs of each pair of windows, concurrency taken in each window; bounds are multiples of pane.
 
-    A trace's neighbours do not depend on the window, so traces of the same ones are counted together, by pane and then by
-    window. A window's concurrency follows from what its traces have, and a run is made once for each kind of trace and
-    each concurrency that they meet.
+    A trace's neighbours do not depend on the window, so traces of the same ones are one kind, counted by pane and added up
+    by window. So are the neighbours of a pane's traces, from which a window's concurrency follows. A run is made once for each
+    kind of trace and each concurrency that they meet. Kinds, concurrencies and runs are numbers in all joins by window;
+    value is a run's text, or without texts its number, which is enough to compare windows.
     """
-    from shiftscope.operators.grid import ranges
-
     order = Window.partitionBy("trace_idx").orderBy("event_idx")
     near = events.withColumn("a2", F.lead("activity").over(order))
     edge = F.when(F.col("a2").isNotNull(), F.struct(F.col("activity").alias("a1"), "a2"))
-    # sets of pairs travel and are compared as text
+    # sets of pairs are compared as text, which happens once a trace and once a window
     pairs = "array<struct<a1:string,a2:string>>"
-    kinds = near.groupBy("trace_idx").agg(F.to_json(F.array_sort(F.collect_set(edge))).alias("kind"))
-    panes = written(kinds.groupBy(F.floor(F.col("trace_idx") / pane).alias("pane"), "kind").agg(F.count(F.lit(1)).alias("n")), "run-panes")
-    spread = ranges(grid).withColumn("pane", F.explode(F.sequence(F.floor(F.col("w_start") / pane), F.floor(F.col("w_end") / pane))))
-    scope = ["w_start", "w_end"]
-    held = panes.join(spread, "pane").groupBy(*scope, "kind").agg(F.sum("n").alias("n"))
-    edges = panes.select("kind").distinct().select("kind", F.explode(F.from_json("kind", pairs)).alias("edge"))
-    found = held.join(edges, "kind").groupBy(*scope).agg(F.array_sort(F.collect_set("edge")).alias("every"))
+    traces = written(near.groupBy("trace_idx").agg(F.to_json(F.array_sort(F.collect_set(edge))).alias("kind_text")), "run-traces")
+    kinds = _numbered(traces, "kind_text", "kind")
+    placed = traces.select(F.floor(F.col("trace_idx") / pane).alias("pane"), "kind_text").join(kinds, "kind_text")
+    panes = written(placed.groupBy("pane", "kind").agg(F.count(F.lit(1)).alias("n")), "run-panes")
+    spans, scope = window_panes(grid, pane), ["w_start", "w_end"]
+    held = window_sums(panes, spans, ["kind"])
+
+    edges = kinds.select("kind", F.explode(F.from_json("kind_text", pairs)).alias("edge"))
+    pane_edges = panes.select("pane", "kind").join(edges, "kind").groupBy("pane", "edge").agg(F.count(F.lit(1)).alias("traces"))
+    found = window_sums(pane_edges, spans, ["edge"]).groupBy(*scope).agg(F.array_sort(F.collect_list("edge")).alias("every"))
     both_ways = F.filter("every", lambda e: F.array_contains("every", F.struct(e["a2"].alias("a1"), e["a1"].alias("a2"))))
-    known = held.join(found.select(*scope, F.to_json(both_ways).alias("beside")), scope, "left").withColumn("beside", F.coalesce("beside", F.lit("[]")))
-    made = known.select("kind", "beside").distinct().withColumn("value", run_of(F.from_json("kind", pairs), F.from_json("beside", pairs)))
-    by_window = known.join(made, ["kind", "beside"]).groupBy(*scope, "value").agg(F.sum("n").alias("n"))
+    concurrent = written(found.select(*scope, F.to_json(both_ways).alias("beside_text")), "run-concurrency")
+    besides = _numbered(concurrent, "beside_text", "beside")
+    known = held.join(concurrent.join(besides, "beside_text").select(*scope, "beside"), scope, "left").withColumn("beside", F.coalesce("beside", F.lit(-1)))
+
+    met = known.select("kind", "beside").distinct().join(kinds, "kind").join(besides, "beside", "left")
+    text = run_of(F.from_json("kind_text", pairs), F.from_json(F.coalesce("beside_text", F.lit("[]")), pairs))
+    made = written(met.select("kind", "beside", text.alias("run")), "runs-made")
+    runs = _numbered(made, "run", "value")
+    runs_of = made.join(runs, "run").select("kind", "beside", "value")
+    by_window = known.join(runs_of, ["kind", "beside"]).groupBy(*scope, "value").agg(F.sum("n").alias("n"))
     first = grid.select("k", F.col("b_end").alias("x_end"), F.col("a_start").alias("w_start"), F.col("a_end").alias("w_end"), F.lit(1).alias("side"))
     sides = first.unionAll(grid.select("k", "b_end", "b_start", "b_end", F.lit(2)))
-    met = by_window.join(sides, scope)
     count = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
-    return met.groupBy(F.lit("Runs").alias("detector"), "k", "x_end", "value").agg(count(1).alias("o1"), count(2).alias("o2"))
+    counts = by_window.join(sides, scope).groupBy(F.lit("Runs").alias("detector"), "k", "x_end", "value").agg(count(1).alias("o1"), count(2).alias("o2"))
+    if not texts:
+        return counts
+    return counts.join(runs, "value").select("detector", "k", "x_end", F.col("run").alias("value"), "o1", "o2")
 
 
-def feature_samples(events: DataFrame, grid: DataFrame, feature: str, direction: str = "followed_by") -> tuple[DataFrame, list[str]]:
+def feature_samples(events: DataFrame, grid: DataFrame, feature: str, direction: str = "followed_by", pane: int = 1) -> tuple[DataFrame, list[str]]:
     """(detector, k, x_end, side, columns) of a feature of both windows of each pair, a row for each activity, and the columns.
 
     `Relational Entropy` has one column, `Relation Type Counts` the six of both directions, NaN where an activity has none.
+    Events are counted once, by pane (bounds are multiples of pane); windows add up the counts of their panes, of which there
+    is one for each pair of activities at most.
     """
     scope = ["w_start", "w_end"]
-    inside = windowed(events, grid)
+    if feature not in ("Relational Entropy", "Relation Type Counts"):
+        raise ValueError(f"unknown feature {feature}")
+    pairs, acts = counted(events.withColumn("pane", F.floor(F.col("trace_idx") / pane)), ["pane"])
+    spans = window_panes(grid, pane)
+    summed = window_sums(written(pairs, "pane-pairs"), spans, ["a1", "a2"]), window_sums(written(acts, "pane-acts"), spans, ["activity"])
     if feature == "Relational Entropy":
-        rows, columns = relational_entropy(inside, direction, scope), ["entropy"]
-    elif feature == "Relation Type Counts":
-        rows = bidirectional_counts(inside, scope)
-        columns = [c for c in rows.columns if c not in (*scope, "activity")]
+        rows, columns = _entropy(*summed, direction, scope), ["entropy"]
     else:
-        raise ValueError(f"unknown feature {feature}")
+        rows = _bidirectional(*summed, scope)
+        columns = [c for c in rows.columns if c not in (*scope, "activity")]
     sides = [grid.select("k", F.col("b_end").alias("x_end"), F.col(f"{s}_start").alias("w_start"), F.col(f"{s}_end").alias("w_end"), F.lit(i).alias("side")) for i, s in ((1, "a"), (2, "b"))]
     met = rows.join(reduce(DataFrame.unionAll, sides), scope)
     return met.select(F.lit(feature).alias("detector"), "k", "x_end", "side", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]), columns
 
 
-def feature_series(events: DataFrame, grid: DataFrame, feature: str, min_samples: float = 5) -> DataFrame:
+def feature_series(events: DataFrame, grid: DataFrame, feature: str, min_samples: float = 5, pane: int = 1) -> DataFrame:
     """(detector, k, x_end, statistic, value): G-tests of `Runs`, Hotelling's test of the other features."""
     from shiftscope.operators.compare import g_test, hotelling
 
     if feature == "Runs":
-        return g_test(runs_series_counts(events, grid), min_samples).drop("dof")
-    return hotelling(*feature_samples(events, grid, feature))
+        return g_test(runs_series_counts(events, grid, pane, texts=False), min_samples).drop("dof")
+    return hotelling(*feature_samples(events, grid, feature, pane=pane))

@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.operators.compare import g_test, ks_test
-from shiftscope.operators.histogram import paired_counts, paired_rows
+from shiftscope.operators.compare import g_test, ks_series
+from shiftscope.operators.histogram import paired_counts
 
 
 def change_series(values: DataFrame, grid: DataFrame, compare: Callable[[DataFrame], DataFrame], pane: int = 1) -> DataFrame:
@@ -19,7 +19,7 @@ def change_series(values: DataFrame, grid: DataFrame, compare: Callable[[DataFra
 def attribute_series(categorical: DataFrame, continuous: DataFrame, grid: DataFrame, pane: int = 1, min_samples: float = 5) -> DataFrame:
     """G-tests of the categorical attributes and Kolmogorov-Smirnov tests of the continuous ones."""
     left = change_series(categorical, grid, lambda c: g_test(c, min_samples), pane)
-    right = ks_test(paired_rows(continuous, grid, pane)).select("detector", F.col("k").alias("pos"), "x_end", "value")
+    right = ks_series(continuous, grid).select("detector", F.col("k").alias("pos"), "x_end", "value")
     return left.unionByName(right)
 
 

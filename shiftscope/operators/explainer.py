@@ -7,7 +7,7 @@ Nothing is computed before a result is read; detectors are rows of one plan, not
 """
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftscope.operators import adaptive, controlflow, detect
-from shiftscope.operators.compare import g_test, ks_test
+from shiftscope.operators.compare import g_test, ks_series, ks_test
 from shiftscope.operators.grid import fixed_grid, region_grid
-from shiftscope.operators.histogram import paired_counts, paired_rows
+from shiftscope.operators.histogram import paired_counts
 from shiftscope.schema import Attribute
 from shiftscope.sources.tables import long_values
 
@@ -115,8 +115,8 @@ class KnownPoints:
         return Changes(detect.known_points(log.spark, self.change_points, self.name))
 
 
-def _scored(counts: DataFrame, test: Callable[[DataFrame], DataFrame], regions: DataFrame | None) -> DataFrame:
-    scored = test(counts).select("detector", F.col("k").alias("pos"), "x_end", "value")
+def _scored(scored: DataFrame, regions: DataFrame | None) -> DataFrame:
+    scored = scored.select("detector", F.col("k").alias("pos"), "x_end", "value")
     if regions is None:
         return scored.withColumn("region", F.lit(0))
     return scored.join(regions.select(F.col("k").alias("pos"), "region").distinct(), "pos")
@@ -149,8 +149,8 @@ class AttributeDetectors:
                 regions = counts.select("detector", F.col("k").alias("pos"), "region").distinct()
                 found.append(test(counts).select("detector", F.col("k").alias("pos"), "x_end", "value").join(regions, ["detector", "pos"]))
             else:
-                counts = paired_counts(values, grid, pane) if kind == "categorical" else paired_rows(values, grid, pane)
-                found.append(_scored(counts, test, grid if around is not None else None))
+                scored = test(paired_counts(values, grid, pane)) if kind == "categorical" else ks_series(values, grid)
+                found.append(_scored(scored, grid if around is not None else None))
         series = reduce(DataFrame.unionByName, found)
         return Changes(self.streaks.points(series), series)
 
@@ -180,7 +180,7 @@ class ControlFlowDetector:
         if self.windows.adaptive:
             raise NotImplementedError("a control-flow feature belongs to a window: its windows are fixed")
         grid = self.windows.grid(log, around, max_distance)
-        scored = controlflow.feature_series(log.events, grid, self.feature, self.min_samples_per_test)
+        scored = controlflow.feature_series(log.events, grid, self.feature, self.min_samples_per_test, self.windows.pane(around))
         regions = grid.select(F.col("k").alias("pos"), "region")
         series = scored.select("detector", F.col("k").alias("pos"), "x_end", "value").join(regions, "pos")
         return Changes(self.streaks.points(series), series)

@@ -73,7 +73,7 @@ def change_series_hellinger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_series_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = tables.long_values(_orders(spark, sf_dir, "o_totalprice"), ["o_totalprice"], kind="double")
-    return compare.ks_test(histogram.paired_rows(values, _fixed(spark, sf_dir), PANE)).select("x_end", _r("statistic"), _r("value"))
+    return compare.ks_series(values, _fixed(spark, sf_dir)).select("x_end", _r("statistic"), _r("value"))
 
 
 def _drift_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +183,7 @@ def runs_by_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _user_days(spark, sf_dir)
-    n = events.select("trace_idx").distinct().count()
-    counts = controlflow.runs_series_counts(events, grid.fixed_grid(spark, n, SIZE, slide=SLIDE), PANE)
+    counts = controlflow.runs_series_counts(*_days_grid(spark, sf_dir), PANE, texts=False)
     return compare.g_test(counts, 0).select("x_end", _r("statistic"), "dof", _r("value"))
 
 
@@ -365,17 +363,26 @@ def parts_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.absolute_points(spark, found, parts)
 
 
-def entropy_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _days_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The days of users as events, and the grid over them."""
     events = _user_days(spark, sf_dir)
-    n = events.select("trace_idx").distinct().count()
-    found = controlflow.feature_series(events, grid.fixed_grid(spark, n, SIZE, slide=SIZE // 2), "Relational Entropy")
-    return found.select("x_end", _r("statistic"))
+    return events, grid.fixed_grid(spark, events.select("trace_idx").distinct().count(), SIZE, slide=SLIDE)
+
+
+def entropy_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = controlflow.feature_series(*_days_grid(spark, sf_dir), "Relational Entropy", pane=PANE)
+    return found.select("x_end", _r("statistic"), _r("value"))
 
 
 def relation_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _user_days(spark, sf_dir)
-    n = events.select("trace_idx").distinct().count()
-    return controlflow.feature_series(events, grid.fixed_grid(spark, n, SIZE, slide=SIZE // 2), "Relation Type Counts").select("x_end", _r("value"))
+    return controlflow.feature_series(*_days_grid(spark, sf_dir), "Relation Type Counts", pane=PANE).select("x_end", _r("value"))
+
+
+def relation_counts_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means over activities of the six relation counts of each window, in both windows of each pair."""
+    samples, columns = controlflow.feature_samples(*_days_grid(spark, sf_dir), "Relation Type Counts", pane=PANE)
+    means = [F.round(F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))), 6).alias(c) for c in columns]
+    return samples.groupBy("x_end", "side").agg(F.count(F.lit(1)).alias("activities"), *means)
 
 
 def streaming_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,6 +548,31 @@ kd AS (SELECT k, x_end, CAST(round(max(abs(c1 - c2))) AS BIGINT) AS j FROM (SELE
 series AS (SELECT detector, k, x_end, value FROM categorical UNION ALL SELECT 'trace: price', k, x_end, CASE WHEN j = 0 THEN 1.0 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, {SIZE} // greatest(j, 1) + 1),
   lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(2 * lgamma({SIZE} + 1) - lgamma({SIZE} - i * j + 1) - lgamma({SIZE} + i * j + 1)))))) END FROM kd)"""
 
+#: Relations of each window: cells of the traces, added up over all traces of a window.
+_WINDOWS = f"""{_DAYS}, n AS (SELECT count(*) AS n FROM c), {_GRID}, wins AS (SELECT a0 AS w FROM grid UNION SELECT b0 FROM grid),
+tl AS (SELECT *, max(event_idx) OVER (PARTITION BY trace_idx) AS last FROM ev),
+ta AS (SELECT trace_idx, activity, count(*) AS occurs, count(*) FILTER (event_idx < last) AS early, count(*) FILTER (last > 0) AS every FROM tl GROUP BY ALL),
+tc AS (SELECT x.trace_idx, x.activity AS a, y.activity AS b, count(*) AS n FROM ev x JOIN ev y ON x.trace_idx = y.trace_idx AND x.event_idx < y.event_idx GROUP BY ALL),
+wa AS (SELECT w, activity, sum(occurs) AS o, sum(early) AS early, sum(every) AS every FROM ta JOIN wins ON trace_idx BETWEEN w AND w + {SIZE - 1} GROUP BY ALL),
+wc AS (SELECT w, a, b, sum(n) AS n FROM tc JOIN wins ON trace_idx BETWEEN w AND w + {SIZE - 1} GROUP BY ALL),
+wcells AS (SELECT e.w, e.activity AS a, v.activity AS b, coalesce(n, 0) AS n FROM wa e JOIN wa v ON e.w = v.w AND e.early > 0 AND v.every > 0 LEFT JOIN wc ON wc.w = e.w AND wc.a = e.activity AND wc.b = v.activity),
+followed AS (SELECT x.w, a AS a1, b AS a2, CASE WHEN n = o THEN 'a' WHEN n > 0 THEN 's' ELSE 'n' END AS relation FROM wcells x JOIN wa ON wa.w = x.w AND activity = b),
+preceded AS (SELECT x.w, b AS a1, a AS a2, CASE WHEN n = o THEN 'a' WHEN n > 0 THEN 's' ELSE 'n' END AS relation FROM wcells x JOIN wa ON wa.w = x.w AND activity = a)"""
+_KINDS = "SELECT w, a1, count(*) FILTER (relation = 'a') AS {0}a, count(*) FILTER (relation = 's') AS {0}s, count(*) FILTER (relation = 'n') AS {0}n FROM {1} GROUP BY w, a1"
+_BOTH = f"sided AS (SELECT * FROM ({_KINDS.format('f', 'followed')}) FULL JOIN ({_KINDS.format('p', 'preceded')}) USING (w, a1))"
+
+
+def _f_tail(f: str, d1: str, d2: str) -> str:
+    """The tail of the F distribution: the incomplete beta function as a series, from whichever end is nearer."""
+
+    def beta(z: str, a: str, b: str) -> str:
+        first = f"{a} * ln({z}) + {b} * ln(1 - ({z})) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})"
+        return f"exp({first}) * list_sum(list_transform(range(0, 160), lambda i: exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({z}))))"
+
+    z, a, b = f"({d2} / ({d2} + {d1} * {f}))", f"({d2} / 2)", f"({d1} / 2)"
+    return f"CASE WHEN {f} IS NULL THEN NULL WHEN {f} <= 0 THEN 1.0 WHEN {z} <= 0.5 THEN {beta(z, a, b)} ELSE 1 - {beta(f'(1 - {z})', b, a)} END"
+
+
 ORACLE_SQL = {
     "change_series_gtest": f"WITH {_T}, {_GRID}, {_PRIORITY}, {_COUNTS}, {_MOVED}, {_scored(_G)} SELECT x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series",
     "change_series_chi2": f"WITH {_T}, {_GRID}, {_PRIORITY}, {_COUNTS}, {_MOVED}, {_scored(_CHI)} SELECT x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series",
@@ -643,17 +675,19 @@ texts AS (SELECT w, trace_idx, string_agg(x || '>' || y, ';' ORDER BY x, y) AS r
 rw AS (SELECT w, coalesce(run, '') AS value, count(*) AS n FROM (SELECT DISTINCT w, trace_idx FROM ew) LEFT JOIN texts USING (w, trace_idx) GROUP BY ALL),
 h AS (SELECT 'Runs' AS detector, k, x_end, value, sum(CASE WHEN w = a0 THEN rw.n ELSE 0 END) AS o1, sum(CASE WHEN w = b0 THEN rw.n ELSE 0 END) AS o2 FROM rw JOIN grid ON w = a0 OR w = b0 GROUP BY ALL),
 {_EXPECTED}, {_MOVED}, {_scored(_G, 0)} SELECT x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series""",
-    "entropy_change_series": f"""WITH {_DAYS}, n AS (SELECT count(*) AS n FROM c), {_GRID.replace(f'k * {SLIDE}', f'k * {SIZE // 2}').replace(f'// {SLIDE}', f'// {SIZE // 2}')}, wins AS (SELECT a0 AS w FROM grid UNION SELECT b0 FROM grid),
-ew AS (SELECT w, trace_idx, event_idx, activity, max(event_idx) OVER (PARTITION BY w, trace_idx) AS last FROM ev JOIN wins ON trace_idx BETWEEN w AND w + {SIZE - 1}),
-early AS (SELECT DISTINCT w, activity AS a FROM ew WHERE event_idx < last), every AS (SELECT DISTINCT w, activity AS b FROM ew WHERE last > 0),
-pairs AS (SELECT x.w, x.activity AS a, y.activity AS b, count(*) AS n FROM ew x JOIN ew y ON x.w = y.w AND x.trace_idx = y.trace_idx AND x.event_idx < y.event_idx GROUP BY ALL),
-occurs AS (SELECT w, activity AS b, count(*) AS o FROM ew GROUP BY ALL),
-rel AS (SELECT w, a, CASE WHEN coalesce(n, 0) = o THEN 'a' WHEN coalesce(n, 0) > 0 THEN 's' ELSE 'n' END AS relation FROM early JOIN every USING (w) LEFT JOIN pairs USING (w, a, b) JOIN occurs USING (w, b)),
-typed AS (SELECT w, a, count(*) FILTER (relation = 'a') AS na, count(*) FILTER (relation = 's') AS ns, count(*) FILTER (relation = 'n') AS nn, count(*) OVER (PARTITION BY w) AS c FROM rel GROUP BY w, a),
+    "entropy_change_series": f"""WITH {_WINDOWS},
+typed AS (SELECT w, a1, count(*) FILTER (relation = 'a') AS na, count(*) FILTER (relation = 's') AS ns, count(*) FILTER (relation = 'n') AS nn, count(*) OVER (PARTITION BY w) AS c FROM followed GROUP BY w, a1),
 ent AS (SELECT w, list_sum(list_transform([na, ns, nn], lambda x: CASE WHEN x > 0 THEN -(x / c) * log2(x / c) ELSE 0 END)) AS h FROM typed),
 stat AS (SELECT w, count(*) AS n, avg(h) AS m, var_samp(h) AS s FROM ent GROUP BY w),
-two AS (SELECT x_end, p.n AS n1, q.n AS n2, p.m - q.m AS d, ((p.n - 1) * p.s + (q.n - 1) * q.s) / (p.n + q.n - 2) AS s FROM grid JOIN stat p ON p.w = a0 JOIN stat q ON q.w = b0)
-SELECT x_end, CASE WHEN s = 0 THEN 0.0 ELSE round(n1 * n2 / (n1 + n2) * d * d / s, 6) END AS statistic FROM two""",
+two AS (SELECT x_end, p.n AS n1, q.n AS n2, p.m - q.m AS d, ((p.n - 1) * p.s + (q.n - 1) * q.s) / (p.n + q.n - 2) AS s FROM grid JOIN stat p ON p.w = a0 JOIN stat q ON q.w = b0),
+f AS (SELECT x_end, CASE WHEN s = 0 THEN 0.0 ELSE n1 * n2 / (n1 + n2) * d * d / s END AS f, CAST(n1 + n2 - 2 AS DOUBLE) AS m FROM two)
+SELECT x_end, round(f, 6) AS statistic, round({_f_tail('f', '1.0', 'm')}, 6) AS value FROM f""",
+    "relation_change_series": f"""WITH {_WINDOWS}, {_BOTH},
+stat AS (SELECT w, count(*) AS n, bool_or(fa IS NULL OR pa IS NULL) AS lacking FROM sided GROUP BY w)
+SELECT x_end, CASE WHEN p.lacking OR q.lacking OR least(p.n, q.n) < 2 OR p.n + q.n - 7 <= 0 THEN NULL ELSE 1.0::DOUBLE END AS value FROM grid JOIN stat p ON p.w = a0 JOIN stat q ON q.w = b0""",
+    "relation_counts_by_window": f"""WITH {_WINDOWS}, {_BOTH}, ends AS (SELECT x_end, 1 AS side, a0 AS w FROM grid UNION ALL SELECT x_end, 2, b0 FROM grid)
+SELECT x_end, side, count(*) AS activities, {', '.join(f'round(avg({c}), 6) AS {name}' for c, name in (('fa', 'followed_by_always'), ('fs', 'followed_by_sometimes'), ('fn', 'followed_by_never'), ('pa', 'preceded_by_always'), ('ps', 'preceded_by_sometimes'), ('pn', 'preceded_by_never')))}
+FROM sided JOIN ends USING (w) GROUP BY x_end, side""",
     "config_grid": """SELECT * FROM (SELECT unnest(['fixed', 'adaptive']) AS window_generator_type), (SELECT unnest([100, 150, 200]) AS window_size), (SELECT 0.05::DOUBLE AS threshold), (SELECT 300 AS max_distance),
 (SELECT unnest([10, 20]) AS slide_by), (SELECT unnest([0.1, 0.2, 0.3]::DOUBLE[]) AS proportional_phi), (SELECT 0.1::DOUBLE AS proportional_rho)""",
     "true_change_points": f"WITH n AS (SELECT count(*) AS n FROM orders), {_TENTHS} SELECT * FROM tenths",
@@ -671,7 +705,7 @@ _QUERIES = (
     change_series_gtest, change_series_chi2, change_series_hellinger, change_series_ks, phi_change_points, region_change_series, explanations_table, explanations_unrestricted,
     explanations_all_points, explainer_mixed, explainer_mixed_plot,
     evaluate_explanations, evaluate_single, aggregate_results, activity_counts, causality_followed_by, causality_preceded_by, sna_relations, relation_type_counts,
-    bidirectional_relation_counts, relational_entropy, directly_follows, concurrency, runs_by_trace, runs_change_series, entropy_change_series, relation_change_series,
+    bidirectional_relation_counts, relational_entropy, directly_follows, concurrency, runs_by_trace, runs_change_series, entropy_change_series, relation_change_series, relation_counts_by_window,
     activity_sequences, value_distribution, rolling_mean_filled, open_order_ratio, value_counts, value_counts_before_after, describe_before_after, correlation_pairs,
     correlated_columns, top_pvalues, log_stats, attribute_catalog, attribute_whitelist, attribute_presence, config_grid, true_change_points, results_summary,
     results_summary_fixed, adaptive_change_series, adaptive_region_series, hotelling_series, synthetic_drift_recovery, synthetic_truth, time_window_traces,
