@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftscope.operators.adaptive import adaptive_counts
@@ -14,6 +14,7 @@ from shiftscope.operators.compare import g_test
 from shiftscope.operators.detect import explanations, phi_rho, streaks
 from shiftscope.operators.grid import region_grid
 from shiftscope.operators.histogram import paired_counts
+from shiftscope.session import written
 
 PARAMETERS = ("window_generator_type", "window_size", "threshold", "max_distance", "slide_by", "proportional_phi", "proportional_rho")
 #: Numbers of pairs of a window plan stay below this, so that plans can share one histogram.
@@ -66,27 +67,48 @@ def explain_config(values: DataFrame, n_traces: int, primary: DataFrame, config:
     return explain_configs(values, n_traces, primary, [config])[0]
 
 
-def run_experiments(values: DataFrame, n_traces: int, primary: DataFrame, true: DataFrame, configs: list[dict], experiment: str) -> DataFrame:
-    """One result row for each configuration: its parameters, the evaluation, and the experiment's name."""
-    spark = values.sparkSession
+def _named(spark: SparkSession, configs: Sequence[dict]) -> DataFrame:
+    """A row for each configuration: its place in the list, its parameters, and the streak filter that they give."""
     rates = [phi_rho(c["window_size"], c["slide_by"], c["proportional_phi"], c["proportional_rho"]) for c in configs]
     rows = [(j, *[c[p] for p in PARAMETERS], max(1, phi), rho) for j, (c, (phi, rho)) in enumerate(zip(configs, rates, strict=True))]
-    named = spark.createDataFrame(rows, "config int, window_generator_type string, window_size int, threshold double, max_distance int, slide_by int, proportional_phi double, proportional_rho double, phi int, rho int")
-    series = config_series(values, n_traces, primary, configs).join(F.broadcast(named.select("config", "threshold", "phi", "rho")), "config")
-    points = streaks(series, F.col("threshold"), F.col("phi"), F.col("rho"), ("config", "detector"))
-    # distances and tolerances differ by configuration; both joins run on the few points that were found
-    p = primary.select(F.col("change_point").alias("p")).distinct()
-    met = points.join(F.broadcast(named.select("config", "max_distance", "window_size")), "config").join(p, F.abs(F.col("change_point") - F.col("p")) <= F.col("max_distance"))
-    found = met.groupBy("config").agg(F.count(F.lit(1)).alias("detections"))
-    t = true.select(F.monotonically_increasing_id().alias("id"), F.col("change_point").alias("t"), F.col("detector").alias("of"))
-    near = met.join(t, (F.col("detector") == F.col("of")) & (F.abs(F.col("change_point") - F.col("t")) <= F.col("window_size")))
-    first = near.groupBy("config", "id", "t").agg((F.min("change_point") - F.col("t")).alias("lag"))
-    hit = first.groupBy("config").agg(F.count(F.lit(1)).alias("correct"), F.avg("lag").alias("mean_lag"), F.sort_array(F.collect_list(F.struct("t", "lag"))).alias("lags"))
-    every = named.crossJoin(F.broadcast(true.agg(F.count(F.lit(1)).alias("trues")))).join(found, "config", "left").join(hit, "config", "left").na.fill(0, ["detections", "correct"])
+    return spark.createDataFrame(rows, "config int, window_generator_type string, window_size int, threshold double, max_distance int, slide_by int, proportional_phi double, proportional_rho double, phi int, rho int")
+
+
+def _binned(points: DataFrame, width: Column, place: str, look: bool) -> DataFrame:
+    """points with __bin, as wide as the reach of their configuration: their own one, or the three that they look into."""
+    own = F.floor(F.col(place) / F.greatest(width, F.lit(1)))
+    return points.withColumn("__bin", F.explode(F.array(own - 1, own, own + 1)) if look else own)
+
+
+def evaluated(series: DataFrame, primary: DataFrame, true: DataFrame, configs: Sequence[dict], experiment: str) -> DataFrame:
+    """One result row for each log and configuration, from (log_id, config, detector, pos, x_end, value).
+
+    primary is (log_id, change_point), true (log_id, change_point, detector). Explanations are those within the configuration's distance of
+    a primary change point, hits those within its window of a true one; both meet on bins of that width.
+    """
+    named = F.broadcast(_named(series.sparkSession, configs))
+    key = ["log_id", "config"]
+    filtered = series.join(named.select("config", "threshold", "phi", "rho"), "config")
+    # the few points that are found are read more than once
+    points = written(streaks(filtered, F.col("threshold"), F.col("phi"), F.col("rho"), (*key, "detector")), "experiment-points")
+    points = points.join(named.select("config", "max_distance", "window_size"), "config")
+    reach, window = F.col("max_distance"), F.col("window_size")
+    p = primary.select("log_id", F.col("change_point").alias("p")).distinct().join(named.select("config", "max_distance"))
+    looking = _binned(p, reach, "p", True).drop("max_distance")
+    met = _binned(points, reach, "change_point", False).join(looking, [*key, "__bin"]).filter(F.abs(F.col("change_point") - F.col("p")) <= reach).drop("__bin")
+    found = met.groupBy(*key).agg(F.count(F.lit(1)).alias("detections"))
+    t = true.select("log_id", F.monotonically_increasing_id().alias("id"), F.col("change_point").alias("t"), "detector").join(named.select("config", "window_size"))
+    wanted = _binned(t, window, "t", True).drop("window_size")
+    near = _binned(met, window, "change_point", False).join(wanted, [*key, "detector", "__bin"]).filter(F.abs(F.col("change_point") - F.col("t")) <= window)
+    first = near.groupBy(*key, "id", "t").agg((F.min("change_point") - F.col("t")).alias("lag"))
+    hit = first.groupBy(*key).agg(F.count(F.lit(1)).alias("correct"), F.avg("lag").alias("mean_lag"), F.sort_array(F.collect_list(F.struct("t", "lag"))).alias("lags"))
+    logs = true.groupBy("log_id").agg(F.count(F.lit(1)).alias("trues"))
+    every = logs.join(named).join(found, key, "left").join(hit, key, "left").na.fill(0, ["detections", "correct"])
     rated = every.withColumns({"precision": F.try_divide("correct", "detections"), "recall": F.try_divide("correct", "trues")})
     f1 = F.when((F.col("precision") > 0) & (F.col("recall") > 0), 2 / (1 / F.col("precision") + 1 / F.col("recall")))
     lags = F.coalesce(F.col("lags.lag"), F.array().cast("array<bigint>"))
     return rated.select(
+        "log_id",
         F.col("correct").alias("number_of_correct_detections"),
         F.col("trues").alias("number_of_true_changes"),
         F.col("detections").alias("number_of_detections"),
@@ -100,24 +122,113 @@ def run_experiments(values: DataFrame, n_traces: int, primary: DataFrame, true:
     )
 
 
+def run_experiments(values: DataFrame, n_traces: int, primary: DataFrame, true: DataFrame, configs: list[dict], experiment: str) -> DataFrame:
+    """One result row for each configuration on one log: its parameters, the evaluation, and the experiment's name."""
+    log = F.lit("").alias("log_id")
+    series = config_series(values, n_traces, primary, configs).select(log, "*")
+    return evaluated(series, primary.select(log, "change_point"), true.select(log, "change_point", "detector"), configs, experiment).drop("log_id")
+
+
+def log_spans(traces: DataFrame) -> DataFrame:
+    """(log_id, log_no, base, n) of traces (log_id, trace_idx) whose positions run on from log to log, written: a row a log."""
+    spans = traces.groupBy("log_id").agg(F.min("trace_idx").alias("base"), F.count_distinct("trace_idx").alias("n"))
+    return written(spans.withColumn("log_no", F.row_number().over(Window.orderBy("base")) - 1), "log-spans")
+
+
+def log_tenths(spans: DataFrame) -> DataFrame:
+    """(log_id, i, change_point): the nine tenths of each log, counted within the log."""
+    tenth = F.explode(F.sequence(F.lit(1), F.lit(9)))
+    return spans.select("log_id", "n", tenth.alias("i")).select("log_id", "i", F.floor(F.col("i") * F.col("n") / 10).cast("long").alias("change_point"))
+
+
+def log_region_grid(points: DataFrame, spans: DataFrame, plans: DataFrame) -> DataFrame:
+    """Region grids of all logs and plans as one grid over the positions of all logs.
+
+    points is (log_id, change_point), counted within the log, plans (plan, size, slide, distance). Regions and pairs are those
+    of region_grid(), for each log and plan; k holds the log, the plan and the place among its pairs.
+    """
+    own = ["log_no", "plan"]
+    # a row for each log and plan
+    scopes = spans.join(F.broadcast(plans))
+    n_plans = plans.count()
+    regions = points.select("log_id", "change_point").join(scopes, "log_id")
+    order = Window.partitionBy(*own).orderBy("change_point")
+    placed = regions.withColumns(
+        {
+            "region": F.row_number().over(order) - 1,
+            "s0": F.greatest(F.lit(0), F.col("change_point") - F.col("distance")),
+            "e": F.least(F.col("n"), F.col("change_point") + F.col("distance")),
+        }
+    )
+    size = F.col("size")
+    start = F.greatest("s0", F.coalesce(F.lag("e").over(Window.partitionBy(*own).orderBy("region")), F.col("s0")))
+    bounded = placed.withColumn("s", start).withColumns({"low": (F.greatest(F.lit(0), F.col("s") - 2 * size + 1) + 2 * size - 1).cast("long"), "high": F.least("e", F.col("n") - 1).cast("long")}).filter("low <= high")
+    ends = bounded.select(*own, "base", "size", "region", F.explode(F.sequence("low", "high", F.col("slide").cast("long"))).alias("end"))
+    kept = ends.groupBy(*own, "base", "size", "end").agg(F.min("region").alias("region"))
+    pos = F.row_number().over(Window.partitionBy(*own).orderBy("region", "end")) - 1
+    b = F.col("base") + F.col("end")
+    k = (F.col("log_no") * n_plans + F.col("plan")).cast("long") * F.lit(_PLAN) + pos
+    return kept.select("region", k.alias("k"), (b - 2 * size + 1).alias("a_start"), (b - size).alias("a_end"), (b - size + 1).alias("b_start"), b.alias("b_end"))
+
+
+def log_series(values: DataFrame, spans: DataFrame, primary: DataFrame, configs: Sequence[dict]) -> DataFrame:
+    """(log_id, config, detector, pos, x_end, value) of fixed windows: all logs and configurations in one plan.
+
+    values is (detector, trace_idx, value) with positions that run on from log to log (log_spans()); windows stay within a log.
+    """
+    spark = values.sparkSession
+    plan = lambda c: (c["window_size"], c["slide_by"], c["max_distance"])
+    if any(c["window_generator_type"] != "fixed" for c in configs):
+        raise ValueError("adaptive windows walk a log at a time")
+    known = list(dict.fromkeys(map(plan, configs)))
+    plans = spark.createDataFrame([(i, *p) for i, p in enumerate(known)], "plan int, size int, slide int, distance int")
+    grid = written(log_region_grid(primary, spans, plans), "log-grid")
+    series = g_test(paired_counts(values, grid))
+    which = spark.createDataFrame([(j, known.index(plan(c))) for j, c in enumerate(configs)], "config int, plan int")
+    scope = F.shiftright("k", _PLAN.bit_length() - 1)
+    placed = series.select("detector", F.floor(scope / len(known)).cast("int").alias("log_no"), (scope % len(known)).cast("int").alias("plan"), F.col("k").bitwiseAND(F.lit(_PLAN - 1)).alias("pos"), "x_end", "value")
+    local = placed.join(spans.select("log_id", "log_no", "base"), "log_no").join(F.broadcast(which), "plan")
+    return local.select("log_id", "config", "detector", "pos", (F.col("x_end") - F.col("base")).alias("x_end"), "value")
+
+
+def experiments_by_log(values: DataFrame, spans: DataFrame, true: DataFrame, configs: list[dict], experiment: str) -> DataFrame:
+    """One result row for each log and configuration, around the nine tenths of each log: jobs do not grow in number with the logs."""
+    primary = log_tenths(spans)
+    return evaluated(log_series(values, spans, primary, configs), primary, true, configs, experiment)
+
+
 def experiments_over_logs(spark: SparkSession, logs: Mapping[str, tuple[DataFrame, int]], configs: list[dict], experiment: str, results_path: str, true_for, *, fresh: bool = False, limit: int | None = None) -> DataFrame:
-    """Runs all configurations on each log, in the order of the names, and appends the results with the log and its time.
+    """Runs all configurations on each log, and appends the results with the log and its time.
 
     logs maps a name (a file's path) to its values and its number of traces; true_for(n_traces) gives the true
-    (change_point, detector); the primary change points are the nine tenths. limit takes the first logs only, as in a
-    trial; compute_time is the seconds of a log divided by its configurations.
+    (change_point, detector); the primary change points are the nine tenths. limit takes the first logs in the order of the names
+    only, as in a trial; compute_time is the seconds of all divided by the logs and the configurations. Fixed windows of all
+    logs are one plan; only adaptive ones walk log by log.
     """
     from shiftscope.operators.detect import tenths
     from shiftscope.sources.tables import append_results, read_results
 
-    for i, name in enumerate(sorted(logs)[:limit]):
+    names = sorted(logs)[:limit]
+    if not names:
+        return read_results(spark, results_path)
+    begin, base, placed, spans, true = time.perf_counter(), 0, [], [], []
+    for i, name in enumerate(names):
+        values, n = logs[name]
+        placed.append(values.select("detector", (F.col("trace_idx") + base).alias("trace_idx"), "value"))
+        spans.append((name, i, base, n))
+        true.append(true_for(n).select(F.lit(name).alias("log_id"), "change_point", "detector"))
+        base += n
+    fixed, adaptive = ([c for c in configs if (c["window_generator_type"] == "fixed") == kind] for kind in (True, False))
+    found = []
+    if fixed:
+        known = spark.createDataFrame(spans, "log_id string, log_no int, base long, n long")
+        found.append(experiments_by_log(reduce(DataFrame.unionByName, placed), known, reduce(DataFrame.unionByName, true), fixed, experiment))
+    for name in names if adaptive else ():
         values, n = logs[name]
-        begin = time.perf_counter()
-        rows = run_experiments(values, n, tenths(spark, n), true_for(n), configs, experiment).persist()
-        rows.count()
-        seconds = (time.perf_counter() - begin) / max(1, len(configs))
-        append_results(rows.withColumns({"config_event_log_file_path": F.lit(name), "compute_time": F.lit(seconds)}), results_path, fresh=fresh and i == 0)
-        rows.unpersist()
+        found.append(run_experiments(values, n, tenths(spark, n), true_for(n), adaptive, experiment).select(F.lit(name).alias("log_id"), "*"))
+    rows = written(reduce(DataFrame.unionByName, found), "experiment-results")
+    seconds = (time.perf_counter() - begin) / max(1, len(configs) * len(names))
+    append_results(rows.withColumnRenamed("log_id", "config_event_log_file_path").withColumn("compute_time", F.lit(seconds)), results_path, fresh=fresh)
     return read_results(spark, results_path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftscope.operators import adaptive, compare, controlflow, detect, evaluate, experiments, explainer, explore, grid, histogram, synth, timewindows
-from shiftscope.schema import Attribute
+from shiftscope.schema import Attribute, dense_index
 from shiftscope.session import shared_dir, written
 from shiftscope.sources import tables
 from shiftscope.streaming import monitor
@@ -309,6 +309,26 @@ def results_summary_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, sf_dir, [c for c in CONFIGS if c["window_generator_type"] == "fixed"], ["config_window_size", "config_slide_by", "config_proportional_phi"])
 
 
+def results_by_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fixed configurations on two logs, the orders of even and of odd keys, as one plan."""
+    key = F.col("o_orderkey")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.when(key % 2 == 0, "even").otherwise("odd").alias("log_id"))
+    placed = dense_index(orders, [F.col("log_id"), F.col("o_orderdate"), key])
+    spans = experiments.log_spans(placed)
+    local = placed.join(F.broadcast(spans.select("log_id", "base", "n")), "log_id")
+    at, n = F.col("trace_idx") - F.col("base"), F.col("n")
+    base = F.concat(F.lit("value_"), (key % 3 + 1).cast("string"))
+    drift = lambda tenth, prime: F.when((at >= F.floor(n * tenth / 10)) & (key * prime % 10 < 6), "value_3").otherwise(base)
+    traces = local.select("trace_idx", drift(5, 7919).alias("first"), drift(7, 104729).alias("second"), F.when(key % 17 == 0, None).otherwise(base).alias("third"))
+    names = {5: "trace: first", 7: "trace: second", 9: "trace: third"}
+    true = experiments.log_tenths(spans).filter(F.col("i").isin(*names)).select("log_id", "change_point", F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("i")).alias("detector"))
+    configs = [c for c in CONFIGS if c["window_generator_type"] == "fixed"]
+    rows = experiments.experiments_by_log(tables.long_values(traces, ["first", "second", "third"]), spans, true, configs, "initial")
+    lags = F.array_join(F.col("all_lags").cast("array<string>"), ",").alias("all_lags")
+    counts = ["number_of_correct_detections", "number_of_true_changes", "number_of_detections"]
+    return rows.select("log_id", "config_window_size", "config_slide_by", "config_proportional_phi", *counts, _r("precision"), _r("recall"), _r("f1_score"), _r("mean_lag"), lags)
+
+
 def adaptive_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = adaptive.adaptive_counts(_drifted_values(spark, sf_dir), SIZE, SLIDE)
     return compare.g_test(counts).select("detector", "k", "x_end", _r("value"))
@@ -655,6 +675,34 @@ r AS (SELECT ws, sl, p, (SELECT count(*) FROM hit WHERE (hit.ws, hit.sl, hit.p)
 x AS (SELECT ws, sl, p, CAST(correct AS BIGINT) AS number_of_correct_detections, CAST(trues AS BIGINT) AS number_of_true_changes, CAST(detections AS BIGINT) AS number_of_detections, {_RATIOS}, round(mean_lag, 6) AS mean_lag FROM r)
 SELECT ws AS config_window_size, sl AS config_slide_by, p AS config_proportional_phi, number_of_correct_detections, number_of_true_changes, number_of_detections,
   precision AS avg_precision, recall AS avg_recall, f1_score AS avg_f1_score, mean_lag AS avg_mean_lag, precision AS total_precision, recall AS total_recall, f1_score AS total_f1 FROM x""",
+    "results_by_log": f"""WITH t AS (SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS trace_idx, o_orderkey, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS g, * FROM orders)),
+logs AS (SELECT DISTINCT g, n FROM t), tenths AS (SELECT g, n, i, i * n // 10 AS change_point FROM logs, range(1, 10) r(i)),
+truth AS (SELECT g, i AS id, change_point AS t, CASE i WHEN 5 THEN 'trace: first' WHEN 7 THEN 'trace: second' ELSE 'trace: third' END AS detector FROM tenths WHERE i IN (5, 7, 9)),
+cps AS (SELECT g, n, i AS o, greatest(0, change_point - {DISTANCE}) AS s0, least(n, change_point + {DISTANCE}) AS e FROM tenths),
+cut AS (SELECT *, greatest(s0, coalesce(lag(e) OVER (PARTITION BY g ORDER BY o), s0)) AS s FROM cps),
+combos AS (SELECT * FROM (SELECT unnest([100, 150, 200]) AS ws), (SELECT unnest([10, 20]) AS sl)),
+spans AS (SELECT g, ws, sl, o, greatest(0, s - 2 * ws + 1) + 2 * ws - 1 AS lo, least(e, n - 1) AS hi FROM cut, combos),
+ends AS (SELECT g, ws, sl, min(o) AS o, x_end FROM (SELECT g, ws, sl, o, unnest(range(lo, hi + 1, sl)) AS x_end FROM spans WHERE lo <= hi) GROUP BY g, ws, sl, x_end),
+grid AS (SELECT g, ((CASE g WHEN 'odd' THEN 1000000 ELSE 0 END + CAST(ws AS BIGINT) * 100 + sl) * 1000000) + row_number() OVER (PARTITION BY g, ws, sl ORDER BY o, x_end) - 1 AS k, x_end, x_end - ws + 1 AS b0, x_end - 2 * ws + 1 AS a0 FROM ends),
+v AS (SELECT g, trace_idx, unnest(['trace: first', 'trace: second', 'trace: third']) AS detector, unnest([
+  CASE WHEN trace_idx >= n * 5 // 10 AND o_orderkey * 7919 % 10 < 6 THEN 'value_3' ELSE 'value_' || (1 + o_orderkey % 3) END,
+  CASE WHEN trace_idx >= n * 7 // 10 AND o_orderkey * 104729 % 10 < 6 THEN 'value_3' ELSE 'value_' || (1 + o_orderkey % 3) END,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'value_' || (1 + o_orderkey % 3) END]) AS value FROM t),
+h AS (SELECT detector, k, x_end, value, count(*) FILTER (trace_idx < b0) AS o1, count(*) FILTER (trace_idx >= b0) AS o2 FROM v JOIN grid ON v.g = grid.g AND trace_idx BETWEEN a0 AND x_end GROUP BY ALL),
+{_EXPECTED}, {_MOVED}, {_scored(_G)},
+configs AS (SELECT g, ws, sl, p, ceil(p * ws / sl) AS phi, ceil(0.1::DOUBLE * ws / sl) AS rho FROM logs, combos, (SELECT unnest([0.1, 0.2, 0.3]::DOUBLE[]) AS p)),
+below AS (SELECT g, ws, sl, p, phi, rho, detector, k, x_end, k - lag(k) OVER (PARTITION BY g, ws, sl, p, detector ORDER BY k) - 1 AS gap FROM series
+  JOIN configs ON k // 1000000 = CASE g WHEN 'odd' THEN 1000000 ELSE 0 END + ws * 100 + sl WHERE value <= 0.05),
+islands AS (SELECT *, sum(CASE WHEN gap <= rho THEN 0 ELSE 1 END) OVER (PARTITION BY g, ws, sl, p, detector ORDER BY k) AS island FROM below),
+points AS (SELECT g, ws, sl, p, detector, arg_min(x_end, k) AS change_point FROM islands GROUP BY g, ws, sl, p, phi, detector, island HAVING count(*) >= phi),
+met AS (SELECT points.* FROM points JOIN tenths ON points.g = tenths.g AND abs(points.change_point - tenths.change_point) <= {DISTANCE}),
+found AS (SELECT g, ws, sl, p, count(*) AS detections FROM met GROUP BY ALL),
+hit AS (SELECT met.g, ws, sl, p, t, min(change_point) - t AS lag FROM met JOIN truth ON met.g = truth.g AND met.detector = truth.detector AND abs(change_point - t) <= ws GROUP BY met.g, ws, sl, p, t),
+hits AS (SELECT g, ws, sl, p, count(*) AS correct, avg(lag) AS mean_lag, string_agg(CAST(lag AS VARCHAR), ',' ORDER BY t) AS all_lags FROM hit GROUP BY ALL),
+r AS (SELECT g, ws, sl, p, coalesce(correct, 0) AS correct, 3 AS trues, coalesce(detections, 0) AS detections, mean_lag, coalesce(all_lags, '') AS all_lags FROM configs LEFT JOIN found USING (g, ws, sl, p) LEFT JOIN hits USING (g, ws, sl, p))
+SELECT g AS log_id, ws AS config_window_size, sl AS config_slide_by, p AS config_proportional_phi, CAST(correct AS BIGINT) AS number_of_correct_detections, CAST(trues AS BIGINT) AS number_of_true_changes,
+  CAST(detections AS BIGINT) AS number_of_detections, {_RATIOS}, round(mean_lag, 6) AS mean_lag, all_lags FROM r""",
     "explainer_mixed": f"WITH {_MIXED}, {_POINTS}, {_EXPLAINED} SELECT * FROM explained",
     "explainer_mixed_plot": f"""WITH {_MIXED}, {_POINTS} SELECT detector, x_end, round(value, 6) AS value, x_end IN (SELECT change_point FROM points WHERE detector = 'trace: price') AS is_cp, x_end IN (SELECT change_point FROM tenths) AS is_primary
 FROM series, n WHERE detector = 'trace: price' AND x_end BETWEEN n // 2 AND n * 9 // 10""",
@@ -708,7 +756,7 @@ _QUERIES = (
     bidirectional_relation_counts, relational_entropy, directly_follows, concurrency, runs_by_trace, runs_change_series, entropy_change_series, relation_change_series, relation_counts_by_window,
     activity_sequences, value_distribution, rolling_mean_filled, open_order_ratio, value_counts, value_counts_before_after, describe_before_after, correlation_pairs,
     correlated_columns, top_pvalues, log_stats, attribute_catalog, attribute_whitelist, attribute_presence, config_grid, true_change_points, results_summary,
-    results_summary_fixed, adaptive_change_series, adaptive_region_series, hotelling_series, synthetic_drift_recovery, synthetic_truth, time_window_traces,
+    results_summary_fixed, results_by_log, adaptive_change_series, adaptive_region_series, hotelling_series, synthetic_drift_recovery, synthetic_truth, time_window_traces,
     around_change_point, point_timestamps, parts_of_log, example_traces, example_events, ranked_values, streaming_change_series,
 )
 

@@ -1,6 +1,7 @@
 """Sending this package to the executors, and tables in the folder that they share."""
 
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -59,8 +60,27 @@ def mark(spark: SparkSession) -> int:
     return len(_paths(spark))
 
 
+#: Seconds that release() waits for jobs that still run.
+PATIENCE = 30.0
+
+
+def _wait_for_jobs(spark: SparkSession) -> None:
+    """Waits until no job runs, PATIENCE seconds at most.
+
+    A query can end before all of its jobs do: where an adaptive plan learns that one side of a join is empty, the stages
+    of the other side go on reading their tables for a while.
+    """
+    tracker, end = spark.sparkContext.statusTracker(), time.monotonic() + PATIENCE
+    while tracker.getActiveJobsIds() and time.monotonic() < end:
+        time.sleep(0.05)
+
+
 def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Deletes the tables that were written after a mark, but those in keep. Frames that still read them must not be used."""
+    """Deletes the tables that were written after a mark, but those in keep. Frames that still read them must not be used.
+
+    Jobs that run are waited for, as a query's own stages may outlive it.
+    """
+    _wait_for_jobs(spark)
     paths, spared = _paths(spark), {getattr(k, "_shiftscope_path", None) for k in keep}
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in [p for p in paths[since:] if p not in spared]:
