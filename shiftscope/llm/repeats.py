@@ -3,10 +3,10 @@
 1. Texts that are equal are one text with a number of copies. Every window is named after the least of the hashes of its
    29 runs of seven words, its anchor. Neighbouring windows mostly share an anchor, so a text falls into segments: the
    windows of one anchor, two in thirty places. Equal windows have equal anchors, wherever they stand.
-2. Segments are counted by (anchor, words) with a map-side sum. An anchor that occurs once has no recurring window and
-   goes no further. For all others one text that has the segment, its home, hands out the segment's words, and hashes of its
-   windows are counted: all passages that recur are confirmed before any automaton is made.
-   A count that is 1 carries its only place along, so what is unique returns to its segment without a join of hot keys.
+2. Anchors are counted; one that occurs once has no recurring window and goes no further. Segments of all others are
+   counted by (anchor, words). One text that has a segment, its home, hands out its words, and where an anchor has a
+   segment that occurs once, hashes of windows are counted: all passages that recur are confirmed before any automaton
+   is made. A count that is 1 carries its only place along, so what is unique returns to its segment without a join of hot keys.
 3. The runs of confirmed windows of a segment are its phrases. Texts are dealt into shards of SHARD_BYTES; a shard gets
    the phrases of the anchors that its texts have, compiles them into an Aho-Corasick automaton, and streams its texts
    through it. Phrases are compared word by word there, and every occurrence is found, as a phrase lies within the
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.llm._cluster import aside, ship, written
+from shiftscope.llm._cluster import aside, mark, release, ship, written
 from shiftscope.llm._text import _FACTORS, SPACED, chunks, mix, span_hashes, word_bounds
 
 WINDOW = 35
@@ -116,6 +116,7 @@ def _passages(key: tuple, texts: pa.Table, wanted: pa.Table) -> pa.Table:
     names = ["anchor", "words", "copies", "windows", "passage"]
     by_text: dict[int, list[int]] = {}
     ids, at, n = (wanted.column(c).to_numpy() for c in ("id", "at", "n"))
+    counts = wanted.column("count_windows").is_valid().to_numpy(zero_copy_only=False)
     for i, own in enumerate(ids.tolist()):
         by_text.setdefault(own, []).append(i)
     order, windows, passages = [], [], []
@@ -131,7 +132,7 @@ def _passages(key: tuple, texts: pa.Table, wanted: pa.Table) -> pa.Table:
                     a = int(by_row[r]) + int(at[i])
                     b = a + int(n[i])
                     order.append(i)
-                    windows.append(runs[a:b])
+                    windows.append(runs[a:b] if counts[i] else runs[:0])
                     passages.append(raw[first[a] : end[b + WINDOW - 2]])
     taken = wanted.take(pa.array(order, pa.int64()))
     ends = np.concatenate(([0], np.cumsum([len(w) for w in windows]))).astype(np.int32)
@@ -208,21 +209,26 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(shards))
 
 
-def confirmed(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
-    """(anchor, words, passage, unique): the segments with a window that recurs, and a bit for each window that does not."""
-    each = found.groupBy("anchor", "words").agg(F.sum("copies").alias("copies"), F.min(F.struct("id", "at", "n")).alias("home"))
-    each = written(each, "repeat-segments")
-    once = each.groupBy("anchor").agg(F.sum("copies").alias("all"), F.min("words").alias("words")).filter("all = 1").select("anchor", "words")
-    open_ = each.join(once, ["anchor", "words"], "left_anti").select("anchor", "words", "copies", "home.*")
-    homes = open_.withColumn("shard", _shard(shards))
+def confirmed(texts: DataFrame, likely: DataFrame, shards: int) -> DataFrame:
+    """(anchor, words, passage, unique): the segments with a window that recurs, and a bit for each window that does not.
+
+    All windows of a segment that occurs twice recur. Only where an anchor has a segment that occurs once are windows counted.
+    """
+    spark, start = texts.sparkSession, mark(texts.sparkSession)
+    each = written(likely.groupBy("anchor", "words").agg(F.sum("copies").alias("copies"), F.min(F.struct("id", "at", "n")).alias("home")), "repeat-segments")
+    mixed = each.groupBy("anchor").agg(F.min("copies").alias("least")).filter("least = 1").select("anchor", F.lit(True).alias("count_windows"))
+    homes = each.select("anchor", "words", "copies", "home.*").join(mixed, "anchor", "left").withColumn("shard", _shard(shards))
     made = texts.select("id", "shard", "text").groupBy("shard").cogroup(homes.groupBy("shard")).applyInArrow(_passages, _PASSAGES)
     made = written(made, "repeat-passages")
-    window = F.posexplode("windows").alias("k", "window")
-    counted = made.select("anchor", "words", "copies", window).groupBy("anchor", "window").agg(F.sum("copies").alias("n"), F.min(F.struct("words", "k")).alias("place"))
-    alone = counted.filter("n = 1").groupBy("anchor", "place.words").agg(F.sum(F.expr("shiftleft(1L, place.k)")).alias("unique"))
-    whole = F.expr("shiftleft(1L, size(windows)) - 1")
+    windows = made.select("anchor", "words", "copies", F.posexplode("windows").alias("k", "window"))
+    # of a window that occurs once, words and k are the only ones
+    counted = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n"), F.min("words").alias("words"), F.min("k").alias("k"))
+    alone = counted.filter("n = 1").groupBy("anchor", "words").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("unique"))
     marked = made.join(alone, ["anchor", "words"], "left").withColumn("unique", F.coalesce("unique", F.lit(0).cast("long")))
-    return written(marked.filter(F.col("unique") != whole).select("anchor", "words", "passage", "unique"), "repeat-phrases")
+    recurs = (F.size("windows") == 0) | (F.col("unique") != F.expr("shiftleft(1L, size(windows)) - 1"))
+    phrases = written(marked.filter(recurs).select("anchor", "words", "passage", "unique"), "repeat-phrases")
+    release(spark, start, (phrases,))
+    return phrases
 
 
 def find_repeats(docs: DataFrame, *, text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -233,9 +239,13 @@ def find_repeats(docs: DataFrame, *, text_col: str = "text", with_text: bool = T
     texts = written(one.select("key", "text", "copies", F.octet_length("text").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")), "repeat-texts")
     shards = max(1, math.ceil((texts.agg(F.sum("size")).first()[0] or 0) / SHARD_BYTES))
     texts = texts.withColumn("shard", _shard(shards))
+    start = mark(docs.sparkSession)
     found = written(texts.select("id", "copies", "text").mapInArrow(_segment_rows, "id long, copies long, at int, n int, anchor long, words long"), "repeat-found")
-    phrases = confirmed(texts, found, shards)
-    needed = found.select(_shard(shards).alias("shard"), "anchor", "words").distinct().join(phrases, ["anchor", "words"]).select("shard", "passage", "unique")
+    several = found.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor")
+    likely = written(found.join(several, "anchor"), "repeat-likely")
+    release(docs.sparkSession, start, (likely,))
+    phrases = confirmed(texts, likely, shards)
+    needed = likely.select(_shard(shards).alias("shard"), "anchor", "words").distinct().join(phrases, ["anchor", "words"]).select("shard", "passage", "unique")
     return texts.select("key", "text", "shard").groupBy("shard").cogroup(needed.groupBy("shard")).applyInArrow(_remover(with_text), "key binary, n_words long, n_removed long, kept string")
 
 
