@@ -1,9 +1,10 @@
 """Chat formatting that is proved by a grammar round trip.
 
 A turn is rendered by itself: a user's as `[INST] text [/INST]`, an assistant's as ` text </s>`, any other role's as
-`<<role >> text </s>`. Control strings inside texts and roles get a backslash; a strict deterministic parser, which takes
-no text that holds a control string without one, reads the rendered turn back. If role, text or end differ from the
-source, as where the text holds backslashes of its own, these are escaped as well, and the turn is read again. The
+`<< role >> text </s>`. Inside texts and roles a backslash stands behind the first character of each control string,
+overlapping ones as well, so that no control string occurs there at all; a strict deterministic parser, which ends a text at
+the first control string, reads the rendered turn back. If role, text or end differ from the source, as where the text
+holds backslashes of its own, these are doubled as well, and the turn is read again. The
 template marks assistant texts as the loss mask. Turns need nothing of each other, so a conversation of any length is
 formatted row by row; its output is the segments in order, and no task holds a whole conversation.
 
@@ -25,49 +26,51 @@ from pyspark.sql import functions as F
 
 from shiftscope.llm._cluster import ship
 
-#: Fixed strings of the template. The escape stands before any of them, and before itself, inside texts.
+#: Fixed strings of the template. Inside texts the escape stands behind their first character, and before itself.
 CONTROLS = ("[INST]", "[/INST]", "</s>", "<<", ">>")
 ESCAPE = "\\"
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
-_SPECIAL = re.compile("|".join(map(re.escape, (*CONTROLS, ESCAPE))))
-_ESCAPED = re.compile(re.escape(ESCAPE) + "(" + "|".join(map(re.escape, (*CONTROLS, ESCAPE))) + ")")
-#: An escaped special, or a bare control string.
-_TOKEN = re.compile(_ESCAPED.pattern + "|" + _CONTROL.pattern)
+#: The first character of a control string; the next match may begin within it.
+_BEGINS = re.compile(f"(?={_CONTROL.pattern})(.)", re.DOTALL)
+_ESCAPED = re.compile(re.escape(ESCAPE) + f"({re.escape(ESCAPE)}?)")
 
 
-def _with_escapes(of: re.Pattern, text: str) -> str:
-    return of.sub(lambda m: ESCAPE + m[0], text)
+def _broken(text: str) -> str:
+    return _BEGINS.sub(lambda m: m[1] + ESCAPE, text)
+
+
+def _doubled(text: str) -> str:
+    return _broken(text.replace(ESCAPE, 2 * ESCAPE))
 
 
 def unescape(text: str) -> str:
+    """text without its escapes: two of them are one character of the text, one by itself is none."""
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def _bare(text: str, start: int) -> tuple[str, int]:
-    """The first control string from start on that no escape stands before, and its place; ("", -1) if none."""
-    for m in _TOKEN.finditer(text, start):
-        if m[1] is None:
-            return m[0], m.start()
-    return "", -1
+def _control(text: str, start: int) -> tuple[str, int]:
+    """The first control string from start on, and its place; ("", -1) if none."""
+    m = _CONTROL.search(text, start)
+    return (m[0], m.start()) if m else ("", -1)
 
 
 def parse(output: str, start: int = 0) -> tuple[str, int, int, int] | None:
     """(role, first and end place of the text, end of the turn) of the turn that starts at start; None if none does.
 
-    The text ends at the first bare control string, which must be the one that closes the turn.
+    The text ends at the first control string, which must be the one that closes the turn.
     """
     if output.startswith("[INST] ", start):
         role, first, close = "user", start + 7, "[/INST]"
-    elif output.startswith("<<", start):
-        control, end = _bare(output, start + 2)
-        if control != ">>" or output[end - 1] != " " or not output.startswith(" ", end + 2):
+    elif output.startswith("<< ", start):
+        control, end = _control(output, start + 3)
+        if control != ">>" or end < start + 4 or output[end - 1] != " " or not output.startswith(" ", end + 2):
             return None
-        role, first, close = unescape(output[start + 2 : end - 1]), end + 3, "</s>"
+        role, first, close = unescape(output[start + 3 : end - 1]), end + 3, "</s>"
     elif output.startswith(" ", start):
         role, first, close = "assistant", start + 1, "</s>"
     else:
         return None
-    control, end = _bare(output, first)
+    control, end = _control(output, first)
     if control != close or end < first + 1 or output[end - 1] != " ":
         return None
     return role, first, end - 1, end + len(close)
@@ -75,14 +78,14 @@ def parse(output: str, start: int = 0) -> tuple[str, int, int, int] | None:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """(segment, first and end place of the text in it)"""
-    for conflicting in (_CONTROL, _SPECIAL):
-        escaped = _with_escapes(conflicting, text)
+    for escape in (_broken, _doubled):
+        escaped = escape(text)
         if role == "user":
             segment = f"[INST] {escaped} [/INST]"
         elif role == "assistant":
             segment = f" {escaped} </s>"
         else:
-            segment = f"<<{_with_escapes(_SPECIAL, role)} >> {escaped} </s>"
+            segment = f"<< {_doubled(role)} >> {escaped} </s>"
         read = parse(segment)
         if read and read[0] == role and unescape(segment[read[1] : read[2]]) == text and read[3] == len(segment):
             return segment, read[1], read[2]

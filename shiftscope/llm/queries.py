@@ -119,6 +119,31 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(turns.unionAll(probe)))
 
 
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), strings AS (
+  SELECT *, unnest([text, role]) AS s, unnest([0, 1]) AS is_role FROM turns
+), added AS (
+  SELECT *, (length(s) - length(replace(s, '[INST]', ''))) // 6 + (length(s) - length(replace(s, '[/INST]', ''))) // 7 + (length(s) - length(replace(s, '</s>', ''))) // 4
+    + len(regexp_extract_all(s, '<')) - len(regexp_extract_all(s, '<+')) + len(regexp_extract_all(s, '>')) - len(regexp_extract_all(s, '>+'))
+    + len(regexp_extract_all(s, '\\')) + length(s) AS n FROM strings
+), sized AS (
+  SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 6 ELSE n + 8 END AS chars
+  FROM added WHERE is_role = 0
+), others AS (
+  SELECT conv_id, sum(n + 4) AS chars FROM added WHERE is_role = 1 AND role NOT IN ('user', 'assistant') GROUP BY conv_id
+), summed AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, CAST(summed.chars + coalesce(others.chars, 0) AS BIGINT) AS formatted_chars FROM summed LEFT JOIN others USING (conv_id)
+"""
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
@@ -285,4 +310,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op8_neardup": OP8_SQL, "op11_importance": OP11_SQL, "op12_repeats": OP12_SQL, "op13_audit": OP13_SQL}
+    return {"op4_decontam": OP4_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_neardup": OP8_SQL, "op11_importance": OP11_SQL, "op12_repeats": OP12_SQL, "op13_audit": OP13_SQL}

@@ -157,7 +157,11 @@ def test_controls_never_stand_bare():
             role = rng.choice(["user", "assistant", "system", "".join(rng.choices(bits, k=3)), ""])
             text = "".join(rng.choices(bits, k=rng.randrange(9)))
             segment, first, end = chat.render(role, text)
-            assert chat._bare(segment[first:end], 0) == ("", -1)
+            # neither within the text nor across its ends, by plain search
+            inside = segment[first - 1 : end + 1]
+            assert not any(c in inside for c in chat.CONTROLS)
+            if role not in ("user", "assistant"):
+                assert not any(c in segment[2 : first - 3] for c in chat.CONTROLS)
             own = (first, end) if role == "assistant" else (0, 0)
             reader.add(segment, *own)
             turns.append((role, text))
