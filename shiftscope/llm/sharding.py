@@ -17,7 +17,7 @@ which place is no difference.)
 
 Cases: a null text counts as empty; null ids and repeated ids are scattered as other rows are, by the rest of their
 columns. Fewer rows than shards leave shards empty. No rows: no rows. Columns of any type that Spark can compare pass
-unchanged, maps as well; columns of docs that are named as the shard or the slot are kept as `<name>_before`. Helper
+unchanged, maps as well; columns of docs that are named as the shard or the slot are kept as `<name>_before`, with more of that ending where that name is taken. Helper
 columns are named __shard_*.
 """
 
@@ -145,7 +145,12 @@ def shard(
     head = longer * (each + 1)
     number = F.when(place < head, F.floor(place / F.lit(each + 1))).otherwise(longer + F.floor((place - head) / F.lit(max(each, 1))))
     slot = F.when(place < head, place % F.lit(each + 1)).otherwise((place - head) % F.lit(max(each, 1)))
-    named = {shard_col: f"{shard_col}_before", slot_col: f"{slot_col}_before"}
+    named = {}
+    for taken in (shard_col, slot_col):
+        free = f"{taken}_before"
+        while free in docs.columns or free in (shard_col, slot_col):
+            free += "_before"
+        named[taken] = free
     kept = [_restored(F.col(f"__shard_row.{c}"), f.dataType).alias(named.get(f.name, f.name)) for c, f in zip(names, fields, strict=True)]
     return placed.select(*kept, number.cast("int").alias(shard_col), slot.cast("long").alias(slot_col))
 
