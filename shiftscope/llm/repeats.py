@@ -45,6 +45,9 @@ RUNS = WINDOW - GRAM + 1
 #: Bytes of distinct texts in a shard: its texts and its automaton (at most about 200 MB) are in memory together.
 SHARD_BYTES = 1 << 20
 
+#: Anchors of more than all segments / HOT_ANCHORS are joined by broadcast.
+HOT_ANCHORS = 1_000
+
 
 def _run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n words."""
@@ -241,8 +244,12 @@ def find_repeats(docs: DataFrame, *, text_col: str = "text", with_text: bool = T
     texts = texts.withColumn("shard", _shard(shards))
     start = mark(docs.sparkSession)
     found = written(texts.select("id", "copies", "text").mapInArrow(_segment_rows, "id long, copies long, at int, n int, anchor long, words long"), "repeat-found")
-    several = found.groupBy("anchor").agg(F.sum("copies").alias("all")).filter("all > 1").select("anchor")
-    likely = written(found.join(several, "anchor"), "repeat-likely")
+    several = written(found.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).filter("all > 1").select("anchor", "rows"), "repeat-anchors")
+    # anchors of many rows do not meet in one task; there are HOT_ANCHORS of them at most
+    most = found.count() / HOT_ANCHORS
+    hot = F.broadcast(several.filter(F.col("rows") > most).select("anchor"))
+    others = several.filter(F.col("rows") <= most).select("anchor")
+    likely = written(found.join(hot, "anchor").unionByName(found.join(hot, "anchor", "left_anti").join(others, "anchor")), "repeat-likely")
     release(docs.sparkSession, start, (likely,))
     phrases = confirmed(texts, likely, shards)
     needed = likely.select(_shard(shards).alias("shard"), "anchor", "words").distinct().join(phrases, ["anchor", "words"]).select("shard", "passage", "unique")
