@@ -17,7 +17,7 @@ def thinned(rows: DataFrame, id_col: str, most: int, seed: int = 31) -> DataFram
     n = rows.count()
     if n <= most:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 20)) < F.lit(int(most / n * (1 << 20))))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 62)) < F.lit(int(most / n * (1 << 62))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "doc_id", text_col: str = "text", modulus: int, held_out: int, most: int = MAX_LABELLED) -> DataFrame:

@@ -217,3 +217,25 @@ def test_query_columns(spark):
         assert rows and all(r.held_out == (r.fold == fold) and 0 <= r.score <= 1 for r in rows)
     rows = queries.op1_sharding(spark, sf).collect()
     assert {r.law for r in rows} == {"rows"} and {r.shard for r in rows} == set(range(24)) and all(r.grown_shard is None for r in rows)
+
+
+def test_nearest_in_one_tight_cluster(spark):
+    """Where codes must tell apart what lies close together, among rows that do not; and rows that share an id."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(3000, 32)), rng.normal(size=32) + 0.001 * rng.normal(size=(3000, 32)), rng.normal(size=32) + 1e-5 * rng.normal(size=(600, 32))])
+    x = x[rng.permutation(len(x))]
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.search(frame, F.col("id") % 100 == 0, 5, shortlist=64).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q, got in found.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5]) & set(got))
+    assert len(found) == 66 and hits / (5 * len(found)) >= 0.9
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0]), (3, None)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(twice, F.col("id") == 1, 5).collect()]
+    # the least vector of the id is the query, and the other one is a candidate
+    assert sorted(got) == [(1, 1, 2, 0.8), (1, 2, 1, 0.6)]
