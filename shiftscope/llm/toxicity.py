@@ -382,8 +382,8 @@ def fit(
     part = F.pmod(F.xxhash64(F.lit(6), F.col(id_col)), F.lit(KEPT_PART)).cast("int").alias("part")
     sample = written(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(own, id_col).select("text", "label", part).repartition(spark.sparkContext.defaultParallelism), "tox-sample")
     if sample.count() > 2 * (toxic_texts + clean_texts):
-        # an id that many documents share: its texts are drawn, each once
-        sample = written(thinned(sample.dropDuplicates(["text"]), "text", toxic_texts + clean_texts), "tox-sample")
+        # an id that many documents share: its texts are drawn, each once with each label and part
+        sample = written(thinned(sample.dropDuplicates(["text", "label", "part"]), "text", toxic_texts + clean_texts), "tox-sample")
     seen, kept = sample.filter("part != 0").select("text", "label"), sample.filter("part = 0")
     m = {r.label: r["count"] for r in seen.groupBy("label").count().collect()}
     m0, m1 = m.get(0, 0), m.get(1, 0)
