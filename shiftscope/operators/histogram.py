@@ -47,7 +47,7 @@ def paired_rows(values: DataFrame, grid: DataFrame, pane: int = 1) -> DataFrame:
     return met.select("detector", "k", "x_end", "value", F.col("first").cast("long").alias("o1"), (1 - F.col("first")).cast("long").alias("o2"))
 
 
-def _bounds(grid: DataFrame) -> DataFrame:
+def window_bounds(grid: DataFrame) -> DataFrame:
     """(k, x_end, first, sign, cut): a window's count is the running sum before the place after its end less that before its start."""
     bound = lambda first, sign, cut: F.struct(F.lit(first).alias("first"), F.lit(sign).alias("sign"), cut.cast("long").alias("cut"))
     four = F.array(bound(1, -1, F.col("a_start")), bound(1, 1, F.col("a_end") + 1), bound(0, -1, F.col("b_start")), bound(0, 1, F.col("b_end") + 1))
@@ -60,7 +60,7 @@ def slot_counts(values: DataFrame, grid: DataFrame) -> DataFrame:
     Blocks without a window are left out before anything is shuffled.
     """
     block = lambda c: F.floor(c / CUT_BLOCK)
-    cuts = _bounds(grid).select("cut").distinct().groupBy(block(F.col("cut")).alias("__block")).agg(F.collect_list("cut").alias("__cuts"))
+    cuts = window_bounds(grid).select("cut").distinct().groupBy(block(F.col("cut")).alias("__block")).agg(F.collect_list("cut").alias("__cuts"))
     spans = grid.select(F.explode(F.array(F.struct("a_start", "a_end"), F.struct(F.col("b_start").alias("a_start"), F.col("b_end").alias("a_end")))).alias("w"))
     held = spans.select(F.explode(F.sequence(block(F.col("w.a_start")), block(F.col("w.a_end")))).alias("__block")).distinct().join(cuts, "__block", "left")
     held = written(held, "slot-blocks")
@@ -90,13 +90,13 @@ def running_counts(counts: DataFrame, cuts: DataFrame) -> DataFrame:
 def _looked_up(values: DataFrame, grid: DataFrame) -> DataFrame | None:
     """paired_counts() from running sums; None where their rows would be more than those of the windows' traces, as with values that seldom repeat."""
     counts = written(slot_counts(values, grid), "slot-counts")
-    cuts = _bounds(grid).select("cut").distinct()
+    cuts = window_bounds(grid).select("cut").distinct()
     wanted = F.col("a_end") - F.col("a_start") + F.col("b_end") - F.col("b_start") + 2
     keys, looks, traces = counts.select("detector", "value").distinct().count(), 4 * grid.count(), grid.agg(F.coalesce(F.sum(wanted), F.lit(0))).first()[0]
     detectors = counts.select("detector").distinct().count()
     if keys * looks > traces * max(1, detectors):
         return None
-    met = _bounds(grid).join(running_counts(counts, cuts), "cut")
+    met = window_bounds(grid).join(running_counts(counts, cuts), "cut")
     side = lambda first: F.sum(F.when(F.col("first") == first, F.col("sign") * F.col("upto")).otherwise(0))
     return met.groupBy("detector", "k", "x_end", "value").agg(side(1).alias("o1"), side(0).alias("o2")).filter("o1 + o2 > 0")
 

@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -441,6 +442,38 @@ def time_window_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def _time_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events of the days of users: what happens (detector, value, ts), what a day begins with (detector, value, lo, hi), and the events."""
+    events = _user_days(spark, sf_dir)
+    what = events.select(F.lit("event: activity").alias("detector"), F.col("activity").alias("value"), "ts")
+    begins = events.filter("event_idx = 0").select("trace_idx", F.lit("trace: first").alias("detector"), F.col("activity").alias("value"))
+    return what, begins.join(timewindows.trace_spans(events), "trace_idx"), events
+
+
+def time_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-tests of five days against the next five, every day, by what happens in a window, and by the traces that touch it or lie in it."""
+    what, begins, events = _time_values(spark, sf_dir)
+    rows = None
+    for criterion in ("all_events", "all_traces", "all_complete_traces"):
+        windows = timewindows.TimeWindows(timedelta(days=5), timedelta(days=1), criterion=criterion)
+        series = timewindows.time_series(what if criterion == "all_events" else begins, events, windows, lambda c: compare.g_test(c, 0))
+        own = series.select(F.lit(criterion).alias("criterion"), "x_end", _r("statistic"), "dof", _r("value"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def time_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a drift in the activities, from the middle of the time on, is found by time windows, within a week of the true time and of two others."""
+    what, _, events = _time_values(spark, sf_dir)
+    windows = timewindows.TimeWindows(timedelta(days=4), timedelta(hours=6))
+    lo, hi = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    drifted = what.withColumn("value", F.when((at >= (lo + hi) // 2) & (at % 10 < 7), "other").otherwise(F.col("value")))
+    points = detect.change_points(timewindows.time_series(drifted, events, windows, compare.g_test), 0.01, 2, 1)
+    primary = spark.createDataFrame([(lo + (hi - lo) * i // 4,) for i in (1, 2, 3)], "change_point long")
+    return timewindows.time_explanations(primary, points, timedelta(days=7))
+
+
 def around_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = tables.long_values(_drifted(spark, sf_dir), ["first", "second", "third"])
     return histogram.paired_counts(values, grid.around(spark, _n(spark, sf_dir) // 2, SIZE)).select("detector", F.coalesce("value", F.lit("None")).alias("value"), "o1", "o2")
@@ -474,6 +507,9 @@ _DRIFT = """v AS (
     CASE WHEN trace_idx >= n * 5 // 10 AND o_orderkey * 7919 % 10 < 6 THEN 'value_3' ELSE 'value_' || (1 + o_orderkey % 3) END,
     CASE WHEN trace_idx >= n * 7 // 10 AND o_orderkey * 104729 % 10 < 6 THEN 'value_3' ELSE 'value_' || (1 + o_orderkey % 3) END,
     CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'value_' || (1 + o_orderkey % 3) END]) AS value FROM t, n)"""
+#: Pairs of time windows in microseconds: half-open, the second one after the first, those that end within the ticks of the log.
+_TIMES = """tg AS (SELECT lo, (hi - lo) // {slide} + 1 AS ticks FROM lim), grid AS (SELECT k, lo + k * {slide} AS a0, lo + k * {slide} + {size} AS b0, lo + k * {slide} + 2 * {size} AS x_end
+  FROM (SELECT lo, unnest(range(0, ticks - 2 * ({size} // {slide}) + 1)) AS k FROM tg))"""
 _PRIORITY = "v AS (SELECT trace_idx, 'trace: o_orderpriority' AS detector, o_orderpriority AS value FROM t)"
 _EXPECTED = """e AS (
   SELECT *, (o1 + o2) * t1 / (t1 + t2) AS e1, (o1 + o2) * t2 / (t1 + t2) AS e2 FROM (
@@ -745,6 +781,17 @@ hit AS (SELECT 'all_events' AS criterion, t_start, trace_idx, ts FROM ev JOIN wi
   UNION ALL SELECT 'all_traces', t_start, trace_idx, ts FROM ev JOIN span USING (trace_idx) JOIN win ON a <= t_end AND b >= t_start
   UNION ALL SELECT 'all_complete_traces', t_start, trace_idx, ts FROM ev JOIN span USING (trace_idx) JOIN win ON a >= t_start AND b <= t_end)
 SELECT criterion, epoch_us(t_start) AS w, count(*) AS events, count(DISTINCT trace_idx) AS traces FROM hit GROUP BY ALL""",
+    "time_change_series": f"""WITH {_DAYS}, lim AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM ev), {_TIMES.format(size=5 * 86_400_000_000, slide=86_400_000_000)},
+e0 AS (SELECT trace_idx, activity, epoch_us(ts) AS u, event_idx FROM ev), sp AS (SELECT trace_idx, min(u) AS a, max(u) AS b, arg_min(activity, event_idx) AS activity FROM e0 GROUP BY trace_idx),
+h AS (SELECT 'all_events' AS detector, k, x_end, activity AS value, count(*) FILTER (u < b0) AS o1, count(*) FILTER (u >= b0) AS o2 FROM e0 JOIN grid ON u >= a0 AND u < x_end GROUP BY ALL
+  UNION ALL SELECT 'all_traces', k, x_end, activity, count(*) FILTER (a < b0 AND b >= a0), count(*) FILTER (a < x_end AND b >= b0) FROM sp JOIN grid ON a < x_end AND b >= a0 GROUP BY ALL
+  UNION ALL SELECT 'all_complete_traces', k, x_end, activity, count(*) FILTER (a >= a0 AND b < b0), count(*) FILTER (a >= b0 AND b < x_end) FROM sp JOIN grid ON a >= a0 AND b < x_end WHERE b < b0 OR a >= b0 GROUP BY ALL
+), {_EXPECTED}, {_MOVED}, {_scored(_G, 0)} SELECT detector AS criterion, x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series""",
+    "time_explanations": f"""WITH {_DAYS}, lim AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM ev), {_TIMES.format(size=4 * 86_400_000_000, slide=6 * 3_600_000_000)},
+v AS (SELECT epoch_us(ts) AS u, CASE WHEN epoch_us(ts) >= (lo + hi) // 2 AND epoch_us(ts) % 10 < 7 THEN 'other' ELSE activity END AS value FROM ev, lim),
+h AS (SELECT 'event: activity' AS detector, k, x_end, value, count(*) FILTER (u < b0) AS o1, count(*) FILTER (u >= b0) AS o2 FROM v JOIN grid ON u >= a0 AND u < x_end GROUP BY ALL),
+{_EXPECTED}, {_MOVED}, {_scored(_G).replace('range(0, 400)', 'range(0, 1600)')}, {_POINTS.replace('0.05', '0.01').replace('gap <= 2', 'gap <= 1').replace('>= 5', '>= 2')},
+tenths AS (SELECT lo + (hi - lo) * i // 4 AS change_point FROM lim, range(1, 4) r(i)), {_EXPLAINED.replace(str(DISTANCE), str(7 * 86_400_000_000))} SELECT * FROM explained""",
     "around_change_point": f"WITH {_T}, {_DRIFT} SELECT detector, coalesce(value, 'None') AS value, count(*) FILTER (trace_idx <= n // 2) AS o1, count(*) FILTER (trace_idx > n // 2) AS o2 FROM v, n WHERE trace_idx BETWEEN n // 2 - {SIZE - 1} AND n // 2 + {SIZE} GROUP BY ALL",
     "ranked_values": f"WITH {_T}, s AS (SELECT CASE WHEN trace_idx <= n // 2 THEN 'before' ELSE 'after' END AS side, CAST(o_totalprice AS DOUBLE) AS p FROM t, n WHERE trace_idx BETWEEN n // 2 - 199 AND n // 2 + 200) SELECT side, CAST(row_number() OVER (PARTITION BY side ORDER BY p) - 1 AS INTEGER) AS rank, round(p, 3) AS value FROM s",
 }
@@ -756,7 +803,7 @@ _QUERIES = (
     bidirectional_relation_counts, relational_entropy, directly_follows, concurrency, runs_by_trace, runs_change_series, entropy_change_series, relation_change_series, relation_counts_by_window,
     activity_sequences, value_distribution, rolling_mean_filled, open_order_ratio, value_counts, value_counts_before_after, describe_before_after, correlation_pairs,
     correlated_columns, top_pvalues, log_stats, attribute_catalog, attribute_whitelist, attribute_presence, config_grid, true_change_points, results_summary,
-    results_summary_fixed, results_by_log, adaptive_change_series, adaptive_region_series, hotelling_series, synthetic_drift_recovery, synthetic_truth, time_window_traces,
+    results_summary_fixed, results_by_log, adaptive_change_series, adaptive_region_series, hotelling_series, synthetic_drift_recovery, synthetic_truth, time_window_traces, time_change_series, time_explanations,
     around_change_point, point_timestamps, parts_of_log, example_traces, example_events, ranked_values, streaming_change_series,
 )
 

@@ -134,3 +134,54 @@ def test_release_waits_for_running_jobs(spark):
     release(spark, start)
     reader.join()
     assert not failed
+
+
+@pytest.mark.parametrize("criterion", ["all_events", "all_traces", "all_complete_traces"])
+def test_time_windows_one_by_one(spark, criterion):
+    from datetime import datetime, timedelta, timezone
+
+    from shiftscope.operators import timewindows
+
+    rng = random.Random(6)
+    zero = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = []
+    for t in range(80):
+        begin = rng.randrange(0, 4000)
+        for i in range(rng.randrange(1, 4)):
+            rows.append((t, i, rng.choice("ab"), zero + timedelta(minutes=begin + 170 * i)))
+    events = spark.createDataFrame(rows, "trace_idx long, event_idx int, activity string, ts timestamp")
+    windows = timewindows.TimeWindows(timedelta(hours=10), timedelta(hours=2), timedelta(hours=12), criterion)
+    axis = timewindows.TimeAxis.of(events, windows)
+    pairs = axis.grid(spark, windows).collect()
+    assert windows.tick == 2 * 3_600_000_000 and len(pairs) > 10
+    if criterion == "all_events":
+        values = events.select(F.lit("d").alias("detector"), F.col("activity").alias("value"), "ts")
+    else:
+        first = events.filter("event_idx = 0").select("trace_idx", F.lit("d").alias("detector"), F.col("activity").alias("value"))
+        values = first.join(timewindows.trace_spans(events), "trace_idx")
+    got = {(r.k, r.value): (r.o1, r.o2) for r in timewindows.paired_by_time(values, axis.grid(spark, windows), axis, criterion).collect()}
+    micros = lambda ts: (ts - zero) // timedelta(microseconds=1)
+    low = min(micros(r[3]) for r in rows)
+    traces = {}
+    for t, i, a, ts in rows:
+        traces.setdefault(t, []).append((i, a, micros(ts)))
+    want = {}
+    for p in pairs:
+        for side, start in enumerate((p.a_start, p.b_start)):
+            s = low + start * windows.tick
+            e = s + 10 * 3_600_000_000
+            for own in traces.values():
+                own = sorted(own)
+                lo, hi = own[0][2], own[-1][2]
+                if criterion == "all_events":
+                    inside = [a for _, a, u in own if s <= u < e]
+                else:
+                    fits = lo < e and hi >= s if criterion == "all_traces" else lo >= s and hi < e
+                    inside = [own[0][1]] * fits
+                for a in inside:
+                    want.setdefault((p.k, a), [0, 0])[side] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+    series = timewindows.time_series(values, events, windows, lambda c: compare.g_test(c, 0)).collect()
+    assert {r.x_end for r in series} <= {micros_end for micros_end in (int(zero.timestamp() * 1e6) + low + (p.b_end + 1) * windows.tick for p in pairs)}
+    with pytest.raises(ValueError):
+        timewindows.paired_by_time(values, axis.grid(spark, windows), axis, "some")
