@@ -3,7 +3,7 @@
 A detector has a name and gives Changes for an EventLog, for the whole log or around given change points. The explainer
 runs a primary detector (known points, or a control-flow feature), then secondary detectors over any mix of categorical
 and continuous attributes, within a distance of the primary change points if one is given, and joins what they found.
-Nothing is computed before a result is read; detectors are rows of one plan, not loops of it.
+The primary change points are computed once, when an explanation is asked for; detectors are rows of one plan, not loops of it.
 """
 
 import time
@@ -20,6 +20,7 @@ from shiftscope.operators.compare import g_test, ks_series, ks_test
 from shiftscope.operators.grid import fixed_grid, region_grid
 from shiftscope.operators.histogram import paired_counts
 from shiftscope.schema import Attribute
+from shiftscope.session import written
 from shiftscope.sources.tables import long_values
 
 
@@ -218,6 +219,8 @@ class Explainer:
             return changes
 
         first = timed("primary", self.primary.changes(log))
+        # few points, which the secondary detectors and the explanation both read
+        first = Changes(written(first.points, "primary-points"), first.series)
         around = first.points.select("change_point") if max_distance is not None else None
         found = [d.changes(log, around, max_distance) for d in self.secondary]
         series = [c.series for c in found if c.series is not None]

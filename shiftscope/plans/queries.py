@@ -365,6 +365,21 @@ def explainer_mixed_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("detector", "x_end", _r("value"), "is_cp", "is_primary")
 
 
+def explainer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change points of the runs of days, from the middle on other ones, explained by two attributes around them, one of which changes there."""
+    events = _user_days(spark, sf_dir)
+    n = events.select("trace_idx").distinct().count()
+    at = F.col("trace_idx")
+    drifted = events.withColumn("activity", F.when((at >= n // 2) & (F.col("event_idx") == 0), "returned").otherwise(F.col("activity")))
+    value = lambda factor, k: F.concat(F.lit("value_"), (at * factor % k + 1).cast("string"))
+    first = F.when((at >= n * 5 // 10) & (at * 7919 % 10 < 6), "value_3").otherwise(value(31, 3))
+    traces = events.select("trace_idx").distinct().select("trace_idx", first.alias("first"), value(17, 4).alias("other"))
+    windows = explainer.Windows(SIZE, SLIDE)
+    secondary = explainer.attribute_detectors([Attribute("first", "trace", "categorical"), Attribute("other", "trace", "categorical")], windows, explainer.Streaks(0.05, 5, 2))
+    primary = explainer.ControlFlowDetector("Runs", windows, explainer.Streaks(0.01, 5, 2), 0)
+    return explainer.Explainer(primary, [secondary]).explain(explainer.EventLog(traces, n, drifted), DISTANCE).table
+
+
 def point_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _user_days(spark, sf_dir)
     n = events.select("trace_idx").distinct().count()
@@ -604,6 +619,18 @@ kd AS (SELECT k, x_end, CAST(round(max(abs(c1 - c2))) AS BIGINT) AS j FROM (SELE
 series AS (SELECT detector, k, x_end, value FROM categorical UNION ALL SELECT 'trace: price', k, x_end, CASE WHEN j = 0 THEN 1.0 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, {SIZE} // greatest(j, 1) + 1),
   lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(2 * lgamma({SIZE} + 1) - lgamma({SIZE} - i * j + 1) - lgamma({SIZE} + i * j + 1)))))) END FROM kd)"""
 
+#: The change series of runs, with the concurrency of each window.
+_RUNS = f"""n AS (SELECT count(*) AS n FROM c), {_GRID}, wins AS (SELECT a0 AS w FROM grid UNION SELECT b0 FROM grid),
+ew AS (SELECT w, trace_idx, event_idx, activity FROM ev JOIN wins ON trace_idx BETWEEN w AND w + {SIZE - 1}),
+near AS (SELECT w, trace_idx, activity AS x, lead(activity) OVER (PARTITION BY w, trace_idx ORDER BY event_idx) AS y FROM ew),
+df AS (SELECT DISTINCT w, x AS a1, y AS a2 FROM near WHERE y IS NOT NULL), conc AS (SELECT d.w, d.a1, d.a2 FROM df d JOIN df r ON d.w = r.w AND d.a1 = r.a2 AND d.a2 = r.a1),
+edges AS (SELECT DISTINCT w, trace_idx, x, y FROM near WHERE y IS NOT NULL AND x <> y),
+more AS (SELECT w, trace_idx, x, y FROM edges UNION SELECT w, trace_idx, CASE WHEN a2 = y THEN y ELSE a2 END, CASE WHEN a2 = y THEN x ELSE y END FROM edges JOIN conc USING (w) WHERE a1 = x
+  UNION SELECT w, trace_idx, x, a2 FROM edges JOIN conc USING (w) WHERE a1 = y AND a2 <> x),
+texts AS (SELECT w, trace_idx, string_agg(x || '>' || y, ';' ORDER BY x, y) AS run FROM more GROUP BY ALL),
+rw AS (SELECT w, coalesce(run, '') AS value, count(*) AS n FROM (SELECT DISTINCT w, trace_idx FROM ew) LEFT JOIN texts USING (w, trace_idx) GROUP BY ALL),
+h AS (SELECT 'Runs' AS detector, k, x_end, value, sum(CASE WHEN w = a0 THEN rw.n ELSE 0 END) AS o1, sum(CASE WHEN w = b0 THEN rw.n ELSE 0 END) AS o2 FROM rw JOIN grid ON w = a0 OR w = b0 GROUP BY ALL),
+{_EXPECTED}, {_MOVED}, {_scored(_G, 0)}"""
 #: Relations of each window: cells of the traces, added up over all traces of a window.
 _WINDOWS = f"""{_DAYS}, n AS (SELECT count(*) AS n FROM c), {_GRID}, wins AS (SELECT a0 AS w FROM grid UNION SELECT b0 FROM grid),
 tl AS (SELECT *, max(event_idx) OVER (PARTITION BY trace_idx) AS last FROM ev),
@@ -748,17 +775,15 @@ m AS (SELECT k, x_end, trace_idx < b0 AS one, avg(x) AS mx, avg(y) AS my, var_sa
 d AS (SELECT k, x_end, sum(CASE WHEN one THEN mx ELSE -mx END) AS dx, sum(CASE WHEN one THEN my ELSE -my END) AS dy, avg(sxx) AS sxx, avg(syy) AS syy, avg(sxy) AS sxy FROM m GROUP BY k, x_end),
 f AS (SELECT x_end, {SIZE} / 2.0 * (dx * dx * syy - 2 * dx * dy * sxy + dy * dy * sxx) / (sxx * syy - sxy * sxy) * {2 * SIZE - 3} / (2.0 * {2 * SIZE - 2}) AS statistic FROM d)
 SELECT x_end, round(statistic, 6) AS statistic, round(pow(1 + 2 * statistic / {2 * SIZE - 3}, -{2 * SIZE - 3} / 2.0), 6) AS value FROM f""",
-    "runs_change_series": f"""WITH {_DAYS}, n AS (SELECT count(*) AS n FROM c), {_GRID}, wins AS (SELECT a0 AS w FROM grid UNION SELECT b0 FROM grid),
-ew AS (SELECT w, trace_idx, event_idx, activity FROM ev JOIN wins ON trace_idx BETWEEN w AND w + {SIZE - 1}),
-near AS (SELECT w, trace_idx, activity AS x, lead(activity) OVER (PARTITION BY w, trace_idx ORDER BY event_idx) AS y FROM ew),
-df AS (SELECT DISTINCT w, x AS a1, y AS a2 FROM near WHERE y IS NOT NULL), conc AS (SELECT d.w, d.a1, d.a2 FROM df d JOIN df r ON d.w = r.w AND d.a1 = r.a2 AND d.a2 = r.a1),
-edges AS (SELECT DISTINCT w, trace_idx, x, y FROM near WHERE y IS NOT NULL AND x <> y),
-more AS (SELECT w, trace_idx, x, y FROM edges UNION SELECT w, trace_idx, CASE WHEN a2 = y THEN y ELSE a2 END, CASE WHEN a2 = y THEN x ELSE y END FROM edges JOIN conc USING (w) WHERE a1 = x
-  UNION SELECT w, trace_idx, x, a2 FROM edges JOIN conc USING (w) WHERE a1 = y AND a2 <> x),
-texts AS (SELECT w, trace_idx, string_agg(x || '>' || y, ';' ORDER BY x, y) AS run FROM more GROUP BY ALL),
-rw AS (SELECT w, coalesce(run, '') AS value, count(*) AS n FROM (SELECT DISTINCT w, trace_idx FROM ew) LEFT JOIN texts USING (w, trace_idx) GROUP BY ALL),
-h AS (SELECT 'Runs' AS detector, k, x_end, value, sum(CASE WHEN w = a0 THEN rw.n ELSE 0 END) AS o1, sum(CASE WHEN w = b0 THEN rw.n ELSE 0 END) AS o2 FROM rw JOIN grid ON w = a0 OR w = b0 GROUP BY ALL),
-{_EXPECTED}, {_MOVED}, {_scored(_G, 0)} SELECT x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series""",
+    "runs_change_series": f"WITH {_DAYS}, {_RUNS} SELECT x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series",
+    "explainer_runs": f"""WITH c AS (SELECT user_id, day, CAST(row_number() OVER (ORDER BY min(ts), user_id, day) - 1 AS BIGINT) AS trace_idx FROM (SELECT user_id, CAST(ts AS DATE) AS day, ts FROM events) GROUP BY user_id, day),
+n AS (SELECT count(*) AS n FROM c),
+raw AS (SELECT trace_idx, row_number() OVER (PARTITION BY trace_idx ORDER BY ts) - 1 AS event_idx, event_type AS activity FROM events JOIN c ON events.user_id = c.user_id AND CAST(ts AS DATE) = c.day),
+ev AS (SELECT trace_idx, event_idx, CASE WHEN trace_idx >= n // 2 AND event_idx = 0 THEN 'returned' ELSE activity END AS activity FROM raw, n),
+tenths AS (SELECT CAST(row_number() OVER (ORDER BY change_point) AS INTEGER) AS i, change_point FROM (WITH {_RUNS.split(', ', 1)[1]}, {_POINTS.replace('0.05', '0.01')} SELECT change_point FROM points)),
+{_REGION}, v AS (SELECT trace_idx, unnest(['trace: first', 'trace: other']) AS detector, unnest([
+  CASE WHEN trace_idx >= n * 5 // 10 AND trace_idx * 7919 % 10 < 6 THEN 'value_3' ELSE 'value_' || (1 + trace_idx * 31 % 3) END, 'value_' || (1 + trace_idx * 17 % 4)]) AS value FROM c, n),
+{_COUNTS}, {_MOVED}, {_scored(_G)}, {_POINTS}, {_EXPLAINED} SELECT * FROM explained""",
     "entropy_change_series": f"""WITH {_WINDOWS},
 typed AS (SELECT w, a1, count(*) FILTER (relation = 'a') AS na, count(*) FILTER (relation = 's') AS ns, count(*) FILTER (relation = 'n') AS nn, count(*) OVER (PARTITION BY w) AS c FROM followed GROUP BY w, a1),
 ent AS (SELECT w, list_sum(list_transform([na, ns, nn], lambda x: CASE WHEN x > 0 THEN -(x / c) * log2(x / c) ELSE 0 END)) AS h FROM typed),
@@ -798,7 +823,7 @@ tenths AS (SELECT lo + (hi - lo) * i // 4 AS change_point FROM lim, range(1, 4)
 
 _QUERIES = (
     change_series_gtest, change_series_chi2, change_series_hellinger, change_series_ks, phi_change_points, region_change_series, explanations_table, explanations_unrestricted,
-    explanations_all_points, explainer_mixed, explainer_mixed_plot,
+    explanations_all_points, explainer_mixed, explainer_mixed_plot, explainer_runs,
     evaluate_explanations, evaluate_single, aggregate_results, activity_counts, causality_followed_by, causality_preceded_by, sna_relations, relation_type_counts,
     bidirectional_relation_counts, relational_entropy, directly_follows, concurrency, runs_by_trace, runs_change_series, entropy_change_series, relation_change_series, relation_counts_by_window,
     activity_sequences, value_distribution, rolling_mean_filled, open_order_ratio, value_counts, value_counts_before_after, describe_before_after, correlation_pairs,
