@@ -65,7 +65,7 @@ KS_EXACT = 10_000
 
 
 def ks_p_unequal(d: float, n1: int, n2: int, exact: int | None = KS_EXACT) -> float:
-    """Exact by counting lattice paths that stay within the distance, column by column; the limiting series beyond `exact` values."""
+    """Exact by counting lattice paths that stay within the distance, in a band around the diagonal; the limiting series beyond `exact` values."""
     if exact is not None and max(n1, n2) > exact:
         x = d * np.sqrt(n1 * n2 / (n1 + n2))
         k = np.arange(1, 101)
@@ -73,30 +73,31 @@ def ks_p_unequal(d: float, n1: int, n2: int, exact: int | None = KS_EXACT) -> fl
     h = round(d * n1 * n2)
     if h == 0:
         return 1.0
-    j = np.arange(n2 + 1)
-    # chances of uniformly drawn paths, carried as weights so that they stay in range
-    chance = (j * n1 < h).astype(float)
-    log_scale = 0.0
+    n1, n2 = max(n1, n2), min(n1, n2)
+    # only places within the distance have paths: about d * n2 of a column on either side of the diagonal
+    columns = np.arange(n1 + 1)
+    lows = np.maximum(0, (columns * n2 - h) // n1 + 1)
+    highs = np.minimum(n2, -((-columns * n2 - h) // n1) - 1)
+    # numbers of paths, carried as weights so that they stay in range
+    chance, log_scale = np.ones(highs[0] + 1), 0.0
     for i in range(1, n1 + 1):
-        chance = _column(chance, np.abs(i * n2 - j * n1) < h)
-        top = chance.max()
+        low, high, before = lows[i], highs[i], lows[i - 1]
+        if high < low:
+            return 1.0
+        # a place is reached from the column before and from below
+        from_left = np.zeros(high - low + 1)
+        known = chance[low - before :][: len(from_left)]
+        from_left[: len(known)] = known
+        chance = np.cumsum(from_left)
+        top = chance[-1]
         if top <= 0:
             return 1.0
         chance /= top
         log_scale += np.log(top)
     k = np.arange(1, n1 + 1)
     log_paths = np.log((n2 + k) / k).sum()
-    return float(np.clip(1 - np.exp(np.log(max(chance[-1], 1e-300)) + log_scale - log_paths), 0, 1))
-
-
-def _column(before: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Paths to each place of the next column, which come from the left or from below and may not leave the inside."""
-    where = np.flatnonzero(inside)
-    out = np.zeros_like(before)
-    if len(where):
-        low, high = where[0], where[-1] + 1  # the inside of a column is one run
-        out[low:high] = np.cumsum(before[low:high])
-    return out
+    last = chance[n2 - lows[n1]] if lows[n1] <= n2 <= highs[n1] else 0.0
+    return float(np.clip(1 - np.exp(np.log(max(last, 1e-300)) + log_scale - log_paths), 0, 1))
 
 
 def _ks_unequal(exact: int | None):

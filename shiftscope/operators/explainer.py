@@ -7,7 +7,7 @@ The primary change points are computed once, when an explanation is asked for; d
 """
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
@@ -125,12 +125,17 @@ def _scored(scored: DataFrame, regions: DataFrame | None) -> DataFrame:
 
 @dataclass
 class AttributeDetectors:
-    """Hypothesis tests of attributes: G-tests of categorical ones, Kolmogorov-Smirnov tests of continuous ones."""
+    """Hypothesis tests of attributes: G-tests of categorical ones, Kolmogorov-Smirnov tests of continuous ones.
+
+    categorical takes another comparison in place of the G-test: chi_squared, hellinger, or the caller's own, from the paired
+    histogram (detector, k, x_end, value, o1, o2) to a value for each pair.
+    """
 
     attributes: Sequence[Attribute]
     windows: Windows
     streaks: Streaks
     min_samples_per_test: float = 5
+    categorical: Callable[[DataFrame], DataFrame] | None = None
 
     def names(self) -> list[str]:
         return [a.detector for a in self.attributes]
@@ -140,7 +145,7 @@ class AttributeDetectors:
         w, grid, found = self.windows, None, []
         if not w.adaptive:
             grid, pane = w.grid(log, around, max_distance), w.pane(around)
-        for kind, cast, test in (("categorical", "string", lambda c: g_test(c, self.min_samples_per_test)), ("continuous", "double", ks_test)):
+        for kind, cast, test in (("categorical", "string", self.categorical or (lambda c: g_test(c, self.min_samples_per_test))), ("continuous", "double", ks_test)):
             own = [a for a in self.attributes if a.kind == kind]
             if not own:
                 continue
@@ -156,12 +161,14 @@ class AttributeDetectors:
         return Changes(self.streaks.points(series), series)
 
 
-def attribute_detectors(attributes: Sequence[Attribute], windows: Windows, streaks: Streaks, min_samples_per_test: float = 5) -> AttributeDetectors:
+def attribute_detectors(
+    attributes: Sequence[Attribute], windows: Windows, streaks: Streaks, min_samples_per_test: float = 5, categorical: Callable[[DataFrame], DataFrame] | None = None
+) -> AttributeDetectors:
     """The detectors of all attributes as one plan. Each adaptive walk is its own; no size leaks from one attribute to another."""
     names = [a.detector for a in attributes]
     if len(set(names)) < len(names):
         raise ValueError("two detectors of one name")
-    return AttributeDetectors(attributes, windows, streaks, min_samples_per_test)
+    return AttributeDetectors(attributes, windows, streaks, min_samples_per_test, categorical)
 
 
 @dataclass

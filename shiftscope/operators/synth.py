@@ -1,5 +1,6 @@
 """Seeded synthetic drift: attributes whose distribution changes at a change point, with the truth beside them."""
 
+import re
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -126,13 +127,39 @@ def file_to_file(spark: SparkSession, source: str, target: str, drifts: list[Dri
     write_xes(add_to_traces(traces, drifts, seed), events, target)
 
 
+_DRIFTS = "array<struct<name:string,base:array<double>,base_last:int,drifted:array<double>,drifted_last:int,change_point:long,stop:long>>"
+
+
+def _as_data(drifts: list[Drift]) -> list[tuple]:
+    """Drifts as rows: the cumulative shares but the last, and the last value that has a share."""
+    edges = lambda shares: None if shares is None else [float(x) for x in np.cumsum(shares)[:-1]]
+    last = lambda shares: None if shares is None else max(i for i, p in enumerate(shares, start=1) if p > 0)
+    stop = lambda d: None if d.length is None or d.change_point is None else d.change_point + d.length
+    return [(d.name, edges(d.base), last(d.base), edges(d.drifted), last(d.drifted), d.change_point, stop(d)) for d in drifts]
+
+
+def drifted_values(seed: Column, drifts: Column, trace_idx: Column) -> Column:
+    """with_drifts() where seed and drifts (_DRIFTS) are columns: a map of the attributes' names and values."""
+
+    def value(d: Column) -> Column:
+        u = F.pmod(F.xxhash64(seed, d["name"], trace_idx), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        sampled = lambda edges, last: F.concat(F.lit("value_"), F.least(F.size(F.filter(edges, lambda e: e <= u)) + 1, last).cast("string"))
+        changed = d["drifted"].isNotNull() & (trace_idx >= d["change_point"]) & F.coalesce(trace_idx < d["stop"], F.lit(True))
+        return F.when(changed, sampled(d["drifted"], d["drifted_last"])).otherwise(sampled(d["base"], d["base_last"]))
+
+    return F.map_from_entries(F.transform(drifts, lambda d: F.struct(d["name"].alias("key"), value(d).alias("value"))))
+
+
 def dataset_batch(spark: SparkSession, logs: Mapping[str, int], target: str, configs: Mapping[str, dict], times: int = 2, seed: int = 0) -> DataFrame:
     """Generates each configuration `times` times on each log (path: number of traces): target/config/size/base_id.xes.
 
     configs maps a name to options of plan(). Returns the truth of all logs, (config, size, path, ...) beside truth()'s
-    columns; ids follow from the seed.
+    columns; ids follow from the seed. The logs are read once and all data sets written by one job: a data set's plan is a row
+    that its log's traces are joined with.
     """
-    rows = None
+    from shiftscope.sources.xes import read_xes, write_files
+
+    variants, truths = [], []
     for c, (config, options) in enumerate(configs.items()):
         for b, (source, size) in enumerate(sorted(logs.items())):
             for i in range(times):
@@ -140,7 +167,24 @@ def dataset_batch(spark: SparkSession, logs: Mapping[str, int], target: str, con
                 drifts = plan(own, [int((j + 1) * size / 10) for j in range(9)], **options)
                 base = source.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
                 path = f"{target.rstrip('/')}/{config}/{size}/{base}_{uuid.UUID(int=np.random.default_rng(own).integers(1 << 62))}.xes"
-                file_to_file(spark, source, path, drifts, own)
-                found = truth(spark, drifts).select(F.lit(config).alias("config"), F.lit(size).alias("size"), F.lit(path).alias("path"), "*")
-                rows = found if rows is None else rows.unionByName(found)
-    return rows
+                variants.append((_plain(source), path, own, _as_data(drifts)))
+                truths += [(config, size, path, d.name, [float(x) for x in d.base], d.explains, d.change_point, d.kind if d.drifted else None) for d in drifts]
+    # a row a data set
+    made = F.broadcast(spark.createDataFrame(variants, f"source string, variant string, seed int, drifts {_DRIFTS}"))
+    traces, events = read_xes(spark, sorted(logs))
+    of = lambda frame: frame.withColumn("source", F.regexp_replace("log_id", "^file:/+", "/")).join(made, "source")
+    added = of(traces).withColumn("__new", drifted_values(F.col("seed"), F.col("drifts"), F.col("trace_idx")))
+    added = added.withColumns(
+        {
+            "tattrs_str": F.map_concat("tattrs_str", "__new"),
+            "tattrs_type": F.map_concat("tattrs_type", F.transform_values("__new", lambda k, v: F.lit("string"))),
+            "log_id": F.col("variant"),
+        }
+    )
+    write_files(added.select(*traces.columns), of(events).withColumn("log_id", F.col("variant")).select(*events.columns), {v[1]: v[1] for v in variants})
+    kind = "config string, size int, path string, attribute_name string, base_distribution array<double>, explain_change_point long, change_point long, drift_type string"
+    return spark.createDataFrame(truths, kind)
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "/", path)

@@ -17,9 +17,10 @@ without prefixes.
 import io
 import itertools
 import re
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -109,7 +110,7 @@ def _log_of(file: Column) -> Column:
     return F.when(F.regexp_extract(file, "/part-[^/]*$", 0) != "", F.regexp_replace(file, "/part-[^/]*$", "")).otherwise(file)
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
+def _rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Traces and what stands between them, written: the text is read and parsed once. A file of several logs raises an error."""
     ship(spark)
     text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "</trace>").text(path)
@@ -138,7 +139,7 @@ def _maps(prefix: str, attributes: str) -> list[Column]:
     ]
 
 
-def read_xes(spark: SparkSession, path: str, activity: str = "concept:name", time: str = "time:timestamp") -> tuple[DataFrame, DataFrame]:
+def read_xes(spark: SparkSession, path: str | list[str], activity: str = "concept:name", time: str = "time:timestamp") -> tuple[DataFrame, DataFrame]:
     """(traces, events) of one or many XES files, plain or gzipped; log_id is the file, or the folder of part files. Traces keep their order.
 
     A file of several logs raises an error. write_xes() gives back what was read.
@@ -293,6 +294,33 @@ def write_xes(traces: DataFrame, events: DataFrame, path: str, *, logs: DataFram
         placed.select("value").write.mode("overwrite").text(path)
 
 
+def write_files(traces: DataFrame, events: DataFrame, targets: Mapping[str, str]) -> list[str]:
+    """Writes each log to a path of its own, targets being log_id: path, by one job, whatever the number of logs.
+
+    What was one part is moved to a file of that name; a log of several parts becomes a folder, whose parts in order are
+    the document. Moves are asked of the file system one by one and do not pass through Spark.
+    """
+    spark = traces.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    names = sorted(targets)
+    # a row a log: logs are numbered in their folders' names
+    numbers = spark.createDataFrame([(name, f"{i:08d}") for i, name in enumerate(names)], "log_id string, number string")
+    numbered_as = lambda frame: frame.join(numbers, "log_id").drop("log_id").withColumnRenamed("number", "log_id")
+    around = numbers.select(F.col("number").alias("log_id"), F.lit(HEAD).alias("head"), F.lit(TAIL).alias("tail"))
+    staged = f"{targets[names[0]].rsplit('/', 1)[0]}/_logs-{uuid.uuid4().hex}"
+    system = place(staged).getFileSystem(conf)
+    write_xes(numbered_as(traces), numbered_as(events), staged, logs=around, by_log=True)
+    for i, name in enumerate(names):
+        made, target = place(f"{staged}/log_id={i:08d}"), place(targets[name])
+        parts = [p.getPath() for p in system.listStatus(made) if p.getPath().getName().startswith("part-")]
+        system.mkdirs(target.getParent())
+        system.delete(target, True)
+        system.rename(parts[0] if len(parts) == 1 else made, target)
+    system.delete(place(staged), True)
+    return [targets[name] for name in names]
+
+
 MXML_INSTANCE = T.StructType(
     [
         T.StructField("_id", T.StringType()),
@@ -329,9 +357,8 @@ def read_mxml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def mirror_mxml(spark: SparkSession, mxml_path: str, xes_path: str) -> list[str]:
     """Converts all MXML files below a folder to XES below another, at the same places; other files are copied as they are.
 
-    All logs are parsed and written by one job, whatever their number. What was one part is moved to a file `<name>.xes`; a log of
-    several parts becomes a folder of that name, whose parts in order are the document. Moves and copies are asked of the
-    file system one by one and do not pass through Spark.
+    All logs are parsed and written by one job, whatever their number (write_files()). Copies are asked of the file system one by
+    one and do not pass through Spark.
     """
     plain = lambda p: re.sub("^file:/+", "/", p)
     files = [r.path for r in list_files(spark, mxml_path).select("path").collect()]
@@ -348,22 +375,8 @@ def mirror_mxml(spark: SparkSession, mxml_path: str, xes_path: str) -> list[str]
     if not logs:
         return []
     traces, events = read_mxml(spark, mxml_path)
-    # a row a file: logs are numbered in their folders' names
-    numbers = spark.createDataFrame([(plain(f), f"{i:08d}") for i, f in enumerate(logs)], "file string, number string")
-    named = lambda frame: frame.withColumn("file", F.regexp_replace("log_id", "^file:/+", "/")).join(numbers, "file").drop("log_id", "file").withColumnRenamed("number", "log_id")
-    around = numbers.select(F.col("number").alias("log_id"), F.lit(HEAD).alias("head"), F.lit(TAIL).alias("tail"))
-    staged = f"{target_root}/_logs"
-    write_xes(named(traces), named(events), staged, logs=around, by_log=True)
-    out = []
-    for i, f in enumerate(logs):
-        made, target = place(f"{staged}/log_id={i:08d}"), place(target_root + plain(f)[len(root) : -len(".mxml")] + ".xes")
-        parts = [p.getPath() for p in system.listStatus(made) if p.getPath().getName().startswith("part-")]
-        system.mkdirs(target.getParent())
-        system.delete(target, True)
-        system.rename(parts[0] if len(parts) == 1 else made, target)
-        out.append(str(target.toString()))
-    system.delete(place(staged), True)
-    return out
+    named = lambda frame: frame.withColumn("log_id", F.regexp_replace("log_id", "^file:/+", "/"))
+    return write_files(named(traces), named(events), {plain(f): target_root + plain(f)[len(root) : -len(".mxml")] + ".xes" for f in logs})
 
 
 def unzip(spark: SparkSession, path: str, target: str) -> None:

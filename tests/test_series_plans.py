@@ -185,3 +185,46 @@ def test_time_windows_one_by_one(spark, criterion):
     assert {r.x_end for r in series} <= {micros_end for micros_end in (int(zero.timestamp() * 1e6) + low + (p.b_end + 1) * windows.tick for p in pairs)}
     with pytest.raises(ValueError):
         timewindows.paired_by_time(values, axis.grid(spark, windows), axis, "some")
+
+
+def test_unequal_sides_against_all_paths():
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(1)
+    for _ in range(150):
+        n1, n2 = rng.randrange(1, 22), rng.randrange(1, 22)
+        h = rng.randrange(n1 * n2 + 1)
+        paths = {}
+        for i in range(n1 + 1):
+            for j in range(n2 + 1):
+                inside = abs(i * n2 - j * n1) < h
+                paths[i, j] = (1 if i == j == 0 else paths.get((i - 1, j), 0) + paths.get((i, j - 1), 0)) if inside else 0
+        want = 1.0 if h == 0 else float(1 - Fraction(paths[n1, n2], comb(n1 + n2, n1)))
+        assert compare.ks_p_unequal(h / (n1 * n2), n1, n2) == pytest.approx(want, abs=1e-10)
+
+
+def test_drift_plans_as_rows(spark):
+    from shiftscope.operators import synth
+
+    drifts = synth.plan(5, [100, 200], relevant=3, irrelevant=2, k=4, kind="recurring", jitter=5.0)
+    traces = spark.range(300).withColumnRenamed("id", "trace_idx")
+    want = {r.trace_idx: {d.name: r[d.name] for d in drifts} for r in synth.with_drifts(traces, drifts, 31).collect()}
+    rows = spark.createDataFrame([(31, synth._as_data(drifts))], f"seed int, drifts {synth._DRIFTS}")
+    made = traces.crossJoin(rows).select("trace_idx", synth.drifted_values(F.col("seed"), F.col("drifts"), F.col("trace_idx")).alias("v"))
+    assert {r.trace_idx: r.v for r in made.collect()} == want
+
+
+def test_own_comparison_in_the_explainer(spark):
+    from shiftscope.operators import explainer
+    from shiftscope.schema import Attribute
+
+    traces = spark.range(400).select(F.col("id").alias("trace_idx"), F.when((F.col("id") >= 200) & (F.col("id") % 5 < 3), "new").otherwise("old").alias("kind"))
+    log = explainer.EventLog(traces, 400)
+    windows, streaks = explainer.Windows(60, 20), explainer.Streaks(0.05, 1)
+    series = {}
+    for name, test in (("g", None), ("chi", compare.chi_squared), ("distance", compare.hellinger), ("own", lambda c: compare.user_comparer(c, -F.max(F.abs(F.col("o1") - F.col("o2")))))):
+        found = explainer.attribute_detectors([Attribute("kind", "trace", "categorical")], windows, streaks, 0, test).changes(log)
+        series[name] = {r.x_end: r.value for r in found.series.collect()}
+    assert len({str(sorted(s.items())) for s in series.values()}) == 4 and all(len(s) == 15 for s in series.values())
+    assert min(series["own"].values()) == -36
