@@ -35,17 +35,19 @@ class Attribute:
 def dense_index(rows: DataFrame, order: list, name: str = "trace_idx") -> DataFrame:
     """rows with their 0-based position in the given total order.
 
-    Rows are sorted by range partitions; a partition's first position is the number of rows before it, so no task
-    sees more than its own range. Range bounds come from a sample that differs between runs of a plan, so the ranged
-    rows are written once and both uses read the same partitions. There are as many as the session's shuffles have, which
-    a session over more data sets higher; callers leave out columns that they do not need.
+    Rows are sorted by range partitions; a position is the place in its partition and the number of rows in those before,
+    so no task sees more than its own range and rows are shuffled once. Range bounds come from a sample that differs between
+    runs of a plan, so the sorted rows are written once, with their partition and place. There are as many partitions as the
+    session's shuffles have, which a session over more data sets higher; callers leave out columns that they do not need.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "dense-index")
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # the number of the partition in the upper bits, that of the row in it in the lower 33
+    place = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__place", place)
+    table = written(ranged.select("*", F.shiftright("__place", 33).alias("__part"), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)).alias("__local")).drop("__place"), "dense-index")
+    counts = table.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
     # one row a partition: its number is that of the partitions
-    placed = local.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__local"))
+    placed = table.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__local"))
     return placed.drop("__part", "__local", "__before")
