@@ -8,7 +8,8 @@ The primary change points are computed once, when an explanation is asked for; d
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import timedelta
 from functools import reduce
 from typing import Protocol
 
@@ -19,6 +20,7 @@ from shiftscope.operators import adaptive, controlflow, detect
 from shiftscope.operators.compare import g_test, ks_series, ks_test
 from shiftscope.operators.grid import fixed_grid, region_grid
 from shiftscope.operators.histogram import paired_counts
+from shiftscope.operators.timewindows import TimeWindows, time_series, trace_spans
 from shiftscope.schema import Attribute
 from shiftscope.session import written
 from shiftscope.sources.tables import long_values
@@ -194,6 +196,53 @@ class ControlFlowDetector:
         return Changes(self.streaks.points(series), series)
 
 
+@dataclass
+class TimeDetector:
+    """Hypothesis tests of attributes over pairs of time windows: change points are times, in microseconds, and distances intervals.
+
+    Attributes of events count where they happen; those of traces by the traces that touch a window or lie in it, as the
+    windows' criterion says, which is all_traces where it says all_events.
+    """
+
+    attributes: Sequence[Attribute]
+    windows: TimeWindows
+    streaks: Streaks
+    min_samples_per_test: float = 5
+    categorical: Callable[[DataFrame], DataFrame] | None = None
+
+    def names(self) -> list[str]:
+        return [a.detector for a in self.attributes]
+
+    def changes(self, log: EventLog, around: DataFrame | None = None, max_distance: timedelta | None = None, unit: str = "time") -> Changes:
+        if unit != "time":
+            raise NotImplementedError(f"unit of measure {unit}: these distances are intervals")
+        test = {"categorical": self.categorical or (lambda c: g_test(c, self.min_samples_per_test)), "continuous": ks_test}
+        found = []
+        for level in ("event", "trace"):
+            for kind, cast in (("categorical", "string"), ("continuous", "double")):
+                own = [a.name for a in self.attributes if (a.level, a.kind) == (level, kind)]
+                if not own:
+                    continue
+                windows = self.windows
+                if level == "event":
+                    values = long_values(log.events, own, level, cast, keep=("ts",))
+                    windows = replace(windows, criterion="all_events")
+                else:
+                    values = long_values(log.traces, own, level, cast).join(trace_spans(log.events), "trace_idx")
+                    if windows.criterion == "all_events":
+                        windows = replace(windows, criterion="all_traces")
+                found.append(time_series(values, log.events, windows, test[kind]).select("detector", "pos", "x_end", "value"))
+        series = reduce(DataFrame.unionByName, found)
+        if around is not None:
+            width = max(1, max_distance // timedelta(microseconds=1))
+            bin_of = lambda c: F.floor(c / width)
+            near = around.select(F.col("change_point").alias("p"), F.explode(F.array(*[bin_of(F.col("change_point")) + i for i in (-1, 0, 1)])).alias("bin"))
+            close = series.withColumn("bin", bin_of(F.col("x_end"))).join(near, "bin").filter(F.abs(F.col("x_end") - F.col("p")) <= width)
+            series = close.select("detector", "pos", "x_end", "value").distinct()
+        series = series.withColumn("region", F.lit(0))
+        return Changes(self.streaks.points(series), series)
+
+
 @dataclass
 class Explanations:
     primary: Changes
@@ -207,10 +256,11 @@ class Explainer:
     primary: Detector
     secondary: Sequence[Detector]
 
-    def explain(self, log: EventLog, max_distance: int | None = None, timing: bool = False) -> Explanations:
+    def explain(self, log: EventLog, max_distance: int | timedelta | None = None, timing: bool = False) -> Explanations:
         """Possible explanations of the primary change points: (primary_cp, rank, detector, secondary_cp, lag).
 
-        With a distance the secondary detectors look around the primary change points only. timing computes the two
+        Distances are counted in traces, or are intervals where all detectors work in time (TimeDetector, and KnownPoints of
+        microseconds). With a distance the secondary detectors look around the primary change points only. timing computes the two
         detections one after the other and notes their seconds.
         """
         names = [n for d in self.secondary for n in d.names()]
@@ -225,11 +275,14 @@ class Explainer:
                 seconds[name] = time.perf_counter() - begin
             return changes
 
-        first = timed("primary", self.primary.changes(log))
+        in_time = any(isinstance(d, TimeDetector) for d in (self.primary, *self.secondary))
+        unit = "time" if in_time else "trace"
+        first = timed("primary", self.primary.changes(log, unit=unit))
         # few points, which the secondary detectors and the explanation both read
         first = Changes(written(first.points, "primary-points"), first.series)
         around = first.points.select("change_point") if max_distance is not None else None
-        found = [d.changes(log, around, max_distance) for d in self.secondary]
+        found = [d.changes(log, around, max_distance, unit) for d in self.secondary]
         series = [c.series for c in found if c.series is not None]
         second = timed("secondary", Changes(reduce(DataFrame.unionByName, [c.points for c in found]), reduce(DataFrame.unionByName, series) if series else None))
-        return Explanations(first, second, detect.explanations(first.points, second.points, max_distance), seconds)
+        reach = max_distance // timedelta(microseconds=1) if isinstance(max_distance, timedelta) else max_distance
+        return Explanations(first, second, detect.explanations(first.points, second.points, reach), seconds)

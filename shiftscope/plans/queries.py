@@ -479,14 +479,15 @@ def time_change_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of a drift in the activities, from the middle of the time on, is found by time windows, within a week of the true time and of two others."""
-    what, _, events = _time_values(spark, sf_dir)
-    windows = timewindows.TimeWindows(timedelta(days=4), timedelta(hours=6))
-    lo, hi = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    events = _user_days(spark, sf_dir)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    drifted = what.withColumn("value", F.when((at >= (lo + hi) // 2) & (at % 10 < 7), "other").otherwise(F.col("value")))
-    points = detect.change_points(timewindows.time_series(drifted, events, windows, compare.g_test), 0.01, 2, 1)
-    primary = spark.createDataFrame([(lo + (hi - lo) * i // 4,) for i in (1, 2, 3)], "change_point long")
-    return timewindows.time_explanations(primary, points, timedelta(days=7))
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    drifted = events.withColumn("activity", F.when((at >= (lo + hi) // 2) & (at % 10 < 7), "other").otherwise(F.col("activity")))
+    windows = timewindows.TimeWindows(timedelta(days=4), timedelta(hours=6))
+    secondary = explainer.TimeDetector([Attribute("activity", "event", "categorical")], windows, explainer.Streaks(0.01, 2, 1))
+    primary = explainer.KnownPoints([lo + (hi - lo) * i // 4 for i in (1, 2, 3)])
+    log = explainer.EventLog(events.select("trace_idx").distinct(), 0, drifted)
+    return explainer.Explainer(primary, [secondary]).explain(log, timedelta(days=7)).table
 
 
 def around_change_point(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -813,10 +814,11 @@ h AS (SELECT 'all_events' AS detector, k, x_end, activity AS value, count(*) FIL
   UNION ALL SELECT 'all_complete_traces', k, x_end, activity, count(*) FILTER (a >= a0 AND b < b0), count(*) FILTER (a >= b0 AND b < x_end) FROM sp JOIN grid ON a >= a0 AND b < x_end WHERE b < b0 OR a >= b0 GROUP BY ALL
 ), {_EXPECTED}, {_MOVED}, {_scored(_G, 0)} SELECT detector AS criterion, x_end, round(statistic, 6) AS statistic, dof, round(value, 6) AS value FROM series""",
     "time_explanations": f"""WITH {_DAYS}, lim AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM ev), {_TIMES.format(size=4 * 86_400_000_000, slide=6 * 3_600_000_000)},
+tenths AS (SELECT lo + (hi - lo) * i // 4 AS change_point FROM lim, range(1, 4) r(i)),
 v AS (SELECT epoch_us(ts) AS u, CASE WHEN epoch_us(ts) >= (lo + hi) // 2 AND epoch_us(ts) % 10 < 7 THEN 'other' ELSE activity END AS value FROM ev, lim),
 h AS (SELECT 'event: activity' AS detector, k, x_end, value, count(*) FILTER (u < b0) AS o1, count(*) FILTER (u >= b0) AS o2 FROM v JOIN grid ON u >= a0 AND u < x_end GROUP BY ALL),
-{_EXPECTED}, {_MOVED}, {_scored(_G).replace('range(0, 400)', 'range(0, 1600)')}, {_POINTS.replace('0.05', '0.01').replace('gap <= 2', 'gap <= 1').replace('>= 5', '>= 2')},
-tenths AS (SELECT lo + (hi - lo) * i // 4 AS change_point FROM lim, range(1, 4) r(i)), {_EXPLAINED.replace(str(DISTANCE), str(7 * 86_400_000_000))} SELECT * FROM explained""",
+{_EXPECTED}, {_MOVED}, {_scored(_G).replace('range(0, 400)', 'range(0, 1600)')}, {_POINTS.replace('0.05', '0.01').replace('gap <= 2', 'gap <= 1').replace('>= 5', '>= 2').replace('FROM series WHERE', 'FROM series WHERE EXISTS (SELECT 1 FROM tenths t WHERE abs(series.x_end - t.change_point) <= 604800000000) AND')},
+{_EXPLAINED.replace(str(DISTANCE), str(7 * 86_400_000_000))} SELECT * FROM explained""",
     "around_change_point": f"WITH {_T}, {_DRIFT} SELECT detector, coalesce(value, 'None') AS value, count(*) FILTER (trace_idx <= n // 2) AS o1, count(*) FILTER (trace_idx > n // 2) AS o2 FROM v, n WHERE trace_idx BETWEEN n // 2 - {SIZE - 1} AND n // 2 + {SIZE} GROUP BY ALL",
     "ranked_values": f"WITH {_T}, s AS (SELECT CASE WHEN trace_idx <= n // 2 THEN 'before' ELSE 'after' END AS side, CAST(o_totalprice AS DOUBLE) AS p FROM t, n WHERE trace_idx BETWEEN n // 2 - 199 AND n // 2 + 200) SELECT side, CAST(row_number() OVER (PARTITION BY side ORDER BY p) - 1 AS INTEGER) AS rank, round(p, 3) AS value FROM s",
 }

@@ -30,10 +30,10 @@ def events_of(table: DataFrame, case: list[str], activity: str, time: str) -> Da
     return table.join(cases, case).withColumns({"event_idx": F.row_number().over(order) - 1, "activity": F.col(activity), "ts": F.col(time)})
 
 
-def long_values(traces: DataFrame, columns: list[str], level: str = "trace", kind: str = "string") -> DataFrame:
-    """(detector, trace_idx, value): the columns of all attributes one below the other."""
+def long_values(traces: DataFrame, columns: list[str], level: str = "trace", kind: str = "string", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(detector, trace_idx, value, and the columns to keep): the columns of all attributes one below the other."""
     cells = F.array(*[F.struct(F.lit(f"{level}: {c}").alias("detector"), F.col(c).cast(kind).alias("value")) for c in columns])
-    return traces.select("trace_idx", F.explode(cells).alias("x")).select("x.detector", "trace_idx", "x.value")
+    return traces.select("trace_idx", *keep, F.explode(cells).alias("x")).select("x.detector", "trace_idx", "x.value", *keep)
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*") -> DataFrame:

@@ -228,3 +228,26 @@ def test_own_comparison_in_the_explainer(spark):
         series[name] = {r.x_end: r.value for r in found.series.collect()}
     assert len({str(sorted(s.items())) for s in series.values()}) == 4 and all(len(s) == 15 for s in series.values())
     assert min(series["own"].values()) == -36
+
+
+def test_time_detector(spark):
+    from datetime import datetime, timedelta, timezone
+
+    from shiftscope.operators import explainer, timewindows
+    from shiftscope.schema import Attribute
+
+    zero = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [(t, i, "late" if t >= 500 and t % 3 else "early", float(t % 7 + 40 * (t >= 700)), zero + timedelta(minutes=20 * t + i)) for t in range(1000) for i in range(2)]
+    events = spark.createDataFrame(rows, "trace_idx long, event_idx int, activity string, cost double, ts timestamp")
+    traces = events.filter("event_idx = 0").select("trace_idx", F.col("activity").alias("kind"))
+    log = explainer.EventLog(traces, 1000, events)
+    micros = lambda t: int(zero.timestamp() * 1e6) + 20 * 60_000_000 * t
+    attributes = [Attribute("kind", "trace", "categorical"), Attribute("activity", "event", "categorical"), Attribute("cost", "event", "continuous")]
+    windows = timewindows.TimeWindows(timedelta(hours=20), timedelta(hours=2), criterion="all_complete_traces")
+    detector = explainer.TimeDetector(attributes, windows, explainer.Streaks(0.01, 2, 1))
+    out = explainer.Explainer(explainer.KnownPoints([micros(500), micros(700)]), [detector]).explain(log, timedelta(hours=24))
+    found = {(r.detector, r.primary_cp) for r in out.table.collect()}
+    assert found == {("trace: kind", micros(500)), ("event: activity", micros(500)), ("event: cost", micros(700))}
+    assert all(abs(r.lag) <= 24 * 3_600_000_000 for r in out.table.collect())
+    with pytest.raises(NotImplementedError):
+        detector.changes(log, unit="trace")
