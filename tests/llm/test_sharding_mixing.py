@@ -81,3 +81,33 @@ def test_mix_of_nothing(spark):
 def test_word_count(spark):
     got = spark.createDataFrame([("a b\x0b\x0cc\td\n e ",), ("",), (None,)], "t string").select(mixing.word_count(F.col("t"))).collect()
     assert [r[0] for r in got] == [5, 0, 0]
+
+
+def test_names_that_are_taken(spark, tmp_path):
+    rows = [(i, "t" * (i % 40), "a", "x") for i in range(120)]
+    odd = docs(spark, rows).select("*", F.lit(7).alias("shard"), F.lit("b").alias("shard_before"), F.lit(8).alias("slot"), F.lit("c").alias("slot_before_before"))
+    out = sharding.shard(odd, 5, bucket_bytes=300)
+    assert len(set(out.columns)) == len(out.columns) == len(odd.columns) + 2
+    sharding.write_shards(out, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert {(r["shard_before"], r["shard_before_before"], r["slot_before"], r["slot_before_before"]) for r in back} == {("b", 7, 8, "c")}
+    assert sorted(Counter(r.shard for r in back).values()) == [24] * 5
+
+
+def test_places_follow_from_the_seeded_hash(spark):
+    """Which bucket a row is in, recomputed: shards are runs of buckets, a bucket is scattered by the hash alone."""
+    import math
+
+    rows = [(i, "t" * 30, "a", None) for i in range(600)]
+    frame = docs(spark, rows)
+    buckets = math.ceil(600 * 38 / 1000)
+    keyed = frame.select("doc_id", F.pmod(F.xxhash64(F.lit(7919), "doc_id", "text", "source", "size"), F.lit(buckets)).alias("b"))
+    bucket_of = {r.doc_id: r.b for r in keyed.collect()}
+    out = sorted(sharding.shard(frame, 1, bucket_bytes=1000).collect(), key=lambda r: r.slot)
+    order = [bucket_of[r.doc_id] for r in out]
+    assert order == sorted(order)
+    # within a bucket the order is not that of the ids, and other seeds give other places
+    first = [r.doc_id for r in out if bucket_of[r.doc_id] == order[0]]
+    assert len(first) > 5 and first != sorted(first)
+    other = {r.doc_id: r.slot for r in sharding.shard(frame, 1, bucket_bytes=1000, seed=5).collect()}
+    assert sum(other[r.doc_id] == r.slot for r in out) < 60
