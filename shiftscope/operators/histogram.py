@@ -8,6 +8,7 @@ and each value has a running sum at each cut, which both windows of a pair look
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftscope.operators.blocks import place_counts, window_totals
 from shiftscope.session import written
 
 #: Rows (32 bytes each) that are broadcast to the traces at most; more are joined by shuffle.
@@ -18,11 +19,6 @@ CUT_BLOCK = 64
 SUM_BLOCK = 1 << 16
 
 
-def pane_counts(values: DataFrame, pane: int) -> DataFrame:
-    """(detector, pane, value, n) from (detector, trace_idx, value); traces of a pane are combined before the shuffle."""
-    return values.groupBy("detector", F.floor(F.col("trace_idx") / pane).alias("pane"), "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def sides(grid: DataFrame, pane: int) -> DataFrame:
     """(k, x_end, first, pane): the panes of both windows of each pair; first is 1 for those of the first window.
 
@@ -104,16 +100,21 @@ def _looked_up(values: DataFrame, grid: DataFrame) -> DataFrame | None:
 def paired_counts(values: DataFrame, grid: DataFrame, pane: int = 1) -> DataFrame:
     """(detector, k, x_end, value, o1, o2): counts of each value in both windows of each pair, 0 where absent.
 
-    NULL is a value of its own. Every value has at least one count above 0. Pairs are spread over their panes and meet the
-    counts by equality, so the rows that are joined are (pairs x panes in a pair), not (pairs x traces). With single traces for
-    panes they are (pairs x values), from running sums.
+    NULL is a value of its own. Every value has at least one count above 0. Windows are sums of panes, taken by blocks of panes,
+    so neither the rows that are moved nor a task's grow with the panes of a window. With single traces for panes they are
+    (pairs x values), from running sums, where values repeat.
     """
     if pane == 1:
         found = _looked_up(values, grid)
         if found is not None:
             return found
-        counts = values.select("detector", F.col("trace_idx").alias("pane"), "value", F.lit(1).cast("long").alias("n"))
-    else:
-        counts = pane_counts(values, pane)
-    met = counts.join(sides(grid, pane), "pane")
-    return met.groupBy("detector", "k", "x_end", "value").agg(F.sum(F.col("n") * F.col("first")).alias("o1"), F.sum(F.col("n") * (1 - F.col("first"))).alias("o2"))
+    return paired_places(place_counts(values, pane), grid, pane)
+
+
+def paired_places(counts: DataFrame, grid: DataFrame, pane: int) -> DataFrame:
+    """paired_counts() from (detector, __place, value, n), the counts of panes; bounds of the grid must be multiples of the pane."""
+    at = lambda c: F.floor(F.col(c) / pane).alias(c)
+    pairs = grid.select("k", F.col("b_end").alias("x_end"), *[at(c) for c in ("a_start", "a_end", "b_start", "b_end")])
+    sides = {("a_start", "a_end"): ["o1"], ("b_start", "b_end"): ["o2"]}
+    found = window_totals(counts, pairs, {"k": "long", "x_end": "long"}, sides, ["detector", "value"], ["n"])
+    return found.select("detector", "k", "x_end", "value", "o1", "o2")

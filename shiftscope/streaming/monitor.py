@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftscope.operators.histogram import sides
+from shiftscope.operators.histogram import paired_places
 
 PANES = "detector string, pane long, value string, n long"
 
@@ -36,5 +36,4 @@ def counted(cases: DataFrame, pane: int, path: str, watermark: str = "36500 days
 
 def paired_from_panes(panes: DataFrame, grid: DataFrame, pane: int) -> DataFrame:
     """Paired histogram (detector, k, x_end, value, o1, o2) from pane counts, as a batch over what a stream has written."""
-    met = panes.join(sides(grid, pane), "pane")
-    return met.groupBy("detector", "k", "x_end", "value").agg(F.sum(F.col("n") * F.col("first")).alias("o1"), F.sum(F.col("n") * (1 - F.col("first"))).alias("o2"))
+    return paired_places(panes.withColumnRenamed("pane", "__place"), grid, pane)
