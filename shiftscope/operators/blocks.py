@@ -105,7 +105,7 @@ def _summed(names: list[str], keys: list[str], sums: list[str], sides: list[tupl
 def window_totals(counts: DataFrame, windows: DataFrame, names: dict[str, str], sides: dict[tuple[str, str], list[str]], keys: list[str], sums: list[str]) -> DataFrame:
     """(names, keys, sums of each side): for each window, and all keys that have rows in it, the sums of its rows.
 
-    counts is (__place, keys, sums), with any number of rows for a place. sides are the columns of a window's first and last place,
+    counts is (__place, keys, sums), with any number of rows for a place; a NULL adds nothing. sides are the columns of a window's first and last place,
     each with the names of its sums; with two of them a row is a pair of windows, 0 where only the other one has the keys.
     """
     ship(counts.sparkSession)
@@ -120,7 +120,7 @@ def window_totals(counts: DataFrame, windows: DataFrame, names: dict[str, str],
     if not n or (last - first) // width < BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
     at = F.col("__place")
-    dealt = counts.select(at.cast("long").alias("__place"), *keys, *[F.col(c).cast("long").alias(c) for c in sums], F.explode(F.sequence(block(at - (span - 1)), block(at))).alias("__block"))
+    dealt = counts.select(at.cast("long").alias("__place"), *keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums], F.explode(F.sequence(block(at - (span - 1)), block(at))).alias("__block"))
     met = dealt.join(blocks, "__block", "left_semi").groupBy("__block").cogroup(placed.groupBy("__block"))
     out = [c for own in sides.values() for c in own]
     fields = [T.StructField(c, counts.schema[c].dataType) for c in keys]

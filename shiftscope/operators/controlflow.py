@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftscope.operators.blocks import window_totals
 from shiftscope.session import written
 
+
 def sequences(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(scope, trace_idx, activities): each trace's activities in order."""
     keys = [*(scope or []), "trace_idx"]
@@ -143,17 +145,18 @@ def runs(events: DataFrame, scope: list[str] | None = None) -> DataFrame:
     return events.select(*trace).distinct().join(gathered.select(*trace, text.alias("run")), trace, "left").withColumn("run", F.coalesce("run", F.lit("")))
 
 
-def window_sums(panes: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums over windows (w_start, w_end, keys, sums) of the counts of panes (pane, keys, counts); spans is (w_start, w_end, pane)."""
+def window_sums(panes: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over windows (w_start, w_end, keys, sums) of the counts of panes (pane, keys, counts); windows are window_panes()."""
     counts = [c for c in panes.columns if c not in ("pane", *keys)]
-    return panes.join(spans, "pane").groupBy("w_start", "w_end", *keys).agg(*[F.sum(c).alias(c) for c in counts])
+    scope = {"w_start": "long", "w_end": "long"}
+    return window_totals(panes.withColumnRenamed("pane", "__place"), windows, scope, {("__low", "__high"): counts}, keys, counts)
 
 
 def window_panes(grid: DataFrame, pane: int) -> DataFrame:
-    """(w_start, w_end, pane): the panes of each distinct window; bounds are multiples of pane."""
+    """(w_start, w_end, __low, __high): the first and last pane of each distinct window; bounds are multiples of pane."""
     from shiftscope.operators.grid import ranges
 
-    return ranges(grid).withColumn("pane", F.explode(F.sequence(F.floor(F.col("w_start") / pane), F.floor(F.col("w_end") / pane))))
+    return ranges(grid).withColumns({"__low": F.floor(F.col("w_start") / pane), "__high": F.floor(F.col("w_end") / pane)})
 
 
 def run_of(edges: Column, beside: Column) -> Column:
@@ -191,12 +194,12 @@ def runs_series_counts(events: DataFrame, grid: DataFrame, pane: int = 1, texts:
     kinds = _numbered(traces, "kind_text", "kind")
     placed = traces.select(F.floor(F.col("trace_idx") / pane).alias("pane"), "kind_text").join(kinds, "kind_text")
     panes = written(placed.groupBy("pane", "kind").agg(F.count(F.lit(1)).alias("n")), "run-panes")
-    spans, scope = window_panes(grid, pane), ["w_start", "w_end"]
-    held = window_sums(panes, spans, ["kind"])
+    windows, scope = window_panes(grid, pane), ["w_start", "w_end"]
+    held = window_sums(panes, windows, ["kind"])
 
     edges = kinds.select("kind", F.explode(F.from_json("kind_text", pairs)).alias("edge"))
-    pane_edges = panes.select("pane", "kind").join(edges, "kind").groupBy("pane", "edge").agg(F.count(F.lit(1)).alias("traces"))
-    found = window_sums(pane_edges, spans, ["edge"]).groupBy(*scope).agg(F.array_sort(F.collect_list("edge")).alias("every"))
+    pane_edges = panes.select("pane", "kind").join(edges, "kind").select("pane", "edge.*", F.lit(1).alias("traces"))
+    found = window_sums(pane_edges, windows, ["a1", "a2"]).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("a1", "a2"))).alias("every"))
     both_ways = F.filter("every", lambda e: F.array_contains("every", F.struct(e["a2"].alias("a1"), e["a1"].alias("a2"))))
     concurrent = written(found.select(*scope, F.to_json(both_ways).alias("beside_text")), "run-concurrency")
     besides = _numbered(concurrent, "beside_text", "beside")
@@ -228,8 +231,8 @@ def feature_samples(events: DataFrame, grid: DataFrame, feature: str, direction:
     if feature not in ("Relational Entropy", "Relation Type Counts"):
         raise ValueError(f"unknown feature {feature}")
     pairs, acts = counted(events.withColumn("pane", F.floor(F.col("trace_idx") / pane)), ["pane"])
-    spans = window_panes(grid, pane)
-    summed = window_sums(written(pairs, "pane-pairs"), spans, ["a1", "a2"]), window_sums(written(acts, "pane-acts"), spans, ["activity"])
+    windows = window_panes(grid, pane)
+    summed = written(window_sums(pairs, windows, ["a1", "a2"]), "window-pairs"), written(window_sums(acts, windows, ["activity"]), "window-acts")
     if feature == "Relational Entropy":
         rows, columns = _entropy(*summed, direction, scope), ["entropy"]
     else:

@@ -58,3 +58,24 @@ def test_doubles_and_nested_values(spark):
     assert own == {(k, v): (n, n) for k in range(3) for v, n in (("0.0", 8), ("nan", 4), ("None", 4), ("2.5", 4))}
     lists = spark.createDataFrame([("d", t, [t % 2]) for t in range(60)], "detector string, trace_idx long, value array<long>")
     assert {(r.k, r.value[0], r.o1, r.o2) for r in histogram.paired_counts(lists, pairs, 10).collect()} == {(k, v, 10, 10) for k in range(3) for v in (0, 1)}
+
+
+def test_window_sums_of_panes(spark, monkeypatch):
+    from shiftscope.operators import controlflow
+
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    # the last column is NULL where there is nothing to add
+    rows = [(t // 5, "abc"[t % 3], t % 4, None if t % 6 == 0 else t) for t in range(200)]
+    panes = spark.createDataFrame(rows, "pane long, activity string, occurs long, early long")
+    windows = controlflow.window_panes(grid.fixed_grid(spark, 200, 20, slide=10), 5)
+    found = controlflow.window_sums(panes, windows, ["activity"])
+    want = {}
+    for w in windows.collect():
+        for p, a, x, y in rows:
+            if w.w_start <= 5 * p <= w.w_end:
+                own = want.setdefault((w.w_start, w.w_end, a), [0, 0])
+                own[0] += x
+                own[1] += y or 0
+    assert {tuple(r)[:3]: list(r)[3:] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Join LeftSemi" in plan
