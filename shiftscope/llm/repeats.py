@@ -239,11 +239,11 @@ def find_repeats(docs: DataFrame, *, text_col: str = "text", with_text: bool = T
     ship(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     one = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    texts = written(one.select("key", "text", "copies", F.octet_length("text").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")), "repeat-texts")
+    texts = written(one.select("key", "text", "copies", F.octet_length("text").cast("long").alias("size"), F.monotonically_increasing_id().alias("id")), "repeat-texts", "zstd")
     shards = max(1, math.ceil((texts.agg(F.sum("size")).first()[0] or 0) / SHARD_BYTES))
     texts = texts.withColumn("shard", _shard(shards))
     start = mark(docs.sparkSession)
-    found = written(texts.select("id", "copies", "text").mapInArrow(_segment_rows, "id long, copies long, at int, n int, anchor long, words long"), "repeat-found")
+    found = written(texts.select("id", "copies", "text").mapInArrow(_segment_rows, "id long, copies long, at int, n int, anchor long, words long"), "repeat-found", "zstd")
     several = written(found.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows")).filter("all > 1").select("anchor", "rows"), "repeat-anchors")
     # anchors of many rows do not meet in one task; there are HOT_ANCHORS of them at most
     most = found.count() / HOT_ANCHORS

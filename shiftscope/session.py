@@ -45,10 +45,10 @@ def _paths(spark: SparkSession) -> list[str]:
     return context._shiftscope_tables
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._shiftscope_path = path
     _paths(df.sparkSession).append(path)
