@@ -11,8 +11,8 @@ of texts without relatives, so most texts, and the frequent tokens of passages t
 Skip: lists whose classes are in one component already are skipped. First the classes of a list meet its leader, the
 class whose tokens most others hold, which joins most of a group in pairs that grow with its size. What still crosses
 components in lists of more than SMALL_LIST classes is compared inside tasks that hold two blocks of a list at most and
-return links only. A class goes through its WIDE largest lists that way, and a pair counts in the first list that both
-have. Pairs that share none of these lists are joined as rows, a list of more than BLOCK classes in pairs of blocks.
+return links only. A class goes through all of its long lists that way, and a pair counts in the first list that both
+have. Pairs that share short lists only are joined as rows, SMALL_LIST to a class and list at most.
 All retained pairs are confirmed on the full sets, so components are those of the links; pairs inside a component are not
 needed.
 
@@ -44,7 +44,9 @@ MATCHES = 31
 #: Lists of more classes are compared in blocks of BLOCK.
 SMALL_LIST = 32
 BLOCK = 512
-WIDE = 8
+#: Pairs, and lists, that a task compares at a time.
+PAIRS = 1 << 15
+LISTS = 1 << 11
 
 _FACTORS = np.random.default_rng(64).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORDINATES = mix(np.arange(1, K + 1, dtype=np.uint64))
@@ -191,28 +193,32 @@ def leader_pairs(here: DataFrame) -> DataFrame:
 
 
 def wide_lists(here: DataFrame) -> DataFrame:
-    """(set, wide): the WIDE largest of the long lists that a class is in, as an array of tokens, largest first."""
-    place = Window.partitionBy("set").orderBy(F.desc("members"), "token")
-    ranked = here.filter(F.col("members") > SMALL_LIST).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= WIDE)
-    gathered = ranked.groupBy("set").agg(F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("m"), "token"))).alias("wide"))
+    """(set, wide, minus): the long lists that a class is in, as an array of tokens, largest first, and their members below 0."""
+    gathered = here.filter(F.col("members") > SMALL_LIST).groupBy("set").agg(F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("m"), "token"))).alias("wide"))
     return gathered.select("set", F.col("wide.token").alias("wide"), F.col("wide.m").alias("minus"))
 
 
+def _share(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the lists of each left and each right row have one in common."""
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, number = np.unique(np.concatenate(lists), return_inverse=True)
+    both = np.zeros((len(left), len(right)), dtype=bool)
+    for first in range(0, int(number.max(initial=-1)) + 1, LISTS):
+        own = (number >= first) & (number < first + LISTS)
+        held = np.zeros((len(lists), LISTS), dtype=np.float32)
+        held[rows[own], number[own] - first] = 1
+        both |= held[left] @ held[right].T > 0
+    return both
+
+
 def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     """The links across components among the classes of two blocks of a list (or of one), as far as they join anything."""
     table = table.combine_chunks()
-    token = key[0].as_py()
     names, part = table["set"].to_pylist(), table["component"].to_pylist()
     side = table["side"].to_numpy()
     n = table["n"].to_numpy()
     tokens = np.stack(table["tokens"].to_numpy())
     shingles = table["shingles"].to_numpy()
-    # the tokens of wide lists that come before this one, as small numbers, -1 beyond them
-    earlier = np.full((len(names), WIDE), -1, dtype=np.int64)
-    number: dict[int, int] = {}
-    for i, wide in enumerate(table["wide"].to_pylist()):
-        for j, t in enumerate(wide[: wide.index(token)]):
-            earlier[i, j] = number.setdefault(t, len(number))
     root: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -225,63 +231,61 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     parts = np.unique(np.array([int.from_bytes(p, "little") for p in part], dtype=object), return_inverse=True)[1]
     left = np.flatnonzero(side == 0) if two else np.arange(len(names))
     right = np.flatnonzero(side == 1) if two else left
-    best: list[tuple[int, int, int]] = []
-    for i in left:
-        others = right if two else right[right > i]
-        others = others[(parts[others] != parts[i]) & (100 * np.minimum(n[others], n[i]) >= SIMILARITY * np.maximum(n[others], n[i]))]
-        for t in earlier[i][earlier[i] >= 0]:
-            others = others[~(earlier[others] == t).any(axis=1)]
-        agree = (tokens[others] == tokens[i]).sum(axis=1)
-        best += [(-int(m), int(i), int(j)) for m, j in zip(agree, others, strict=True) if m >= MATCHES]
-    for _, i, j in sorted(best):
-        p, q = find(part[i]), find(part[j])
+    of, to = n[left][:, None], n[right][None, :]
+    met = (parts[left][:, None] != parts[right][None, :]) & (100 * np.minimum(of, to) >= SIMILARITY * np.maximum(of, to))
+    if not two:
+        met &= left[:, None] < right[None, :]
+    # pairs that share a list that comes before this one are compared there
+    met &= ~_share(list(table["earlier"].to_numpy()), left, right)
+    i, j = np.nonzero(met)
+    i, j = left[i], right[j]
+    agree = [(tokens[i[at : at + PAIRS]] == tokens[j[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS)]
+    agree = np.concatenate(agree) if agree else np.zeros(0, dtype=np.int64)
+    retained = np.flatnonzero(agree >= MATCHES)
+    for at in retained[np.argsort(-agree[retained], kind="stable")]:
+        a, b = int(i[at]), int(j[at])
+        p, q = find(part[a]), find(part[b])
         if p == q:
             continue
-        common = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-        if 100 * common >= SIMILARITY * (n[i] + n[j] - common):
+        common = len(np.intersect1d(shingles[a], shingles[b], assume_unique=True))
+        if 100 * common >= SIMILARITY * (n[a] + n[b] - common):
             root[max(p, q)] = min(p, q)
-            found_a.append(min(names[i], names[j]))
-            found_b.append(max(names[i], names[j]))
+            found_a.append(min(names[a], names[b]))
+            found_b.append(max(names[a], names[b]))
     return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
 
 
 def block_links(here: DataFrame, wide: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) across components within long lists, found in pairs of blocks."""
-    posted = wide.select("set", "wide", F.explode(F.arrays_zip("wide", "minus")).alias("at"))
-    posted = posted.select("set", "wide", F.col("at.wide").alias("token"), F.ceil(-F.col("at.minus") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    dealt = posted.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "set", "wide", "token", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).cast("int").alias("side")
-    )
+    """Links (a, b) across components within long lists, found in pairs of blocks.
+
+    Half of each token is sent: others that agree by chance are seen when the full sets are compared.
+    """
+    half = F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")).alias("tokens")
     of = here.select("set", "component").distinct()
-    full = classes.select("set", "n", "tokens").join(of, "set").join(sets, "set").join(dealt, "set")
-    return full.groupBy("token", "first", "second").applyInArrow(_block_links, "a binary, b binary")
+    full = classes.select("set", "n", half).join(of, "set").join(sets, "set").join(wide, "set")
+    listed = full.select("*", F.posexplode("wide").alias("at", "token")).withColumn("blocks", F.ceil(-F.col("minus")[F.col("at")] / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    dealt = listed.withColumn("earlier", F.slice("wide", F.lit(1), F.col("at"))).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = (F.col("block") > F.col("other")).cast("int").alias("side")
+    dealt = dealt.select("set", "n", "tokens", "component", "shingles", "earlier", "token", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), side)
+    return dealt.groupBy("token", "first", "second").applyInArrow(_block_links, "a binary, b binary")
 
 
 def crossing_pairs(here: DataFrame, wide: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a list, none of their wide lists, and MATCHES tokens.
-
-    A list's classes are dealt to blocks of BLOCK, and each meets those of every block under a key of its own.
-    """
-    known = here.join(wide.select("set", "wide"), "set", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<long>")))
-    known = known.join(classes.select("set", "tokens"), "set").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    known = known.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("every", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = known.withColumnsRenamed({"own": "first", "every": "second"})
+    """(a, b) of different components that share a list of SMALL_LIST classes at most, none of the long ones, and MATCHES tokens."""
+    known = here.filter(F.col("members") <= SMALL_LIST).join(wide.select("set", "wide"), "set", "left")
+    known = known.withColumn("wide", F.coalesce("wide", F.array().cast("array<long>"))).join(classes.select("set", "tokens"), "set")
     other = known.select(
         F.col("token").alias("token_b"),
-        F.col("every").alias("first"),
-        F.col("own").alias("second"),
         F.col("set").alias("b"),
         F.col("n").alias("n_b"),
         F.col("component").alias("other"),
         F.col("wide").alias("wide_b"),
         F.col("tokens").alias("tokens_b"),
     )
-    same = (F.col("token") == F.col("token_b")) & (one["first"] == other["first"]) & (one["second"] == other["second"])
     crossing = (F.col("set") < F.col("b")) & (F.col("component") != F.col("other")) & _sized("n", "n_b") & ~F.arrays_overlap("wide", "wide_b")
     retained = F.size(F.array_intersect("tokens", "tokens_b")) >= MATCHES
-    return one.join(other, same & crossing & retained).select(F.col("set").alias("a"), "b").distinct()
+    return known.join(other, (F.col("token") == F.col("token_b")) & crossing & retained).select(F.col("set").alias("a"), "b").distinct()
 
 
 def link_components(classes: DataFrame, postings: DataFrame, sets: DataFrame) -> DataFrame | None:
