@@ -19,8 +19,8 @@ from shiftscope.session import ship
 #: Places that one task sums windows in, at least; and the cells that it adds up at a time.
 BLOCK = 1 << 10
 CELLS = 1 << 20
-#: Windows whose sums are in one partition at most, so that tasks over more of them do not grow.
-PARTITION_WINDOWS = 100_000
+#: Windows that one partition sums, and then holds the sums of, at most (about; they are dealt by hash), so that tasks over more of them do not grow.
+PARTITION_WINDOWS = 50_000
 #: Blocks (16 bytes each) that are broadcast to the rows at most.
 BROADCAST_BLOCKS = 1_000_000
 
@@ -121,16 +121,19 @@ def window_totals(counts: DataFrame, windows: DataFrame, names: dict[str, str],
         blocks = F.broadcast(blocks)
     at = F.col("__place")
     dealt = counts.select(at.cast("long").alias("__place"), *keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums], F.explode(F.sequence(block(at - (span - 1)), block(at))).alias("__block"))
-    met = dealt.join(blocks, "__block", "left_semi").groupBy("__block").cogroup(placed.groupBy("__block"))
+    dealt = dealt.join(blocks, "__block", "left_semi")
+    # adaptive plans merge partitions up to a size in compressed bytes, of which such rows have few: many windows ask for partitions of their own
+    parts, conf = math.ceil(n / PARTITION_WINDOWS), counts.sparkSession.conf
+    many = parts > min(int(conf.get("spark.sql.shuffle.partitions")), counts.sparkSession.sparkContext.defaultParallelism)
+    if many:
+        dealt, placed = dealt.repartition(parts, "__block"), placed.repartition(parts, "__block")
+    met = dealt.groupBy("__block").cogroup(placed.groupBy("__block"))
     out = [c for own in sides.values() for c in own]
     fields = [T.StructField(c, counts.schema[c].dataType) for c in keys]
     schema = T.StructType([*[T.StructField(c, T._parse_datatype_string(t)) for c, t in names.items()], *fields, *[T.StructField(c, T.LongType()) for c in out]])
     found = met.applyInArrow(_summed(list(names), keys, sums, list(sides), out), schema)
-    # what follows is by window: many windows ask for more partitions than the session's
-    parts = math.ceil(n / PARTITION_WINDOWS)
-    if parts > int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        found = found.repartition(parts, *[c for c in ("detector", *names) if c in found.columns])
-    return found
+    # what follows is by window
+    return found.repartition(parts, *[c for c in ("detector", *names) if c in found.columns]) if many else found
 
 
 def _combined(names: list[str]):

@@ -35,6 +35,27 @@ def test_paired_panes_by_blocks(spark, monkeypatch, offset):
     assert plan.count("Join ") == 1 and "Join LeftSemi" in plan
 
 
+def test_many_windows_have_partitions_of_their_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "PARTITION_WINDOWS", 2)
+    rows = [("d", t, f"v{t % 3}") for t in range(800)]
+    values, pairs = spark.createDataFrame(rows, VALUES), grid.fixed_grid(spark, 800, 20, slide=10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        found = histogram.paired_counts(values, pairs, 10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        held = found.groupBy(F.spark_partition_id().alias("part")).agg(F.countDistinct("k").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # an adaptive plan would merge all of these rows into one partition, before the sums and after them
+    assert sum(r.n for r in held) == 77 and len(held) > 20 and max(r.n for r in held) < 12
+    # rows and windows are each moved once, and so are the sums
+    assert plan.count(", 39), REPARTITION_BY_NUM") == 3
+
+
 @pytest.mark.parametrize(("n_codes", "cells"), [(3, 1 << 20), (3, 16), (300, 64)])
 def test_sums_of_windows(monkeypatch, n_codes, cells):
     monkeypatch.setattr(blocks, "CELLS", cells)
