@@ -108,7 +108,8 @@ def window_totals(counts: DataFrame, windows: DataFrame, names: dict[str, str],
     counts is (__place, keys, sums), with any number of rows for a place; a NULL adds nothing. sides are the columns of a window's first and last place,
     each with the names of its sums; with two of them a row is a pair of windows, 0 where only the other one has the keys.
     """
-    ship(counts.sparkSession)
+    spark = counts.sparkSession
+    ship(spark)
     low, high = (f([F.col(c[i]) for c in sides]) for i, f in ((0, lambda c: F.least(*c) if len(c) > 1 else c[0]), (1, lambda c: F.greatest(*c) if len(c) > 1 else c[0])))
     span, first, last, n = windows.agg(F.max(high - low + 1), F.min(low), F.max(low), F.count(F.lit(1))).first()
     span = max(1, span or 1)
@@ -123,8 +124,8 @@ def window_totals(counts: DataFrame, windows: DataFrame, names: dict[str, str],
     dealt = counts.select(at.cast("long").alias("__place"), *keys, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums], F.explode(F.sequence(block(at - (span - 1)), block(at))).alias("__block"))
     dealt = dealt.join(blocks, "__block", "left_semi")
     # adaptive plans merge partitions up to a size in compressed bytes, of which such rows have few: many windows ask for partitions of their own
-    parts, conf = math.ceil(n / PARTITION_WINDOWS), counts.sparkSession.conf
-    many = parts > min(int(conf.get("spark.sql.shuffle.partitions")), counts.sparkSession.sparkContext.defaultParallelism)
+    parts, session_parts = math.ceil(n / PARTITION_WINDOWS), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = parts > min(session_parts, spark.sparkContext.defaultParallelism)
     if many:
         dealt, placed = dealt.repartition(parts, "__block"), placed.repartition(parts, "__block")
     met = dealt.groupBy("__block").cogroup(placed.groupBy("__block"))
@@ -132,8 +133,10 @@ def window_totals(counts: DataFrame, windows: DataFrame, names: dict[str, str],
     fields = [T.StructField(c, counts.schema[c].dataType) for c in keys]
     schema = T.StructType([*[T.StructField(c, T._parse_datatype_string(t)) for c, t in names.items()], *fields, *[T.StructField(c, T.LongType()) for c in out]])
     found = met.applyInArrow(_summed(list(names), keys, sums, list(sides), out), schema)
-    # what follows is by window
-    return found.repartition(parts, *[c for c in ("detector", *names) if c in found.columns]) if many else found
+    # what follows is by detector and window; sums of other keys are written as they come, unless the session's partitions are too few
+    if many and "detector" in keys or parts > session_parts:
+        found = found.repartition(parts, *[c for c in ("detector", *names) if c in found.columns])
+    return found
 
 
 def _combined(names: list[str]):
