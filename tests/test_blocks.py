@@ -56,6 +56,29 @@ def test_many_windows_have_partitions_of_their_own(spark, monkeypatch):
     assert plan.count(", 39), REPARTITION_BY_NUM") == 3
 
 
+def test_many_windows_are_compared_in_partitions_of_their_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from shiftscope.operators import compare, detect
+
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "PARTITION_WINDOWS", 2)
+    rows = [(d, t, "late" if t >= 400 and t % 5 < 3 else f"v{t % 3}") for d in ("trace: first", "trace: second") for t in range(800)]
+    values, pairs = spark.createDataFrame(rows, VALUES), grid.fixed_grid(spark, 800, 20, slide=10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        series = detect.change_series(values, pairs, lambda c: compare.g_test(c, 0), 10)
+        held = series.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+        points = detect.change_points(series, 0.05, 2)
+        explained = detect.explanations(detect.tenths(spark, 800), points, keep_unexplained=True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # the tests of windows stay where their sums were dealt; an adaptive plan would take all of them in one task
+    assert sum(r.n for r in held) == 2 * 77 and len(held) > 20 and max(r.n for r in held) < 24
+    assert {r.secondary_cp for r in explained if r.rank == 1 and r.primary_cp == 400} == {409} and len(explained) == 9 * 2
+
+
 @pytest.mark.parametrize(("n_codes", "cells"), [(3, 1 << 20), (3, 16), (300, 64)])
 def test_sums_of_windows(monkeypatch, n_codes, cells):
     monkeypatch.setattr(blocks, "CELLS", cells)
