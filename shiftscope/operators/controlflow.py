@@ -3,12 +3,13 @@
 scope is a list of key columns: none for a whole log, window keys for features by window. All results carry them.
 """
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.operators.blocks import window_totals
+from shiftscope.operators.blocks import PARTITION_WINDOWS, window_totals
 from shiftscope.session import written
 
 
@@ -46,11 +47,16 @@ def counted(events: DataFrame, scope: list[str] | None = None) -> tuple[DataFram
     return pairs, acts
 
 
+def _sorted(table: DataFrame, scope: list[str]) -> DataFrame:
+    """A side of a join by scope. Sums of windows are read from few bytes, by which plans would take them for small and send them whole to the driver and all tasks."""
+    return table.hint("merge") if scope else table
+
+
 def _cells(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
     early = acts.filter("early > 0").select(*scope, F.col("activity").alias("a1"))
     every = acts.filter("every > 0").select(*scope, F.col("activity").alias("a2"))
-    domain = early.join(every, scope) if scope else early.crossJoin(every)
-    cells = domain.join(pairs, [*scope, "a1", "a2"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    domain = early.join(_sorted(every, scope), scope) if scope else early.crossJoin(every)
+    cells = domain.join(_sorted(pairs, scope), [*scope, "a1", "a2"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     if direction == "followed_by":
         return cells
     return cells.select(*scope, F.col("a2").alias("a1"), F.col("a1").alias("a2"), "n")
@@ -58,25 +64,45 @@ def _cells(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str])
 
 def _relations(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
     occurs = acts.select(*scope, F.col("activity").alias("a2"), F.col("occurs").alias("__occurs"))
-    cells = _cells(pairs, acts, direction, scope).join(occurs, [*scope, "a2"])
+    cells = _cells(pairs, acts, direction, scope).join(_sorted(occurs, scope), [*scope, "a2"])
     return cells.select(*scope, "a1", "a2", "n", F.when(F.col("n") == F.col("__occurs"), "a").when(F.col("n") > 0, "s").otherwise("n").alias("relation"))
 
 
-def _relation_counts(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
-    count = lambda r, name: F.count_if(F.col("relation") == r).alias(name)
-    return _relations(pairs, acts, direction, scope).groupBy(*scope, F.col("a1").alias("activity")).agg(count("a", "always"), count("s", "sometimes"), count("n", "never"))
+def _relation_counts(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str], parts: int = 0) -> DataFrame:
+    """The relations of _relations(), counted; a scope's are dealt to parts, if given.
+
+    Pairs and activities of a scope lie together, so nothing is joined; cells without a pair are counted and not made.
+    """
+    (x, row), (y, column) = (("a1", "early"), ("a2", "every"))[:: 1 if direction == "followed_by" else -1]
+    none = F.lit(None).cast("long")
+    known = F.col("activity").isNotNull()
+    cells = pairs.filter("n > 0 AND a1 IS NOT NULL AND a2 IS NOT NULL").select(*scope, F.col(x).alias("activity"), F.col(y).alias("__of"), "n", none.alias("__occurs"), none.alias("__row"))
+    # an activity is met by the cells of its column, and stands for itself in its row
+    own = acts.select(*scope, "activity", F.col("activity").alias("__of"), none.alias("n"), F.when(known & (F.col(column) > 0), F.col("occurs")).alias("__occurs"), F.col(row).alias("__row"))
+    both = cells.unionAll(own)
+    # dealt once, after the union: all that follows is by scope
+    both = both.repartition(parts, *scope) if parts else both
+    met = both.withColumn("__occurs", F.max("__occurs").over(Window.partitionBy(*scope, "__of")))
+    rows = met.groupBy(*scope, "activity").agg(
+        F.count_if(F.col("n") == F.col("__occurs")).alias("always"),
+        F.count_if(F.col("n") != F.col("__occurs")).alias("sometimes"),
+        F.count_if(F.col("n").isNull() & F.col("__occurs").isNotNull()).alias("__column"),
+        F.max("__row").alias("__row"),
+    )
+    rows = rows.withColumn("__columns", F.sum("__column").over(Window.partitionBy(*scope))).filter("__row > 0")
+    return rows.select(*scope, "activity", "always", "sometimes", (F.col("__columns") - F.col("always") - F.col("sometimes")).alias("never"))
 
 
-def _bidirectional(pairs: DataFrame, acts: DataFrame, scope: list[str]) -> DataFrame:
+def _bidirectional(pairs: DataFrame, acts: DataFrame, scope: list[str], parts: int = 0) -> DataFrame:
     sides = []
     for direction in ("followed_by", "preceded_by"):
-        own = _relation_counts(pairs, acts, direction, scope)
+        own = _relation_counts(pairs, acts, direction, scope, parts)
         sides.append(own.withColumnsRenamed({c: f"{direction}_{c}" for c in ("always", "sometimes", "never")}))
     return sides[0].join(sides[1], [*scope, "activity"], "full_outer")
 
 
-def _entropy(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str]) -> DataFrame:
-    rows = _relation_counts(pairs, acts, direction, scope).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*scope)))
+def _entropy(pairs: DataFrame, acts: DataFrame, direction: str, scope: list[str], parts: int = 0) -> DataFrame:
+    rows = _relation_counts(pairs, acts, direction, scope, parts).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*scope)))
     part = lambda c: F.when(F.col(c) > 0, -(F.col(c) / F.col("__rows")) * F.log2(F.col(c) / F.col("__rows"))).otherwise(0.0)
     return rows.select(*scope, "activity", (part("always") + part("sometimes") + part("never")).alias("entropy"))
 
@@ -230,16 +256,18 @@ def feature_samples(events: DataFrame, grid: DataFrame, feature: str, direction:
     scope = ["w_start", "w_end"]
     if feature not in ("Relational Entropy", "Relation Type Counts"):
         raise ValueError(f"unknown feature {feature}")
-    pairs, acts = counted(events.withColumn("pane", F.floor(F.col("trace_idx") / pane)), ["pane"])
     windows = window_panes(grid, pane)
+    # adaptive plans would merge both traces and windows, which have few compressed bytes, into as few tasks as the session has cores
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(windows.count() / PARTITION_WINDOWS))
+    pairs, acts = counted(events.withColumn("pane", F.floor(F.col("trace_idx") / pane)).repartition(parts, "trace_idx"), ["pane"])
     summed = written(window_sums(pairs, windows, ["a1", "a2"]), "window-pairs"), written(window_sums(acts, windows, ["activity"]), "window-acts")
     if feature == "Relational Entropy":
-        rows, columns = _entropy(*summed, direction, scope), ["entropy"]
+        rows, columns = _entropy(*summed, direction, scope, parts), ["entropy"]
     else:
-        rows = _bidirectional(*summed, scope)
+        rows = _bidirectional(*summed, scope, parts)
         columns = [c for c in rows.columns if c not in (*scope, "activity")]
     sides = [grid.select("k", F.col("b_end").alias("x_end"), F.col(f"{s}_start").alias("w_start"), F.col(f"{s}_end").alias("w_end"), F.lit(i).alias("side")) for i, s in ((1, "a"), (2, "b"))]
-    met = rows.join(reduce(DataFrame.unionAll, sides), scope)
+    met = _sorted(rows, scope).join(reduce(DataFrame.unionAll, sides), scope)
     return met.select(F.lit(feature).alias("detector"), "k", "x_end", "side", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]), columns
 
 
