@@ -259,7 +259,7 @@ def feature_samples(events: DataFrame, grid: DataFrame, feature: str, direction:
     windows = window_panes(grid, pane)
     # adaptive plans would merge both traces and windows, which have few compressed bytes, into as few tasks as the session has cores
     parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(windows.count() / PARTITION_WINDOWS))
-    pairs, acts = counted(events.withColumn("pane", F.floor(F.col("trace_idx") / pane)).repartition(parts, "trace_idx"), ["pane"])
+    pairs, acts = counted(events.withColumn("pane", F.floor(F.col("trace_idx") / pane)).repartition(parts, "pane", "trace_idx"), ["pane"])
     summed = written(window_sums(pairs, windows, ["a1", "a2"]), "window-pairs"), written(window_sums(acts, windows, ["activity"]), "window-acts")
     if feature == "Relational Entropy":
         rows, columns = _entropy(*summed, direction, scope, parts), ["entropy"]
